@@ -14,7 +14,6 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

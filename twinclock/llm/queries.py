@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .secrets import op4_secrets
+from .simhash import op2_simhash
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
 }
 
