@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .pii import op6_pii
 from .secrets import op4_secrets
 from .simhash import op2_simhash
+from .topk import op10_topk
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
+    "op10_topk": op10_topk,
 }
 
 SQL: dict[str, str] = {}
