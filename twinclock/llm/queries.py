@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .langid import op8_langid
 from .pii import op6_pii
 from .secrets import op4_secrets
 from .simhash import op2_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
+    "op8_langid": op8_langid,
     "op10_topk": op10_topk,
 }
 
