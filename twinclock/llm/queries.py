@@ -7,6 +7,7 @@ from .langid import op8_langid
 from .pii import op6_pii
 from .secrets import op4_secrets
 from .simhash import op2_simhash
+from .suffixes import op9_suffixes
 from .topk import op10_topk
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
     "op8_langid": op8_langid,
+    "op9_suffixes": op9_suffixes,
     "op10_topk": op10_topk,
 }
 
