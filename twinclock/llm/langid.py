@@ -1,6 +1,6 @@
 """Language spans of mixed texts: scripts narrow the candidates, Viterbi labels the words.
 
-A word's score for each language is the log-likelihood of its letter n-grams, relative to the best language and floored, so
+A word's score for each language is the log-likelihood of its n-grams of bytes, relative to the best language and floored, so
 that no single word decides. Languages that hardly use the word's script in the training texts are no candidates. A
 path over a text's words pays a fixed penalty for each switch; the best path gives the spans.
 
@@ -13,9 +13,9 @@ stay out. Ties go to the language that comes first by name.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, crc_rest, scratch_names, table
 
 SAMPLE_PER_LANG = 4000
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 FLOOR = -8.0
 SWITCH = 14.0
 CACHED_WORDS = 300_000
@@ -37,23 +38,26 @@ SCRIPTS = (
     (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"),
     (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other"),
 )
-SCRIPT_STARTS = np.array([s for s, _ in SCRIPTS])
+SCRIPT_STARTS = [s for s, _ in SCRIPTS]
 SCRIPT_NAMES = ("latin", *[n for _, n in SCRIPTS])
 
 
 def script_of(word: str) -> str:
     if word.isascii():
         return "latin"
-    return SCRIPT_NAMES[int(np.searchsorted(SCRIPT_STARTS, ord(word[0]), side="right"))]
+    return SCRIPT_NAMES[bisect_right(SCRIPT_STARTS, ord(word[0]))]
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams, one to three letters, of a word with its ends marked."""
-    w = f"\x02{word.lower()}\x03"
-    n = len(w)
-    out = [crc32(w[i : i + 3].encode()) % BUCKETS for i in range(n - 2)]
-    out += [crc32(w[i : i + 2].encode()) % BUCKETS for i in range(n - 1)]
-    return out + [crc32(c.encode()) % BUCKETS for c in w[1:-1]]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams (three bytes, word ends marked, and two), and where each word's begin."""
+    x = np.frombuffer(b"\0" + "\0".join(words).lower().encode() + b"\0", np.uint8).astype(np.uint32)
+    ends = x == 0
+    inside = np.flatnonzero(~ends[1:-1])  # the places before the words' bytes
+    three = x[inside] | x[inside + 1] << 8 | x[inside + 2] << 16
+    two = x[inside + 1] | x[inside + 2] << 8 | 1 << 24
+    both = np.stack([three, two], axis=1).ravel()
+    buckets = (both * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
+    return buckets, np.flatnonzero(ends[inside]) * 2
 
 
 @dataclass
@@ -66,29 +70,28 @@ class Model:
         self.number: dict[str, int] = {}
         self.scores = np.zeros((1024, max(1, len(self.langs))), np.float32)
 
-    def score(self, word: str) -> np.ndarray:
-        own = self.logp[grams(word)].sum(axis=0)
-        able = self.scripts.get(script_of(word))
-        if able is None or not able.any():
-            return np.zeros(len(self.langs), np.float32)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Word by language: log-likelihoods below the best candidate's, not under `FLOOR`."""
+        buckets, begins = grams(words)
+        own = np.add.reduceat(self.logp[buckets], begins, axis=0)
+        none = np.zeros(len(self.langs), bool)
+        able = np.array([self.scripts.get(script_of(w), none) for w in words])
         own = np.where(able, own, -np.inf)
-        return np.maximum(own - own.max(), FLOOR).astype(np.float32)
+        top = own.max(axis=1, keepdims=True)
+        return np.where(np.isfinite(top), np.maximum(own - np.where(np.isfinite(top), top, 0), FLOOR), 0).astype(np.float32)
 
     def numbers(self, words: list[str]) -> list[int]:
-        """Rows of `scores` of the words; new words are scored."""
+        """Rows of `scores` of the words; new words are scored together."""
         get = self.number.get
         out = [get(w, -1) for w in words]
         if -1 in out:
-            for i, n in enumerate(out):
-                if n < 0:
-                    w = words[i]
-                    n = get(w, -1)
-                    if n < 0:
-                        n = self.number[w] = len(self.number)
-                        if n >= len(self.scores):
-                            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                        self.scores[n] = self.score(w)
-                    out[i] = n
+            fresh = [*dict.fromkeys([w for w, n in zip(words, out, strict=True) if n < 0])]
+            first = len(self.number)
+            self.number.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            while len(self.number) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[first : first + len(fresh)] = self.score(fresh)
+            out = [self.number[w] for w in words]
         return out
 
     def forget(self) -> None:
@@ -139,17 +142,16 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batches):
-        seen: dict[str, Counter] = {}
+        seen: dict[str, np.ndarray] = {}
         scripts: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in by_bytes(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words = Counter(WORD.findall(text))
-                for w, n in words.items():
-                    scripts.setdefault(lang, Counter())[script_of(w)] += n * len(w)
-                    own = seen.setdefault(lang, Counter())
-                    for g in grams(w):
-                        own[g] += n
-        rows = [(lang, "", g, n) for lang, c in seen.items() for g, n in c.items()] + [(lang, s, -1, n) for lang, c in scripts.items() for s, n in c.items()]
+                words = WORD.findall(text)
+                if words:
+                    for w, n in Counter(words).items():
+                        scripts.setdefault(lang, Counter())[script_of(w)] += n * len(w)
+                    seen[lang] = seen.get(lang, 0) + np.bincount(grams(words)[0], minlength=BUCKETS)
+        rows = [(lang, "", g, int(c[g])) for lang, c in seen.items() for g in np.flatnonzero(c).tolist()] + [(lang, s, -1, n) for lang, c in scripts.items() for s, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else ((), (), (), ()), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "script", "bucket", "n"])
 
     totals = sample.select("text", "lang").mapInArrow(count, "lang string, script string, bucket long, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n"))
@@ -186,27 +188,25 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH, keep: tuple[st
 
     def run(batches):
         own = shared.value
-        for batch in by_bytes(batches, text, 16 << 20):
+        for batch in by_bytes(batches, text, 8 << 20):
             own.forget()
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            ids, sizes = [], []
-            for t in texts:
-                words = WORD.findall(t) if own.langs else []
-                sizes.append(len(words))
-                ids.append(np.array(own.numbers(words), np.int64))
-            labels = viterbi(np.concatenate(ids), np.array(sizes), own.scores, penalty)
+            found = [WORD.findall(t) if own.langs else [] for t in texts]
+            sizes = [len(w) for w in found]
+            labels = viterbi(np.array(own.numbers([w for ws in found for w in ws]), np.int64), np.array(sizes), own.scores, penalty)
+            del found
             out: list[list] = [[], [], []]
             end = 0
             for t, n in zip(texts, sizes, strict=True):
                 start, end = end, end + n
-                found = spans_of(t, labels[start:end]) if n else []
+                parts = spans_of(t, labels[start:end]) if n else []
                 share: Counter = Counter()
-                for x, a, b in found:
+                for x, a, b in parts:
                     share[x] += b - a
                 top = min(share, key=lambda x: (-share[x], x), default=None)
                 out[0].append("und" if top is None else own.langs[top])
                 out[1].append(0.0 if top is None else share[top] / len(t))
-                out[2].append([{"lang": own.langs[x], "start": a, "stop": b} for x, a, b in found])
+                out[2].append([{"lang": own.langs[x], "start": a, "stop": b} for x, a, b in parts])
             cols = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], kind)], names=[*keep, pred, score, spans])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .langid import op8_langid
+from .mixing import op1_mixing
 from .pii import op6_pii
 from .secrets import op4_secrets
 from .simhash import op2_simhash
@@ -11,6 +12,7 @@ from .suffixes import op9_suffixes
 from .topk import op10_topk
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
