@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, table
+from .common import by_bytes, scratch_names, table
 
 #: Fixed value: the pattern that parts a text before merging, as the vocabulary's public notes give it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -140,16 +140,17 @@ def default_vocabulary() -> str:
 
 def encode(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, ids array<int> and decoded string of every whole text."""
+    (body,) = scratch_names(docs.select(*keep), "body")
 
     def run(batches):
         own = codec(vocabulary)
-        for batch in by_bytes(batches):
-            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
+        for batch in by_bytes(batches, body):
+            ids = [own.encode(t or "") for t in batch.column(body).to_pylist()]
             cols = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())], names=[*keep, "ids", "decoded"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias(body)).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:

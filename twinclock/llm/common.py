@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column.
+
+    Then let Spark drop the shuffles of plans that nobody holds any more.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{where.rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
+
+
 def byte_rows(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

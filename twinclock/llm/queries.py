@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .langid import op8_langid
+from .leaks import op7_leaks
+from .lines import SQL as LINES_SQL
+from .lines import op3_lines
 from .mixing import op1_mixing
 from .pii import op6_pii
 from .secrets import op4_secrets
@@ -14,12 +17,14 @@ from .topk import op10_topk
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_lines": op3_lines,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
+    "op7_leaks": op7_leaks,
     "op8_langid": op8_langid,
     "op9_suffixes": op9_suffixes,
     "op10_topk": op10_topk,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_lines": LINES_SQL}

@@ -91,10 +91,10 @@ def anchors_in(data: np.ndarray, sizes: np.ndarray, span: int) -> tuple[np.ndarr
     return np.unique(places), grams, own
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (never null), doc (the id, or the text's hash where it is null) and mark (36 bits of the text's hash)."""
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, `keep` columns, text (never null), doc (the id, or the text's hash where it is null) and mark (36 bits of the text's hash)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text.alias("text"))
     return rows.withColumns({"doc": F.coalesce("doc_id", F.xxhash64("text")), "mark": F.shiftrightunsigned(F.xxhash64("text"), PLACE_BITS)})
 
 
