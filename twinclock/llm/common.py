@@ -34,19 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage through a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column.
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
-    Then let Spark drop the shuffles of plans that nobody holds any more.
-    """
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{where.rstrip('/')}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.parquet(path)
 
 

@@ -1,6 +1,6 @@
 """Removal of repeated lines by an exact set-similarity join; column functions only.
 
-A line is the set of its words (lower case, hashed). A line goes if an earlier line of any text has a Jaccard similarity of
+A line is the set of its words as they stand (by 64-bit hash). A line goes if an earlier line of any text has a Jaccard similarity of
 `SIMILARITY` or more with it; earlier is by doc_id, text hash and line number, and is judged on the input, not on what is left.
 Words are ordered by rarity: the counts of all words, in a fixed number of hash buckets, rank them. Two similar sets then
 share one of their first n - ceil(0.8 n) + 1 words, the prefix. Lines meet at a prefix word; their lengths, the word's place
@@ -15,56 +15,60 @@ and get equal results; rows without an id are known by their text. Lines end at
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import cut, release, stored, table
 from .suffixes import keyed
 
 #: The similarity is five fifths less one; all bounds are in whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 17
 SEEDS = 4  # prefix words at which a class first meets the earliest class
 WHERE = ("doc", "mark", "line")
 
 
-def words_of(text: Column) -> Column:
-    """The text's words in lower case; a text without words gives empty strings or nothing."""
-    return F.split(F.lower(text), SPACE)
+def spaced(text: Column) -> Column:
+    """The text with white space other than line feeds as spaces; few texts need the pattern."""
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f"))
+    return F.when(other, F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
+
+
+def words_of(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A byte for each hash bucket: a step of the logarithm of how often the bucket's words occur, 1 to 127.
+    """array<tinyint> by hash bucket: a step of the logarithm of how often the bucket's words occur, 1 to 127.
 
     The table has a fixed size at any size of the corpus; it comes to the driver as one string and goes out as a literal.
     """
-    words = docs.select(F.explode(words_of(F.col("text"))).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b"))
+    lines = docs.select(F.explode(F.split(spaced(F.col("text")), "\n")).alias("body"))
+    words = lines.select(F.explode(words_of(F.col("body"))).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b"))
     counts = words.groupBy("b").agg(F.count("*").alias("n"))
     every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(1).cast("long").alias("n")))
     ranks = every.groupBy("b").agg(F.sum("n").alias("n")).select("b", F.least(F.lit(127), 1 + F.floor(F.log2("n") * 4)).cast("int").alias("r"))
-    signs = F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: F.char(x["r"]))
-    return F.lit(bytearray(ranks.agg(F.array_join(signs, "")).first()[0].encode()))
-
-
-def rank_of(ranks: Column, h: Column) -> Column:
-    return F.ascii(F.substring(ranks, h.bitwiseAND(BUCKETS - 1).cast("int") + 1, 1).cast("string"))
+    listed = ranks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"].cast("string")), ","))
+    return F.split(F.lit(listed.first()[0]), ",").cast("array<tinyint>")  # folded into one literal
 
 
 def sets_of(lines: DataFrame, ranks: Column) -> DataFrame:
-    """doc, mark, line, id (hash of the set), bits (parity bitmap), n, prefix (hashes of its rarest words) of lines with words."""
-    key = lambda w: F.shiftleft(rank_of(ranks, F.xxhash64(w)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    words = F.filter(words_of(F.col("body")), lambda w: w != "")
-    keys = lines.select(*WHERE, F.sort_array(F.array_distinct(F.transform(words, key))).alias("keys"))
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(shift_one(x)))
+    """doc, mark, line, id (hash of the set), bits (parity bitmap), n, prefix (hashes of its rarest words) of lines; n may be 0."""
+    key = lambda w: F.shiftleft(F.get(ranks, F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    keys = lines.select(*WHERE, F.sort_array(F.array_distinct(F.transform(words_of(F.col("body")), key))).alias("keys"))
+    bits = [parities(F.col("keys"), half) for half in (0, 64)]
     n = F.size("keys")
-    full = keys.where(n > 0).select(*WHERE, F.xxhash64("keys").alias("id"), bits.alias("bits"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("p"))
-    return full.select(*WHERE, "id", "bits", "n", F.transform("p", lambda x: (x % 2147483647).cast("int")).alias("prefix"))
+    full = keys.select(*WHERE, F.xxhash64("keys").alias("id"), bits[0].alias("bits"), bits[1].alias("bits2"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("p"))
+    return full.select(*WHERE, "id", "bits", "bits2", "n", F.transform("p", lambda x: (x % 2147483647).cast("int")).alias("prefix"))
 
 
-def shift_one(x: Column) -> Column:
-    """1 << (x & 63)"""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+def parities(keys: Column, half: int) -> Column:
+    """Half of the set's parity bitmap: each word flips one of 128 bits, so two bitmaps differ in no more bits than the sets in words."""
+    zero = F.lit(0).cast("long")
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    return F.aggregate(keys, zero, lambda a, x: F.when(x.bitwiseAND(64) == half, a.bitwiseXOR(one(x))).otherwise(a))
 
 
 def prefix_size(n: Column) -> Column:
@@ -73,23 +77,24 @@ def prefix_size(n: Column) -> Column:
 
 def classes_of(lines: DataFrame) -> DataFrame:
     """One row for each different set: c (a number), id, bits, n, doc, mark, line of its first line, prefix."""
-    first = lines.groupBy("id", "bits", "n").agg(F.min(F.struct(*WHERE)).alias("at"), F.any_value("prefix").alias("prefix"))
-    return first.select(F.monotonically_increasing_id().alias("c"), "id", "bits", "n", "at.doc", "at.mark", "at.line", "prefix")
+    first = lines.groupBy("id", "bits", "bits2", "n").agg(F.min(F.struct(*WHERE)).alias("at"), F.any_value("prefix").alias("prefix"))
+    return first.select(F.monotonically_increasing_id().alias("c"), "id", "bits", "bits2", "n", "at.doc", "at.mark", "at.line", "prefix")
 
 
-def may_match(n: Column, m: Column, bits: Column, more: Column) -> Column:
-    """Length and bitmap filters: sets of n and m words with these parity bitmaps may be similar enough."""
-    apart = F.bit_count(bits.bitwiseXOR(more))
+def may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Length and bitmap filters: sets of these n, bits and bits2 may be similar enough."""
+    n, m = a("n"), b("n")
+    apart = F.bit_count(a("bits").bitwiseXOR(b("bits"))) + F.bit_count(a("bits2").bitwiseXOR(b("bits2")))
     return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR) & (apart * (NUMERATOR + DENOMINATOR) <= n + m)
 
 
 def first_meetings(classes: DataFrame) -> DataFrame:
     """Pairs (c, d): a class and an earlier one that is the earliest at one of its prefix words."""
     key = F.explode(F.slice(F.sort_array("prefix"), 1, SEEDS)).alias("tok")
-    rows = classes.where("n > 3").select(key, "c", "bits", "n", *WHERE)
-    seeds = rows.groupBy("tok").agg(F.min(F.struct(*WHERE, F.col("c").alias("d"), F.col("bits").alias("more"), F.col("n").alias("m"))).alias("s"), F.count("*").alias("times")).where("times > 1").select("tok", "s.d", "s.more", "s.m")
-    met = rows.join(seeds, "tok").where((F.col("c") != F.col("d")) & may_match(F.col("n"), F.col("m"), F.col("bits"), F.col("more")))
-    return met.select("c", "d").distinct()
+    rows = classes.where("n > 3").select(key, "c", "bits", "bits2", "n", *WHERE)
+    seeds = rows.groupBy("tok").agg(F.min(F.struct(*WHERE, "c", "bits", "bits2", "n")).alias("s"), F.count("*").alias("times")).where("times > 1")
+    met = rows.join(seeds, "tok").where((F.col("c") != F.col("s.c")) & may_match(F.col, lambda x: F.col(f"s.{x}")))
+    return met.select("c", F.col("s.c").alias("d")).distinct()
 
 
 def all_meetings(classes: DataFrame, matched: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def all_meetings(classes: DataFrame, matched: DataFrame) -> DataFrame:
     Both sides of the join read one exchange of the prefix rows.
     """
     open_ = classes.where("n > 3").join(matched.withColumn("done", F.lit(True)), "c", "left")
-    rows = open_.select("c", "bits", "n", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("pos", "tok"))
+    rows = open_.select("c", "bits", "bits2", "n", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("pos", "tok"))
     a, b = rows.alias("a"), rows.alias("b")
     col = lambda side, name: F.col(f"{side}.{name}")
     # with this word, at most so many words can be shared from here on
@@ -106,7 +111,7 @@ def all_meetings(classes: DataFrame, matched: DataFrame) -> DataFrame:
     shared_before = F.least(col("a", "pos"), col("b", "pos"))
     place = (left + shared_before) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (col("a", "n") + col("b", "n"))
     wanted = (col("a", "c") < col("b", "c")) & (col("a", "open") | col("b", "open"))
-    pairs = a.join(b, (col("a", "tok") == col("b", "tok")) & wanted & may_match(col("a", "n"), col("b", "n"), col("a", "bits"), col("b", "bits")) & place)
+    pairs = a.join(b, (col("a", "tok") == col("b", "tok")) & wanted & may_match(lambda x: col("a", x), lambda x: col("b", x)) & place)
     return pairs.select(col("a", "c").alias("c"), col("b", "c").alias("d")).distinct()
 
 
@@ -116,8 +121,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     need = pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct().join(places, "c")
     per_doc = need.groupBy("doc", "mark").agg(F.collect_set(F.struct("line", "c")).alias("need"))
     lines = docs.select("doc", "mark", "text").join(per_doc, ["doc", "mark"])
-    picked = lines.select("doc", "mark", F.split("text", "\n").alias("parts"), F.explode("need").alias("x")).select("doc", "mark", "x.line", "x.c", F.get("parts", F.col("x.line")).alias("body"))
-    hashed = F.array_distinct(F.transform(F.filter(words_of(F.col("body")), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    picked = lines.select("doc", "mark", F.split(spaced(F.col("text")), "\n").alias("parts"), F.explode("need").alias("x")).select("doc", "mark", "x.line", "x.c", F.get("parts", F.col("x.line")).alias("body"))
+    hashed = F.array_distinct(F.transform(words_of(F.col("body")), lambda w: F.xxhash64(w)))
     sets = cut(picked.select("c", *WHERE, hashed.alias("words")).dropDuplicates(["c"]))
     a = sets.select("c", F.struct(*WHERE).alias("c_at"), F.col("words").alias("c_words"))
     b = sets.select(F.col("c").alias("d"), F.struct(*WHERE).alias("d_at"), F.col("words").alias("d_words"))
@@ -130,14 +135,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc, mark, gone (array of line numbers, from 0): what similar earlier lines take away; docs as `keyed` gives them."""
     ranks = rarity(docs)
-    split = docs.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    lines = stored(sets_of(split, ranks))
+    split = docs.select("doc", "mark", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "body"))
+    lines = stored(sets_of(split, ranks)).where("n > 0")
     classes = stored(classes_of(lines))
     early = cut(verified(cut(first_meetings(classes)), classes, docs))
-    late = verified(cut(all_meetings(classes, early)), classes, docs)
-    matched = cut(early.unionByName(late).distinct())
-    verdict = classes.join(matched.withColumn("hit", F.lit(True)), "c", "left").select("id", "bits", "n", F.struct(*WHERE).alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.drop("prefix").join(verdict, ["id", "bits", "n"]).where(F.col("hit") | (F.struct(*WHERE) != F.col("first")))
+    release(docs.sparkSession)
+    met = cut(all_meetings(classes, early))
+    release(docs.sparkSession)
+    matched = cut(early.unionByName(verified(met, classes, docs)).distinct())
+    release(docs.sparkSession)
+    verdict = classes.join(matched.withColumn("hit", F.lit(True)), "c", "left").select("id", "bits", "bits2", "n", F.struct(*WHERE).alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    gone = lines.drop("prefix").join(verdict, ["id", "bits", "bits2", "n"]).where(F.col("hit") | (F.struct(*WHERE) != F.col("first")))
     return gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
@@ -160,7 +168,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in plain SQL: sets of words as lists, all pairs that share one of the rarer words.
 SQL = r"""
 with lines as (
-  select doc_id, p.line, list_distinct(list_filter(regexp_split_to_array(lower(p.body), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words, p.body
+  select doc_id, p.line, list_distinct(list_filter(regexp_split_to_array(p.body, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words, p.body
   from (select doc_id, unnest(list_transform(parts, lambda b, i: {'line': i - 1, 'body': b})) as p from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents))
 ), numbered as (
   select row_number() over (order by doc_id, line) as k, doc_id, line, list_sort(words) as words, len(words) as n from lines where len(words) > 0
