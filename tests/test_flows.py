@@ -28,7 +28,7 @@ def recording(spark, a=1.00002, b=3.1, jitter=0.0, n=30, drop=0, bounce=False, s
     return make(raw, "pair string, phase string, aux string, t double"), make(events, "pair string, phase string, ord int, t double, code string"), make(runs, "pair string, phase string, duration_s double, fs double, n_samples long")
 
 
-@pytest.mark.parametrize("case", [{}, {"jitter": 0.001}, {"drop": 2}, {"bounce": True}])
+@pytest.mark.parametrize("case", [{}, {"jitter": 0.001, "drop": 2, "bounce": True}])
 def test_known_clock_is_recovered(spark, case):
     raw, events, runs = recording(spark, **case)
     out = flows.align(raw, events, runs)
