@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ KEYS = ["pair", "phase"]
 TASK_GAP = 0.12
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage of a table that many steps read, in the shared checkpoint folder; a folder is made only where none is named."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
+
+
 def by_code(events: DataFrame, code: str) -> DataFrame:
     return fit.numbered(events.where(F.col("code") == code), KEYS, ["t", "ord"]).select(*KEYS, "k", "t")
 
@@ -25,30 +35,30 @@ def align(raw_edges: DataFrame, events: DataFrame, runs: DataFrame, keys: list[s
     steps = edges.step_median(events.where("code = 'DIN1'"), KEYS, ["t", "ord"], "t")
     counts = events.where(F.col("code").isin("DIN1", "DIN4", "DIN5")).groupBy(*KEYS, F.col("code").alias("aux")).agg(F.count("*").alias("expected"))
     wanted = counts.join(steps, KEYS, "left").select(*KEYS, "aux", "expected", F.when(F.col("aux") == "DIN1", edges.sync_gap(F.col("step_median"))).otherwise(TASK_GAP).alias("gap"))
-    clean = edges.clean_edges(raw_edges, wanted, [*KEYS, "aux"]).persist()  # edges, read by all that follows
+    clean = cut(edges.clean_edges(raw_edges, wanted, [*KEYS, "aux"]))
     gate = clean.join(counts, [*KEYS, "aux"]).groupBy(*KEYS).agg(F.bool_and(edges.plausible_count(F.col("n_clean"), F.col("expected"))).alias("plausible"))
     own = {c: fit.numbered(clean.where(F.col("aux") == c), KEYS, ["t"]).select(*KEYS, "k", F.col("t").alias("x")) for c in ("DIN4", "DIN5")}
     ref = {c: by_code(events, c).withColumnRenamed("t", "y") for c in ("DIN4", "DIN5")}
-    lags = fit.best_lags((own["DIN4"], ref["DIN4"]), (own["DIN5"], ref["DIN5"]), KEYS).persist()  # a row for each run
+    lags = cut(fit.best_lags((own["DIN4"], ref["DIN4"]), (own["DIN5"], ref["DIN5"]), KEYS))
     keyboard, beep = (ref[c].withColumnRenamed("y", "t") for c in ("DIN4", "DIN5"))
     good = trials.valid(trials.paired(keyboard, beep, KEYS)).select(*KEYS, "k")
     parts = []
     for c, lag in (("DIN4", "lag_a"), ("DIN5", "lag_b")):
         shifted = own[c].join(lags.select(*KEYS, lag), KEYS).withColumn("k", F.col("k") - F.col(lag)).drop(lag)
         parts.append(shifted.join(ref[c], [*KEYS, "k"]).join(good, [*KEYS, "k"], "left_semi").select(*KEYS, "x", "y"))
-    base = parts[0].unionByName(parts[1]).persist()
-    line = fit.better_line(fit.linear(base, KEYS), fit.endpoint_line(base, KEYS), KEYS)
+    base = cut(parts[0].unionByName(parts[1]))
+    line = cut(fit.better_line(fit.linear(base, KEYS), fit.endpoint_line(base, KEYS), KEYS))
     sync = clean.where("aux = 'DIN1'").select(*KEYS, "t")
     refined = fit.refit_with_sync(base, sync, events.where("code = 'DIN1'").select(*KEYS, "t"), line, KEYS)
     ok = fit.stable(F.col("a"), F.col("mad"))
     fits = runs.join(refined, KEYS, "left").join(gate, KEYS, "left").join(lags.select(*KEYS, "lag_a", "lag_b"), KEYS, "left")
     why = F.when(F.col("plausible").isNull(), "no edges").when(~F.col("plausible"), "counts are not plausible").when(F.col("a").isNull(), "no fit").when(~ok, "the fit is not stable")
-    fits = fits.withColumns({"drift_ppm": fit.drift_ppm(F.col("a")), "state": F.when(why.isNull(), "OK").otherwise("ERR"), "msg": F.coalesce(why, F.lit(""))}).persist()
+    fits = cut(fits.withColumns({"drift_ppm": fit.drift_ppm(F.col("a")), "state": F.when(why.isNull(), "OK").otherwise("ERR"), "msg": F.coalesce(why, F.lit(""))}))
     good_runs = fits.where("state = 'OK'").select(*KEYS, "a", "b", "duration_s", "fs", "n_samples")
     mapped = clean.join(good_runs, KEYS).select(*KEYS, "a", "b", "duration_s", "fs", "n_samples", (F.col("a") * F.col("t") + F.col("b")).alias("t"), F.col("aux").alias("code")).where(F.col("t").between(0, F.col("duration_s") + 0.1))
     numbered = {c: fit.numbered(mapped.where(F.col("code") == c), KEYS, ["t"]) for c in ("DIN4", "DIN5")}
     pairs = trials.valid(trials.paired(numbered["DIN4"].select(*KEYS, "k", "t"), numbered["DIN5"].select(*KEYS, "k", "t"), KEYS)).join(good_runs, KEYS)
-    made = trials.reconstructed(pairs, KEYS, F.col("duration_s")).persist()
+    made = cut(trials.reconstructed(pairs, KEYS, F.col("duration_s")))
     rows = trials.movement_windows(made, KEYS).join(good_runs, KEYS)
     fs = F.col("fs")
     return {"fits": fits, "events": trials.task_events(made, mapped, KEYS), "trials": made, "segments": trials.segments(rows, KEYS, fs, F.col("n_samples"))}
