@@ -78,7 +78,7 @@ def test_sinks(spark):
     assert [(r.gidx, r.cidx, r.code) for r in rows] == [(1, 1, "DIN4"), (2, 1, "beep"), (3, 2, "DIN4")] and rows[1].beginTime == "1970-01-01T00:00:01.000000Z"
     sinks.write_events_xml(sinks.event_track(track, ["run"]), f"{root}/xml")
     sinks.write_csv(sinks.event_rows(track).withColumn("note", F.lit('a;"b"')), f"{root}/csv", ";")
-    back = spark.read.options(header=True, sep=";", quote='"', escape='"').csv(f"{root}/csv").collect()
+    back = spark.read.options(header=True, sep=";", quote='"', escape='"').csv(f"{root}/csv").orderBy("time").collect()
     assert len(back) == 3 and back[0].note == 'a;"b"' and back[0].time == "0.500000"
     sinks.write_reports(spark.createDataFrame([("p", "pre", 1.0)], "pair string, phase string, a double"), f"{root}/reports")
     with pytest.raises(Exception, match="(?i)exists"):

@@ -17,9 +17,9 @@ EPS = float(np.finfo(float).eps)
 
 
 def band_metrics(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and mean, peak, peak frequency, area of the coherence, mean z, circular phase and phase slope in the beta band.
+    """keys and mean, peak, peak frequency, area of the coherence, mean z, circular mean angle and phase slope in the beta band.
 
-    points: keys, i, f, c, phase, re, im. Neighbours in frequency come from one window over each curve.
+    points: keys, i, f, c, angle, re, im. Neighbours in frequency come from one window over each curve.
     """
     low, high = BANDS["beta"]
     w = Window.partitionBy(*keys).orderBy("f")
@@ -27,7 +27,7 @@ def band_metrics(points: DataFrame, keys: list[str]) -> DataFrame:
     step = inside.withColumns({"f1": F.lead("f").over(w), "c1": F.lead("c").over(w), "re1": F.lead("re").over(w), "im1": F.lead("im").over(w)})
     area = F.sum((F.col("f1") - F.col("f")) * (F.col("c") + F.col("c1")) / 2)
     slope = F.sum(F.col("re") * F.col("im1") - F.col("im") * F.col("re1"))
-    return step.groupBy(*keys).agg(F.avg("c").alias("beta_mean"), F.max("c").alias("beta_peak"), F.min_by("f", F.struct(-F.col("c"), F.col("f"))).alias("beta_peak_hz"), area.alias("beta_auc"), F.avg(fisher_z(F.col("c"))).alias("z_mean"), circular_mean(F.col("phase")).alias("phase"), slope.alias("psi"))
+    return step.groupBy(*keys).agg(F.avg("c").alias("beta_mean"), F.max("c").alias("beta_peak"), F.min_by("f", F.struct(-F.col("c"), F.col("f"))).alias("beta_peak_hz"), area.alias("beta_auc"), F.avg(fisher_z(F.col("c"))).alias("z_mean"), circular_mean(F.col("angle")).alias("angle"), slope.alias("psi"))
 
 
 def confidence_level(n_segments):

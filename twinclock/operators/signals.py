@@ -164,11 +164,11 @@ def cross(fx: np.ndarray, fy: np.ndarray) -> dict[str, np.ndarray]:
     pxx, pyy, pxy = (np.abs(fx) ** 2).mean(0), (np.abs(fy) ** 2).mean(0), (fx * np.conj(fy)).mean(0)
     power = np.maximum(pxx * pyy, np.finfo(float).eps)
     c = pxy / np.sqrt(power)
-    return {"c": np.clip(np.abs(pxy) ** 2 / power, 0, 1), "ic": np.abs(pxy.imag) / np.sqrt(power), "phase": np.angle(pxy), "re": c.real, "im": c.imag}
+    return {"c": np.clip(np.abs(pxy) ** 2 / power, 0, 1), "ic": np.abs(pxy.imag) / np.sqrt(power), "angle": np.angle(pxy), "re": c.real, "im": c.imag}
 
 
 def coherence(pairs: DataFrame, keys: list[str], fs: float) -> DataFrame:
-    """keys, n_segments, and arrays f, c, ic, phase, re, im of each row's signals e and h; rows shorter than a window go."""
+    """keys, n_segments, and arrays f, c, ic, angle, re, im of each row's signals e and h; rows shorter than a window go."""
     win, overlap, nfft = welch_window(fs)
     schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -181,14 +181,14 @@ def coherence(pairs: DataFrame, keys: list[str], fs: float) -> DataFrame:
                 fx, fy = (spectra(np.asarray(own[c], float)[:n], fs, win, overlap, nfft) for c in ("e", "h"))
                 if len(fx):
                     rows.append({**{k: own[k] for k in keys}, "n_segments": len(fx), "f": f, **cross(fx, fy)})
-            yield pd.DataFrame(rows, columns=[*keys, "n_segments", "f", "c", "ic", "phase", "re", "im"])
+            yield pd.DataFrame(rows, columns=[*keys, "n_segments", "f", "c", "ic", "angle", "re", "im"])
 
-    return pairs.select(*keys, "e", "h").mapInPandas(run, f"{schema}, n_segments int, f array<double>, c array<double>, ic array<double>, phase array<double>, re array<double>, im array<double>")
+    return pairs.select(*keys, "e", "h").mapInPandas(run, f"{schema}, n_segments int, f array<double>, c array<double>, ic array<double>, angle array<double>, re array<double>, im array<double>")
 
 
 def curve_points(curves: DataFrame, keys: list[str]) -> DataFrame:
-    """The curves' arrays as rows: keys, i, f, c, ic, phase, re, im."""
-    names = ("f", "c", "ic", "phase", "re", "im")
+    """The curves' arrays as rows: keys, i, f, c, ic, angle, re, im."""
+    names = ("f", "c", "ic", "angle", "re", "im")
     return curves.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("i", "p")).select(*keys, "i", *[F.col(f"p.{n}").alias(n) for n in names])
 
 

@@ -398,11 +398,11 @@ q as (select *, i * 0.5 as f from p), b as (select *, lead(f) over w as f1, lead
 def curve(spark, d):
     e = events(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("run").orderBy("t", "ord")) - 1)
     c, ph = F.least(F.col("value") / 500, F.lit(1.0)), F.col("value") / 100
-    return e.select("run", "i", (F.col("i") * 0.5).alias("f"), c.alias("c"), ph.alias("phase"), (F.sqrt(c) * F.cos(ph)).alias("re"), (F.sqrt(c) * F.sin(ph)).alias("im"))
+    return e.select("run", "i", (F.col("i") * 0.5).alias("f"), c.alias("c"), ph.alias("angle"), (F.sqrt(c) * F.cos(ph)).alias("re"), (F.sqrt(c) * F.sin(ph)).alias("im"))
 
 
 @query("with " + CURVE_SQL + """ select run, round(avg(c), 6) as beta_mean, round(max(c), 6) as beta_peak, arg_max(f, (c, -f)) as beta_peak_hz, round(sum((f1 - f) * (c + c1) / 2), 6) as beta_auc,
-round(avg(atanh(sqrt(least(greatest(c, 0), 1 - 1e-9)))), 6) as z_mean, round(atan2(avg(sin(ph)), avg(cos(ph))), 6) as phase, round(sum(sqrt(c * c1) * sin(ph1 - ph)), 6) as psi from b group by run""")
+round(avg(atanh(sqrt(least(greatest(c, 0), 1 - 1e-9)))), 6) as z_mean, round(atan2(avg(sin(ph)), avg(cos(ph))), 6) as angle, round(sum(sqrt(c * c1) * sin(ph1 - ph)), 6) as psi from b group by run""")
 def band_metrics(spark, d):
     return rounded(coupling.band_metrics(curve(spark, d), ["run"]))
 

@@ -56,8 +56,9 @@ def align(raw_edges: DataFrame, events: DataFrame, runs: DataFrame, keys: list[s
     fits = cut(fits.withColumns({"drift_ppm": fit.drift_ppm(F.col("a")), "state": F.when(why.isNull(), "OK").otherwise("ERR"), "msg": F.coalesce(why, F.lit(""))}))
     good_runs = fits.where("state = 'OK'").select(*KEYS, "a", "b", "duration_s", "fs", "n_samples")
     mapped = clean.join(good_runs, KEYS).select(*KEYS, "a", "b", "duration_s", "fs", "n_samples", (F.col("a") * F.col("t") + F.col("b")).alias("t"), F.col("aux").alias("code")).where(F.col("t").between(0, F.col("duration_s") + 0.1))
-    numbered = {c: fit.numbered(mapped.where(F.col("code") == c), KEYS, ["t"]) for c in ("DIN4", "DIN5")}
-    pairs = trials.valid(trials.paired(numbered["DIN4"].select(*KEYS, "k", "t"), numbered["DIN5"].select(*KEYS, "k", "t"), KEYS)).join(good_runs, KEYS)
+    # edges are numbered as the reference's events: the lag tells how many the recording missed at its start
+    at = lambda c, lag: fit.numbered(mapped.where(F.col("code") == c), KEYS, ["t"]).join(lags.select(*KEYS, lag), KEYS).select(*KEYS, (F.col("k") - F.col(lag)).alias("k"), "t")
+    pairs = trials.valid(trials.paired(at("DIN4", "lag_a"), at("DIN5", "lag_b"), KEYS)).join(good_runs, KEYS)
     made = cut(trials.reconstructed(pairs, KEYS, F.col("duration_s")))
     rows = trials.movement_windows(made, KEYS).join(good_runs, KEYS)
     fs = F.col("fs")
