@@ -73,3 +73,16 @@ def test_query(spark, tmp_path):
     assert [got[4].n_email, got[4].n_ip] == [1, 0] and got[4].base_sha256 == hashlib.sha256(b"email:2:7").hexdigest()
     assert got[4].spans == "email:2:7,email:8:24"
     assert got[2].spans == got[3].spans == "" and got[None].spans == "ip:0:7"
+
+
+def test_looks_lose_nothing(monkeypatch):
+    rng = random.Random(8)
+    parts = ["jane", "mail", " at  ", " at ", "  at ", " dot ", "  dot  ", " point ", ".", "org", "one", "two", "fünf", "25", "(", ")", '"', "_", " ", ", ", "-", " [dot] ", "(at)", "x" * 64, "plus", "ſix", "poınt"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(24))) for _ in range(4000)]
+    texts += ["jane at  mail dot org", "jane at mail.a dot b dot org", "jane at " + ".".join(["h" * 40] * 3) + " dot org", "(4222-2222-2222-two)", '"4222 2222 2222 two"', "(ſix 011 000990139 four)"]
+    guarded = [pii.normalised_spans(t) for t in texts]
+    assert all(guarded[-6:-1])
+    monkeypatch.setattr(pii, "may_spell", lambda low: True)
+    monkeypatch.setattr(pii, "may_address", lambda text, low: True)
+    for t, g in zip(texts, guarded, strict=True):
+        assert g == pii.normalised_spans(t), t

@@ -152,7 +152,7 @@ def spelled_edits(text: str):
         a, b = run.span()
         for m in RUN_PART.finditer(text, a, b):
             if m[1]:
-                yield m.start(), m.end(), SPELLED[m[1].lower()]
+                yield m.start(), m.end(), SPELLED[folded(m[1])]
             else:
                 yield m.start(4), m.end(4), ""
 
@@ -170,15 +170,31 @@ NUMBER_WORDS = frozenset(SPELLED)
 DOT_WORDS = ("dot", "punkt", "punto", "point", "period")
 
 
+WORDS = re.compile(r"[^\W_]+")
+FOLDED = str.maketrans("ſıİ", "sii")  # signs that a pattern takes for ASCII letters when it ignores case
+
+
+def folded(text: str) -> str:
+    return (text if text.isascii() else text.translate(FOLDED)).lower()
+
+
 def may_spell(low: str) -> bool:
-    """Whether four number words or digits stand in a row, a cheap look before the pattern."""
-    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    """Whether four number words or digits stand in a row, a cheap look before the pattern that loses nothing."""
+    words = WORDS.findall(low)
     if NUMBER_WORDS.isdisjoint(words):
         return False
-    return "nnnn" in "".join(["n" if w in NUMBER_WORDS or w[0] in "+0123456789" else " " for w in words])
+    return "nnnn" in "".join(["n" if w in NUMBER_WORDS or w[0] in "0123456789" else " " for w in words])
+
+
+MAY_BRACKET = re.compile(rf"[\[({{<][ ]{{0,2}}(?:{AT}|@|{DOT}|\.)[ ]{{0,2}}[\])}}>]", re.I)
+MAY_AT, MAY_DOT = re.compile(rf"[ ]{AT}[ ]", re.I), re.compile(rf"[ ]{DOT}[ ]", re.I)
 
 
-MAY_ADDRESS = re.compile(rf"[\[({{<][ ]{{0,2}}(?:{AT}|@|{DOT}|\.)[ ]{{0,2}}[\])}}>]|[ ]{AT}[ ][^ ]{{1,63}}[ ]{{1,2}}{DOT}[ ]", re.I)
+def may_address(text: str, low: str) -> bool:
+    """Whether a sign stands in brackets, or a dot word somewhere behind an at word; a cheap look that loses nothing."""
+    if any(c in text for c in "[({<") and MAY_BRACKET.search(text):
+        return True
+    return any(w in low for w in DOT_WORDS) and (at := MAY_AT.search(text)) is not None and MAY_DOT.search(text, at.end() - 1) is not None
 
 
 def normalised_spans(text: str) -> set[tuple[int, int, int]]:
@@ -188,8 +204,8 @@ def normalised_spans(text: str) -> set[tuple[int, int, int]]:
     """
     signs = [(m.start(), m.end(), plain_sign(m[0])) for m in SIGN.finditer(text)] if not text.isascii() else []
     first, starts1, pieces1 = rewrite(text, signs)
-    words, low = [], first.lower()
-    if (any(w in low for w in DOT_WORDS) or any(c in first for c in "[({<")) and MAY_ADDRESS.search(first):
+    words, low = [], folded(first)
+    if may_address(first, low):
         words += address_edits(first)
     if may_spell(low):
         words += spelled_edits(first)
