@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,12 +33,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage through a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column."""
     spark = df.sparkSession
@@ -47,9 +40,14 @@ def stored(df: DataFrame) -> DataFrame:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{where.rstrip('/')}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    del df
-    release(spark)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free(df: DataFrame) -> None:
+    """Empty a table that `stored` gave and nobody reads any more; its files are replaced by one without rows."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
 
 
 def byte_rows(column: pa.Array) -> list[bytes]:
