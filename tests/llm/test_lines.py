@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from twinclock.llm import lines
 
 
@@ -26,7 +27,9 @@ def check(spark, rows, extra=""):
         assert (got[d].n_lines, got[d].n_removed, got[d].line) == (len(parts), len(want[d]), "x")
 
 
-def test_random_lines(spark):
+@pytest.mark.parametrize("crowd", [1000, 3])
+def test_random_lines(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(400)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 40))] for _ in range(40)]
@@ -42,7 +45,9 @@ def test_random_lines(spark):
     check(spark, rows)
 
 
-def test_crowd_of_near_copies(spark):
+@pytest.mark.parametrize("crowd", [1000, 20])
+def test_crowd_of_near_copies(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(30)]
     rows = []
@@ -63,3 +68,17 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert got[0] == got[1] and got[2] == got[3]
     assert sorted([got[0][2], got[2][2]]) in (sorted(["z", "a b\nc d"]), sorted(["a b\nz", "c d"]))
     assert lines.remove_lines(docs.limit(0)).count() == 0
+
+
+def test_long_lines(spark):
+    """Lines of more words than a bitmap has bits, at both sides of the least similarity."""
+    word = [f"w{k}" for k in range(900)]
+    rows = [(1, " ".join(word[:400])), (2, " ".join(word[:500])), (3, " ".join(word[:320])), (4, " ".join(word[80:480])), (5, " ".join(word[44:444]))]
+    check(spark, rows)
+
+
+def test_an_empty_table(spark, tmp_path):
+    from twinclock.llm.queries import QUERIES
+
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op3_lines"](spark, str(tmp_path)).count() == 0

@@ -1,32 +1,35 @@
 """Removal of repeated lines by an exact set-similarity join; column functions only.
 
-A line is the set of its words as they stand (by 64-bit hash). A line goes if an earlier line of any text has a Jaccard similarity of
+A line is the set of its words as they stand. A line goes if an earlier line of any text has a Jaccard similarity of
 `SIMILARITY` or more with it; earlier is by doc_id, text hash and line number, and is judged on the input, not on what is left.
 Words are ordered by rarity: the counts of all words, in a fixed number of hash buckets, rank them. Two similar sets then
 share one of their first n - ceil(0.8 n) + 1 words, the prefix. Lines meet at a prefix word; their lengths, the word's place
-in both, and the parity bitmaps of both sets bound the overlap from above, and what passes is verified on the whole sets.
+in both, and the parity bitmaps of both sets bound the overlap from above, and what passes is verified on the whole sets of words.
 
-First all lines with the same words become one class. Then each class is held against the earliest class at a few of its
-prefix words, which settles crowds of near-copies without pairing them; only classes that this leaves open meet all others.
+First all lines with the same words become one class. Classes that share a prefix word meet. At a word that more than `CROWD`
+classes have in their prefix, they meet only the first of these, which settles crowds of near-copies without pairing
+them; what this leaves open meets all others of the word afterwards.
 
 Null texts count as empty. Lines without words always stay. Rows with equal id and text are repeats of each other
-and get equal results; rows without an id are known by their text. Lines end at a line feed. Extra columns stay out.
+and get equal results; rows without an id are known by their text. Lines end at a line feed. Extra columns stay out. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, stored, table
+from .common import free, stored, table
 from .suffixes import keyed
 
 #: The similarity is five fifths less one; all bounds are in whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS = 1 << 17
-SEEDS = 4  # prefix words at which a class first meets the earliest class
+CROWD = 1000  # classes at a prefix word that meet each other at once
+FILTER_BITS = 22  # the bitmap of wanted lines
 WHERE = ("doc", "mark", "line")
 
 
@@ -40,35 +43,38 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
+def listed(rows: DataFrame, at: str, value: str) -> str:
+    """The values as one text, in order of `at`: how tables of a fixed size come to the driver."""
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value].cast("string")), ",")).first()[0]
+
+
 def rarity(docs: DataFrame) -> Column:
     """array<tinyint> by hash bucket: a step of the logarithm of how often the bucket's words occur, 1 to 127.
 
-    The table has a fixed size at any size of the corpus; it comes to the driver as one string and goes out as a literal.
+    The table has a fixed size at any size of the corpus; it comes to the driver as one text and goes out as a literal.
     """
     lines = docs.select(F.explode(F.split(spaced(F.col("text")), "\n")).alias("body"))
     words = lines.select(F.explode(words_of(F.col("body"))).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b"))
     counts = words.groupBy("b").agg(F.count("*").alias("n"))
     every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(1).cast("long").alias("n")))
     ranks = every.groupBy("b").agg(F.sum("n").alias("n")).select("b", F.least(F.lit(127), 1 + F.floor(F.log2("n") * 4)).cast("int").alias("r"))
-    listed = ranks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"].cast("string")), ","))
-    return F.split(F.lit(listed.first()[0]), ",").cast("array<tinyint>")  # folded into one literal
+    return F.split(F.lit(listed(ranks, "b", "r")), ",").cast("array<tinyint>")  # folded into one literal
 
 
 def sets_of(lines: DataFrame, ranks: Column) -> DataFrame:
-    """doc, mark, line, id (hash of the set), bits (parity bitmap), n, prefix (hashes of its rarest words) of lines; n may be 0."""
-    key = lambda w: F.shiftleft(F.get(ranks, F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    keys = lines.select(*WHERE, F.sort_array(F.array_distinct(F.transform(words_of(F.col("body")), key))).alias("keys"))
-    bits = [parities(F.col("keys"), half) for half in (0, 64)]
+    """doc, mark, line, id (hash of the set), bits and bits2 (parity bitmap), n, prefix (hashes of its rarest words) of lines; n may be 0."""
+    hashed = lines.select(*WHERE, F.array_distinct(F.transform(words_of(F.col("body")), lambda w: F.xxhash64(w))).alias("own"))
+    key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    keys = hashed.select(*WHERE, F.sort_array(F.transform("own", key)).alias("keys"))
     n = F.size("keys")
-    full = keys.select(*WHERE, F.xxhash64("keys").alias("id"), bits[0].alias("bits"), bits[1].alias("bits2"), n.alias("n"), F.slice("keys", F.lit(1), prefix_size(n)).alias("p"))
-    return full.select(*WHERE, "id", "bits", "bits2", "n", F.transform("p", lambda x: (x % 2147483647).cast("int")).alias("prefix"))
+    first = F.slice("keys", F.lit(1), prefix_size(n))
+    return keys.select(*WHERE, F.xxhash64("keys").alias("id"), parities(F.col("keys"), 0).alias("bits"), parities(F.col("keys"), 64).alias("bits2"), n.alias("n"), F.transform(first, lambda x: (x % 2147483647).cast("int")).alias("prefix"))
 
 
 def parities(keys: Column, half: int) -> Column:
     """Half of the set's parity bitmap: each word flips one of 128 bits, so two bitmaps differ in no more bits than the sets in words."""
-    zero = F.lit(0).cast("long")
     one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    return F.aggregate(keys, zero, lambda a, x: F.when(x.bitwiseAND(64) == half, a.bitwiseXOR(one(x))).otherwise(a))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(64) == half, a.bitwiseXOR(one(x))).otherwise(a))
 
 
 def prefix_size(n: Column) -> Column:
@@ -76,85 +82,124 @@ def prefix_size(n: Column) -> Column:
 
 
 def classes_of(lines: DataFrame) -> DataFrame:
-    """One row for each different set: c (a number), id, bits, n, doc, mark, line of its first line, prefix."""
+    """One row for each different set: c (a number), id, bits, bits2, n, doc, mark, line of its first line, prefix."""
     first = lines.groupBy("id", "bits", "bits2", "n").agg(F.min(F.struct(*WHERE)).alias("at"), F.any_value("prefix").alias("prefix"))
     return first.select(F.monotonically_increasing_id().alias("c"), "id", "bits", "bits2", "n", "at.doc", "at.mark", "at.line", "prefix")
 
 
 def may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Length and bitmap filters: sets of these n, bits and bits2 may be similar enough."""
+    """Length, bitmap and place filters: sets of these n, bits and bits2 that share a word, the pos-th of each, may be similar enough."""
     n, m = a("n"), b("n")
     apart = F.bit_count(a("bits").bitwiseXOR(b("bits"))) + F.bit_count(a("bits2").bitwiseXOR(b("bits2")))
-    return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR) & (apart * (NUMERATOR + DENOMINATOR) <= n + m)
+    # with this word, at most so many words can be shared from here on, and so many before
+    shared = 1 + F.least(n - 1 - a("pos"), m - 1 - b("pos")) + F.least(a("pos"), b("pos"))
+    place = shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n + m)
+    return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR) & (apart * (NUMERATOR + DENOMINATOR) <= n + m) & place
 
 
-def first_meetings(classes: DataFrame) -> DataFrame:
-    """Pairs (c, d): a class and an earlier one that is the earliest at one of its prefix words."""
-    key = F.explode(F.slice(F.sort_array("prefix"), 1, SEEDS)).alias("tok")
-    rows = classes.where("n > 3").select(key, "c", "bits", "bits2", "n", *WHERE)
-    seeds = rows.groupBy("tok").agg(F.min(F.struct(*WHERE, "c", "bits", "bits2", "n")).alias("s"), F.count("*").alias("times")).where("times > 1")
-    met = rows.join(seeds, "tok").where((F.col("c") != F.col("s.c")) & may_match(F.col, lambda x: F.col(f"s.{x}")))
-    return met.select("c", F.col("s.c").alias("d")).distinct()
+def at_words(classes: DataFrame) -> DataFrame:
+    """tok, c, n, bits, pos of every prefix word that several classes share; times: how many; least: the first of them."""
+    rows = classes.where("n > 3").select("c", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "tok"))
+    own = Window.partitionBy("tok")
+    return rows.withColumns({"times": F.count("*").over(own), "least": F.min("c").over(own)}).where("times > 1")
 
 
-def all_meetings(classes: DataFrame, matched: DataFrame) -> DataFrame:
-    """Pairs (c, d) of classes that share a prefix word and pass the filters; one of them at least is open still.
+def meetings(rows: DataFrame) -> DataFrame:
+    """Pairs (c, d) of classes that share a prefix word and pass the filters, their sizes n and m, at how many words they met, and if one was crowded.
 
-    Both sides of the join read one exchange of the prefix rows.
+    Both sides of the join read one exchange. At a crowded word one row, the first class, stands on the left; it meets itself
+    too, which tells that there is such a word.
     """
-    open_ = classes.where("n > 3").join(matched.withColumn("done", F.lit(True)), "c", "left")
-    rows = open_.select("c", "bits", "bits2", "n", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("pos", "tok"))
-    a, b = rows.alias("a"), rows.alias("b")
-    col = lambda side, name: F.col(f"{side}.{name}")
-    # with this word, at most so many words can be shared from here on
-    left = 1 + F.least(col("a", "n") - 1 - col("a", "pos"), col("b", "n") - 1 - col("b", "pos"))
-    shared_before = F.least(col("a", "pos"), col("b", "pos"))
-    place = (left + shared_before) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (col("a", "n") + col("b", "n"))
-    wanted = (col("a", "c") < col("b", "c")) & (col("a", "open") | col("b", "open"))
-    pairs = a.join(b, (col("a", "tok") == col("b", "tok")) & wanted & may_match(lambda x: col("a", x), lambda x: col("b", x)) & place)
-    return pairs.select(col("a", "c").alias("c"), col("b", "c").alias("d")).distinct()
+    col = lambda side: lambda name: F.col(f"{side}.{name}")
+    a, b = rows.where((F.col("times") <= CROWD) | (F.col("c") == F.col("least"))).alias("a"), rows.alias("b")
+    wanted = (F.col("a.times") > CROWD) | (F.col("a.c") < F.col("b.c"))
+    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & wanted & may_match(col("a"), col("b")))
+    return pairs.groupBy(F.col("a.c").alias("c"), F.col("b.c").alias("d")).agg(F.any_value("a.n").alias("n"), F.any_value("b.n").alias("m"), F.count("*").alias("s"), F.max(F.col("a.times") > CROWD).alias("crowded"))
+
+
+def enough_shared() -> Column:
+    """Of a pair (n, m, s) that met at all s words that its prefixes share: those and all words behind the longer prefix are enough."""
+    behind = F.greatest(F.col("n") - prefix_size(F.col("n")), F.col("m") - prefix_size(F.col("m")))
+    return (F.col("s") + behind) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("n") + F.col("m"))
+
+
+def crowded_meetings(crowd: DataFrame, matched: DataFrame) -> DataFrame:
+    """Pairs (c, d) of classes that meet at a crowded word and pass the filters; c has no earlier similar class yet."""
+    col = lambda side: lambda name: F.col(f"{side}.{name}")
+    a, b = crowd.join(matched, "c", "left_anti").alias("a"), crowd.alias("b")
+    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.c") != F.col("b.c")) & may_match(col("a"), col("b")))
+    return pairs.select(F.col("a.c").alias("c"), F.col("b.c").alias("d")).distinct()
+
+
+def among(rows: DataFrame, *at: str) -> Column:
+    """Whether a row's columns `at` may be those of one of these rows: a bitmap of fixed size, which lets few others pass while they are few."""
+    words = 1 << FILTER_BITS - 6
+    place = F.xxhash64(*at)
+    which, bit = F.shiftright(place.bitwiseAND((1 << FILTER_BITS) - 1), 6).cast("int"), place.bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    spark = rows.sparkSession
+    some = rows.select(which.alias("k"), one.alias("x")).unionByName(spark.range(words).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("x")))
+    bitmap = F.split(F.lit(listed(some.groupBy("k").agg(F.bit_or("x").alias("x")), "k", "x")), ",").cast("array<bigint>")
+    return F.get(bitmap, which).bitwiseAND(one) != 0
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The classes (c) that have an earlier similar one among the pairs, by their lines' whole sets of words."""
-    places = classes.select("c", *WHERE)
-    need = pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct().join(places, "c")
-    per_doc = need.groupBy("doc", "mark").agg(F.collect_set(F.struct("line", "c")).alias("need"))
-    lines = docs.select("doc", "mark", "text").join(per_doc, ["doc", "mark"])
-    picked = lines.select("doc", "mark", F.split(spaced(F.col("text")), "\n").alias("parts"), F.explode("need").alias("x")).select("doc", "mark", "x.line", "x.c", F.get("parts", F.col("x.line")).alias("body"))
-    hashed = F.array_distinct(F.transform(words_of(F.col("body")), lambda w: F.xxhash64(w)))
-    sets = cut(picked.select("c", *WHERE, hashed.alias("words")).dropDuplicates(["c"]))
+    """The classes (c) that have an earlier similar one among the pairs, by the words of their first lines.
+
+    Only lines that a bitmap of the wanted ones lets pass leave their task.
+    """
+    need = stored(pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct().join(classes.select("c", *WHERE), "c"))
+    lines = docs.select("doc", "mark", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "body")).where(among(need, *WHERE))
+    sets = lines.join(need, [*WHERE]).select("c", *WHERE, F.array_distinct(words_of(F.col("body"))).alias("words")).dropDuplicates(["c"])
+    sets = stored(sets)
     a = sets.select("c", F.struct(*WHERE).alias("c_at"), F.col("words").alias("c_words"))
     b = sets.select(F.col("c").alias("d"), F.struct(*WHERE).alias("d_at"), F.col("words").alias("d_words"))
     both = pairs.join(a, "c").join(b, "d")
     shared = F.size(F.array_intersect("c_words", "d_words"))
     alike = both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("c_words") + F.size("d_words")))
-    return alike.select(F.when(F.col("c_at") > F.col("d_at"), F.col("c")).otherwise(F.col("d")).alias("c")).distinct()
+    out = stored(alike.select(F.when(F.col("c_at") > F.col("d_at"), F.col("c")).otherwise(F.col("d")).alias("c")).distinct())
+    free(need)
+    free(sets)
+    return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc, mark, gone (array of line numbers, from 0): what similar earlier lines take away; docs as `keyed` gives them."""
     ranks = rarity(docs)
     split = docs.select("doc", "mark", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "body"))
-    lines = stored(sets_of(split, ranks)).where("n > 0")
+    lines = stored(sets_of(split, ranks).where("n > 0"))
     classes = stored(classes_of(lines))
-    early = cut(verified(cut(first_meetings(classes)), classes, docs))
-    release(docs.sparkSession)
-    met = cut(all_meetings(classes, early))
-    release(docs.sparkSession)
-    matched = cut(early.unionByName(verified(met, classes, docs)).distinct())
-    release(docs.sparkSession)
+    met = stored(meetings(at_words(classes)))
+    some = met.where("c <> d")
+    if met.where("crowded").isEmpty():
+        matched = verified(some.where(enough_shared()), classes, docs)
+    else:
+        crowd = stored(at_words(classes).where(F.col("times") > CROWD))
+        # classes with crowded words may share more than they met at
+        more = some.where(~enough_shared()).join(crowd.select("c").distinct(), "c", "left_semi")
+        early = verified(some.where(enough_shared()).unionByName(more), classes, docs)
+        late = stored(crowded_meetings(crowd, early))
+        matched = stored(early.unionByName(verified(late, classes, docs)).distinct())
+        for used in (crowd, early, late):
+            free(used)
+    free(met)
     verdict = classes.join(matched.withColumn("hit", F.lit(True)), "c", "left").select("id", "bits", "bits2", "n", F.struct(*WHERE).alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.drop("prefix").join(verdict, ["id", "bits", "bits2", "n"]).where(F.col("hit") | (F.struct(*WHERE) != F.col("first")))
-    return gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    gone = lines.select(*WHERE, "id", "bits", "bits2", "n").join(verdict, ["id", "bits", "bits2", "n"]).where(F.col("hit") | (F.struct(*WHERE) != F.col("first")))
+    out = stored(gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone")))
+    for used in (lines, classes, matched):
+        free(used)
+    return out
 
 
 def remove_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, `keep` columns, n_lines, n_removed, gone (line numbers from 0) and kept (the text that remains) of every row."""
     own = keyed(docs, keep)
-    none = F.array().cast("array<int>")
-    joined = own.join(removed_lines(own.select("doc_id", "text", "doc", "mark")), ["doc", "mark"], "left")
-    parts = joined.select("doc_id", *keep, F.split("text", "\n").alias("parts_"), F.coalesce("gone", none).alias("gone"))
+    gone = removed_lines(own.select("doc_id", "text", "doc", "mark"))
+    touched = among(gone, "doc", "mark")  # other texts stay in their task
+    names = ["doc_id", *keep, "text"]
+    whole = own.where(~touched).select(*names, F.array().cast("array<int>").alias("gone"))
+    cut = own.where(touched).join(gone, ["doc", "mark"], "left").select(*names, F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    parts = whole.unionByName(cut).select("doc_id", *keep, F.split("text", "\n").alias("parts_"), "gone")
     left = F.array_except(F.sequence(F.lit(0), F.size("parts_") - 1), F.col("gone"))
     kept = F.when(F.size("gone") == 0, F.array_join("parts_", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts_", i)), "\n"))
     return parts.select("doc_id", *keep, F.size("parts_").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), "gone", kept.alias("kept"))
