@@ -29,6 +29,7 @@ from .suffixes import keyed
 NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS = 1 << 17
 CROWD = 1000  # classes at a prefix word that meet each other at once
+LONG = 64  # words beyond which a line's bitmap has two halves
 FILTER_BITS = 22  # the bitmap of wanted lines
 WHERE = ("doc", "mark", "line")
 
@@ -67,14 +68,16 @@ def sets_of(lines: DataFrame, ranks: Column) -> DataFrame:
     key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     keys = hashed.select(*WHERE, F.sort_array(F.transform("own", key)).alias("keys"))
     n = F.size("keys")
-    first = F.slice("keys", F.lit(1), prefix_size(n))
-    return keys.select(*WHERE, F.xxhash64("keys").alias("id"), parities(F.col("keys"), 0).alias("bits"), parities(F.col("keys"), 64).alias("bits2"), n.alias("n"), F.transform(first, lambda x: (x % 2147483647).cast("int")).alias("prefix"))
+    first, (bits, half) = F.slice("keys", F.lit(1), prefix_size(n)), parities(F.col("keys"), n)
+    return keys.select(*WHERE, F.xxhash64("keys").alias("id"), bits.alias("bits"), half.alias("bits2"), n.alias("n"), F.transform(first, lambda x: (x % 2147483647).cast("int")).alias("prefix"))
 
 
-def parities(keys: Column, half: int) -> Column:
-    """Half of the set's parity bitmap: each word flips one of 128 bits, so two bitmaps differ in no more bits than the sets in words."""
+def parities(keys: Column, n: Column) -> tuple[Column, Column]:
+    """The set's parity bitmap, and that of half of its words where they are many: two bitmaps differ in no more bits than the sets in words."""
     one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: F.when(x.bitwiseAND(64) == half, a.bitwiseXOR(one(x))).otherwise(a))
+    none = F.lit(0).cast("long")
+    half = F.aggregate(keys, none, lambda a, x: F.when(x.bitwiseAND(64) == 0, a.bitwiseXOR(one(x))).otherwise(a))
+    return F.aggregate(keys, none, lambda a, x: a.bitwiseXOR(one(x))), F.when(n > LONG, half).otherwise(none)
 
 
 def prefix_size(n: Column) -> Column:
@@ -82,39 +85,45 @@ def prefix_size(n: Column) -> Column:
 
 
 def classes_of(lines: DataFrame) -> DataFrame:
-    """One row for each different set: c (a number), id, bits, bits2, n, doc, mark, line of its first line, prefix."""
+    """One row for each different set: c (a number, in the order of first lines), id, bits, bits2, n, doc, mark, line of its first line, prefix."""
     first = lines.groupBy("id", "bits", "bits2", "n").agg(F.min(F.struct(*WHERE)).alias("at"), F.any_value("prefix").alias("prefix"))
-    return first.select(F.monotonically_increasing_id().alias("c"), "id", "bits", "bits2", "n", "at.doc", "at.mark", "at.line", "prefix")
+    return first.orderBy("at").select(F.monotonically_increasing_id().alias("c"), "id", "bits", "bits2", "n", "at.doc", "at.mark", "at.line", "prefix")
 
 
 def may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """Length, bitmap and place filters: sets of these n, bits and bits2 that share a word, the pos-th of each, may be similar enough."""
     n, m = a("n"), b("n")
-    apart = F.bit_count(a("bits").bitwiseXOR(b("bits"))) + F.bit_count(a("bits2").bitwiseXOR(b("bits2")))
+    whole, half = (a(c).bitwiseXOR(b(c)) for c in ("bits", "bits2"))
+    apart = F.when((n > LONG) & (m > LONG), F.bit_count(half) + F.bit_count(half.bitwiseXOR(whole))).otherwise(F.bit_count(whole))
     # with this word, at most so many words can be shared from here on, and so many before
     shared = 1 + F.least(n - 1 - a("pos"), m - 1 - b("pos")) + F.least(a("pos"), b("pos"))
     place = shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n + m)
     return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR) & (apart * (NUMERATOR + DENOMINATOR) <= n + m) & place
 
 
+def prefix_rows(classes: DataFrame) -> DataFrame:
+    """tok, c, n, bits, bits2, pos of every prefix word of the classes; smaller sets are only similar to equal ones."""
+    return classes.where("n > 3").select("c", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "tok"))
+
+
 def at_words(classes: DataFrame) -> DataFrame:
-    """tok, c, n, bits, pos of every prefix word that several classes share; times: how many; least: the first of them."""
-    rows = classes.where("n > 3").select("c", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "tok"))
+    """The rows of words that several classes share; times: how many; least: the first of them."""
     own = Window.partitionBy("tok")
-    return rows.withColumns({"times": F.count("*").over(own), "least": F.min("c").over(own)}).where("times > 1")
+    return prefix_rows(classes).withColumns({"times": F.count("*").over(own), "least": F.min("c").over(own)}).where("times > 1")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Pairs (c, d) of classes that share a prefix word and pass the filters, their sizes n and m, at how many words they met, and if one was crowded.
+    """Pairs (c, d) of classes, d the later, that share a prefix word and pass the filters, their sizes n and m, and at how many words they met.
 
     Both sides of the join read one exchange. At a crowded word one row, the first class, stands on the left; it meets itself
-    too, which tells that there is such a word.
+    too, in a row that names the word.
     """
     col = lambda side: lambda name: F.col(f"{side}.{name}")
     a, b = rows.where((F.col("times") <= CROWD) | (F.col("c") == F.col("least"))).alias("a"), rows.alias("b")
-    wanted = (F.col("a.times") > CROWD) | (F.col("a.c") < F.col("b.c"))
+    wanted = (F.col("a.c") < F.col("b.c")) | (F.col("a.times") > CROWD) & (F.col("a.c") == F.col("b.c"))
     pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & wanted & may_match(col("a"), col("b")))
-    return pairs.groupBy(F.col("a.c").alias("c"), F.col("b.c").alias("d")).agg(F.any_value("a.n").alias("n"), F.any_value("b.n").alias("m"), F.count("*").alias("s"), F.max(F.col("a.times") > CROWD).alias("crowded"))
+    crowded = F.when(F.col("a.c") == F.col("b.c"), F.col("a.tok"))
+    return pairs.groupBy(F.col("a.c").alias("c"), F.col("b.c").alias("d"), crowded.alias("crowded")).agg(F.any_value("a.n").alias("n"), F.any_value("b.n").alias("m"), F.count("*").alias("s"))
 
 
 def enough_shared() -> Column:
@@ -124,10 +133,10 @@ def enough_shared() -> Column:
 
 
 def crowded_meetings(crowd: DataFrame, matched: DataFrame) -> DataFrame:
-    """Pairs (c, d) of classes that meet at a crowded word and pass the filters; c has no earlier similar class yet."""
+    """Pairs (c, d) of classes that meet at a crowded word and pass the filters; d has no earlier similar class yet."""
     col = lambda side: lambda name: F.col(f"{side}.{name}")
-    a, b = crowd.join(matched, "c", "left_anti").alias("a"), crowd.alias("b")
-    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.c") != F.col("b.c")) & may_match(col("a"), col("b")))
+    a, b = crowd.alias("a"), crowd.join(matched, "c", "left_anti").alias("b")
+    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.c") < F.col("b.c")) & may_match(col("a"), col("b")))
     return pairs.select(F.col("a.c").alias("c"), F.col("b.c").alias("d")).distinct()
 
 
@@ -144,22 +153,25 @@ def among(rows: DataFrame, *at: str) -> Column:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The classes (c) that have an earlier similar one among the pairs, by the words of their first lines.
+    """The classes (c) that have an earlier similar one among the pairs (c, d), by the words of their first lines.
 
-    Only lines that a bitmap of the wanted ones lets pass leave their task.
+    Each class is held against the first that it met, and only what stays open against the others, so that a group of near copies
+    is not held pair by pair. Only lines that a bitmap of the wanted ones lets pass leave their task.
     """
     need = stored(pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct().join(classes.select("c", *WHERE), "c"))
     lines = docs.select("doc", "mark", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "body")).where(among(need, *WHERE))
-    sets = lines.join(need, [*WHERE]).select("c", *WHERE, F.array_distinct(words_of(F.col("body"))).alias("words")).dropDuplicates(["c"])
-    sets = stored(sets)
-    a = sets.select("c", F.struct(*WHERE).alias("c_at"), F.col("words").alias("c_words"))
-    b = sets.select(F.col("c").alias("d"), F.struct(*WHERE).alias("d_at"), F.col("words").alias("d_words"))
-    both = pairs.join(a, "c").join(b, "d")
-    shared = F.size(F.array_intersect("c_words", "d_words"))
-    alike = both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("c_words") + F.size("d_words")))
-    out = stored(alike.select(F.when(F.col("c_at") > F.col("d_at"), F.col("c")).otherwise(F.col("d")).alias("c")).distinct())
-    free(need)
-    free(sets)
+    sets = stored(lines.join(need, [*WHERE]).select("c", F.array_distinct(words_of(F.col("body"))).alias("words")).dropDuplicates(["c"]))
+
+    def alike(some: DataFrame) -> DataFrame:
+        both = some.join(sets.withColumnRenamed("words", "c_words"), "c").join(sets.select(F.col("c").alias("d"), F.col("words").alias("d_words")), "d")
+        shared = F.size(F.array_intersect("c_words", "d_words"))
+        return both.where(shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.size("c_words") + F.size("d_words"))).select(F.col("d").alias("c")).distinct()
+
+    early = stored(alike(pairs.groupBy("d").agg(F.min("c").alias("c"))))
+    open_ = pairs.select("c", "d").join(early.select(F.col("c").alias("d")), "d", "left_anti")
+    out = stored(early.unionByName(alike(open_)))
+    for used in (need, sets, early):
+        free(used)
     return out
 
 
@@ -167,14 +179,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """doc, mark, gone (array of line numbers, from 0): what similar earlier lines take away; docs as `keyed` gives them."""
     ranks = rarity(docs)
     split = docs.select("doc", "mark", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "body"))
-    lines = stored(sets_of(split, ranks).where("n > 0"))
-    classes = stored(classes_of(lines))
+    lines = stored(sets_of(split, ranks))  # the condition comes after: before, Spark would work the sets out for it as well
+    classes = stored(classes_of(lines.where("n > 0")))
     met = stored(meetings(at_words(classes)))
     some = met.where("c <> d")
-    if met.where("crowded").isEmpty():
+    crowded = met.where("crowded is not null").select(F.col("crowded").alias("tok"))
+    if crowded.isEmpty():
         matched = verified(some.where(enough_shared()), classes, docs)
     else:
-        crowd = stored(at_words(classes).where(F.col("times") > CROWD))
+        crowd = stored(prefix_rows(classes).where(among(crowded, "tok")).join(crowded, "tok", "left_semi"))
         # classes with crowded words may share more than they met at
         more = some.where(~enough_shared()).join(crowd.select("c").distinct(), "c", "left_semi")
         early = verified(some.where(enough_shared()).unionByName(more), classes, docs)
@@ -184,7 +197,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             free(used)
     free(met)
     verdict = classes.join(matched.withColumn("hit", F.lit(True)), "c", "left").select("id", "bits", "bits2", "n", F.struct(*WHERE).alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.select(*WHERE, "id", "bits", "bits2", "n").join(verdict, ["id", "bits", "bits2", "n"]).where(F.col("hit") | (F.struct(*WHERE) != F.col("first")))
+    gone = lines.where("n > 0").select(*WHERE, "id", "bits", "bits2", "n").join(verdict, ["id", "bits", "bits2", "n"]).where(F.col("hit") | (F.struct(*WHERE) != F.col("first")))
     out = stored(gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone")))
     for used in (lines, classes, matched):
         free(used)
