@@ -25,7 +25,7 @@ from .common import by_bytes, scratch_names, table
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts below U+0250, where the classes are short; the standard library's matcher is faster.
 LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+| ?[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
-CACHED_PIECES = 200_000  # a generation of the piece cache; two are kept
+CACHED_PIECES = 60_000  # a generation of the piece cache; two are kept
 LONGEST_CACHED = 48
 
 

@@ -58,7 +58,7 @@ def byte_rows(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about `limit` bytes; a longer text is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:

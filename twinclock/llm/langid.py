@@ -6,7 +6,9 @@ path over a text's words pays a fixed penalty for each switch; the best path giv
 
 The model is fitted on a bounded sample (`SAMPLE_PER_LANG` labelled documents of each language in expectation, chosen
 by a hash of the id); its tables have a fixed number of n-gram buckets. Null texts and texts without letters are `und`
-with score 0, as is everything where no labelled text exists. Repeated rows are labelled one by one; other columns
+with score 0, as is everything where no labelled text exists. A word in a script that no language uses speaks for none: it takes
+its neighbours' label and lowers the score by its share of the text's letters, so a text of such words alone has the first
+language by name and score 0. An empty table gives no rows. Repeated rows are labelled one by one; other columns
 stay out. Ties go to the language that comes first by name.
 """
 
@@ -29,7 +31,8 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 FLOOR = -8.0
 SWITCH = 14.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
+SLICE = 1 << 20  # bytes of text that are labelled at once
 WORD = re.compile(r"[^\W\d_]+")
 #: First signs of blocks of the code space, by script; signs before the first are Latin.
 SCRIPTS = (
@@ -38,6 +41,7 @@ SCRIPTS = (
     (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"),
     (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other"),
 )
+NOWHERE = np.zeros(1, bool)
 SCRIPT_STARTS = [s for s, _ in SCRIPTS]
 SCRIPT_NAMES = ("latin", *[n for _, n in SCRIPTS])
 
@@ -48,6 +52,27 @@ def script_of(word: str) -> str:
     return SCRIPT_NAMES[bisect_right(SCRIPT_STARTS, ord(word[0]))]
 
 
+def letters(word: str) -> list[str]:
+    """The runs of letters in a word; signs such as a superscript two are none."""
+    return [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
+
+
+def words_in(text: str) -> list[str]:
+    found = WORD.findall(text)
+    return found if all(map(str.isalpha, found)) else [w for x in found for w in letters(x)]
+
+
+def word_starts(text: str) -> list[int]:
+    out = []
+    for m in WORD.finditer(text):
+        at = 0
+        for w in letters(m.group()):
+            at = m.group().index(w, at)
+            out.append(m.start() + at)
+            at += len(w)
+    return out
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' n-grams (three bytes, word ends marked, and two), and where each word's begin."""
     x = np.frombuffer(b"\0" + "\0".join(words).lower().encode() + b"\0", np.uint8).astype(np.uint32)
@@ -69,6 +94,7 @@ class Model:
     def __post_init__(self):
         self.number: dict[str, int] = {}
         self.scores = np.zeros((1024, max(1, len(self.langs))), np.float32)
+        self.placed = np.zeros(1024, bool)  # whether any language uses the word's script
 
     def score(self, words: list[str]) -> np.ndarray:
         """Word by language: log-likelihoods below the best candidate's, not under `FLOOR`."""
@@ -90,7 +116,9 @@ class Model:
             self.number.update(zip(fresh, range(first, first + len(fresh)), strict=True))
             while len(self.number) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                self.placed = np.concatenate([self.placed, np.zeros_like(self.placed)])
             self.scores[first : first + len(fresh)] = self.score(fresh)
+            self.placed[first : first + len(fresh)] = [bool(self.scripts.get(script_of(w), NOWHERE).any()) for w in fresh]
             out = [self.number[w] for w in words]
         return out
 
@@ -101,13 +129,14 @@ class Model:
 
 def viterbi(ids: np.ndarray, sizes: np.ndarray, scores: np.ndarray, penalty: float) -> np.ndarray:
     """The label of each word; ids are the texts' words one text after the other. All texts take a step together."""
-    labels = np.zeros(len(ids), np.uint8)
+    n_langs = scores.shape[1]
+    kind = np.min_scalar_type(n_langs)
+    labels = np.zeros(len(ids), kind)
     starts = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
     starts, long = starts[order], sizes[order]
-    n_langs = scores.shape[1]
-    came = np.zeros((len(ids), n_langs), np.uint8)
-    own = np.arange(n_langs, dtype=np.uint8)
+    came = np.zeros((len(ids), n_langs), kind)
+    own = np.arange(n_langs, dtype=kind)
     best = np.zeros((len(sizes), n_langs), np.float32)
     steps = int(long[0]) if len(long) else 0
     active = np.searchsorted(-long, -np.arange(steps), side="left")
@@ -122,7 +151,7 @@ def viterbi(ids: np.ndarray, sizes: np.ndarray, scores: np.ndarray, penalty: flo
             came[at] = np.where(stay, own, top[:, None])
             now = np.where(stay, now, switched)
         best[:k] = now + scores[ids[at]]
-    state = best.argmax(axis=1).astype(np.uint8)
+    state = best.argmax(axis=1).astype(kind)
     for t in range(steps - 1, -1, -1):
         k = active[t]
         at = starts[:k] + t
@@ -146,7 +175,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
         scripts: dict[str, Counter] = {}
         for batch in by_bytes(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words = WORD.findall(text)
+                words = words_in(text)
                 if words:
                     for w, n in Counter(words).items():
                         scripts.setdefault(lang, Counter())[script_of(w)] += n * len(w)
@@ -175,29 +204,34 @@ def spans_of(text: str, labels: np.ndarray) -> list[tuple[int, int, int]]:
     if not len(turns):
         return [(int(labels[0]), 0, len(text))]
     wanted, cuts = set(turns.tolist()), [0]
-    cuts += [m.start() for k, m in enumerate(WORD.finditer(text)) if k in wanted] + [len(text)]
+    cuts += [at for k, at in enumerate(word_starts(text)) if k in wanted] + [len(text)]
     firsts = [int(labels[0]), *labels[turns].tolist()]
     return [(x, a, b) for x, a, b in zip(firsts, cuts[:-1], cuts[1:], strict=True)]
 
 
 def label(docs: DataFrame, model: Model, penalty: float = SWITCH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, lang_pred, score (the share of the text in lang_pred's spans) and spans of every whole text."""
+    """`keep` columns, lang_pred, score (the share of the text in lang_pred's spans, times that of letters in known scripts) and spans of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text, pred, score, spans = scratch_names(docs.select(*keep), "text_", "lang_pred", "score", "spans")
+    kept = "text" in keep and docs.schema["text"].dataType.typeName() == "string"  # then the text goes to Python once
+    text = "text" if kept else text
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
         own = shared.value
-        for batch in by_bytes(batches, text, 8 << 20):
+        for batch in by_bytes(batches, text, SLICE):
             own.forget()
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            found = [WORD.findall(t) if own.langs else [] for t in texts]
+            found = [words_in(t) if own.langs else [] for t in texts]
             sizes = [len(w) for w in found]
-            labels = viterbi(np.array(own.numbers([w for ws in found for w in ws]), np.int64), np.array(sizes), own.scores, penalty)
-            del found
+            words = [w for ws in found for w in ws]
+            ids = np.array(own.numbers(words), np.int64)
+            labels = viterbi(ids, np.array(sizes), own.scores, penalty)
+            of, long = np.repeat(np.arange(len(texts)), sizes), np.fromiter(map(len, words), float, len(words))
+            placed = np.bincount(of, weights=long * own.placed[ids], minlength=len(texts)) / np.maximum(1, np.bincount(of, weights=long, minlength=len(texts)))
             out: list[list] = [[], [], []]
             end = 0
-            for t, n in zip(texts, sizes, strict=True):
+            for t, n, known in zip(texts, sizes, placed.tolist(), strict=True):
                 start, end = end, end + n
                 parts = spans_of(t, labels[start:end]) if n else []
                 share: Counter = Counter()
@@ -205,12 +239,12 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH, keep: tuple[st
                     share[x] += b - a
                 top = min(share, key=lambda x: (-share[x], x), default=None)
                 out[0].append("und" if top is None else own.langs[top])
-                out[1].append(0.0 if top is None else share[top] / len(t))
+                out[1].append(0.0 if top is None else known * share[top] / len(t))
                 out[2].append([{"lang": own.langs[x], "start": a, "stop": b} for x, a, b in parts])
             cols = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], kind)], names=[*keep, pred, score, spans])
 
-    narrow = docs.select(*keep, F.col("text").cast("string").alias(text))
+    narrow = docs.select(*keep) if kept else docs.select(*keep, F.col("text").cast("string").alias(text))
     schema = docs.select(*keep, F.lit("").alias(pred), F.lit(0.0).alias(score), F.lit(None).cast("array<struct<lang:string,start:int,stop:int>>").alias(spans)).schema
     return narrow.mapInArrow(run, schema)
 
