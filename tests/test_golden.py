@@ -87,13 +87,37 @@ def test_segments(spark):
 
 def test_as_of_trials(spark):
     w = trials.first_before_next(stream(spark, [1, 5, 9]), stream(spark, [0.5, 3, 3.5, 9.2]), ["run"], ["t"])
-    got = trials.event_trials(w, ["run"], 100.0).collect()
+    got = trials.event_trials(w, ["run"], 100.0, F.lit(5000)).collect()
     assert [(r.i1, r.i2) for r in got] == [(101, 300)]
 
 
 def test_fixed_epochs(spark):
-    got = trials.fixed_epochs(stream(spark, [0.1, 1.0]), ["run"], 1000.0, F.lit(3000)).collect()
-    assert [r.t for r in got] == [1.0]
+    got = trials.fixed_epochs(stream(spark, [0.1, 1.0, 10.0, 28.1]), ["run"], 1000.0, F.lit(30000)).collect()
+    assert sorted((r.t, r.i1, r.i2) for r in got) == [(1.0, 801, 3001), (10.0, 9802, 12001)]  # 1 - 0.199 falls just short of 0.801
+
+
+def test_trials_stay_within_the_recording(spark):
+    w = frame(spark, [(1, -0.5, 0.8), (2, 9.0, 30.0), (3, 1.0, 1.2)], "run int, t double, t_start double")
+    got = sorted((r.run, r.i1, r.i2) for r in trials.event_trials(w, ["run"], 100.0, F.lit(1000)).collect())
+    assert got == [(1, 1, 80), (2, 901, 1000)]
+    spans = w.select("run", F.col("t").alias("t_from"), F.col("t_start").alias("t_to"))
+    assert sorted((r.run, r.i1, r.i2) for r in trials.seconds_to_trials(spans, ["run"], 100.0, F.lit(1000)).collect()) == got
+
+
+def test_edges_without_expected_events_stay(spark):
+    want = frame(spark, [(1, 2, 0.12)], "run int, expected int, gap double")
+    got = edges.clean_edges(frame(spark, [(1, 0.0), (2, 0.0), (2, 0.05), (2, 1.0)], "run int, t double"), want, ["run"]).collect()
+    assert sorted((r.run, r.t, r.ratio) for r in got) == [(1, 0.0, 0.5), (2, 0.0, None), (2, 1.0, None)]
+
+
+def test_sources_of_runs(spark):
+    from twinclock.sources import recordings
+
+    files = frame(spark, [(0, "/a/sub01_reach_sx/sources.mat"), (1, "/a/sub01_reach_dx/sources.mat"), (2, "/a/sub02/sources.mat")], "ord int, path string")
+    runs = frame(spark, [("sub01_reach_dx", "pre", "x.mat", None), ("sub01_reach_dx", "post", None, "y.mat"), ("sub01_reach_dx", "pre", None, None), ("other", "pre", None, None)], "pair string, phase string, given string, local string")
+    got = [(r.source, r.status) for r in recordings.source_of_runs(runs, files).collect()]
+    assert got == [("x.mat", "from_report"), ("y.mat", "local_match"), ("/a/sub01_reach_dx/sources.mat", "indexed_match_3"), (None, "indexed_not_matched")]
+    assert {r.status for r in recordings.source_of_runs(runs.where("given is null and local is null"), files.limit(0)).collect()} == {"not_found"}
 
 
 def test_matching_metrics_and_blockers(spark):
@@ -112,7 +136,11 @@ def test_missing_recall_is_not_ready(spark):
     row = [(1, 30, 30, None, 0.99, 1.0, 2.0, 0.5, 0, 10.0), (2, 30, 30, 0.99, 0.99, 1.0, 2.0, 0.5, 0, 9000.0)]
     runs = frame(spark, row, "run int, n_din4 int, n_din5 int, recall_din4 double, recall_din5 double, median_ms double, p95_ms double, mad_ms double, n_high int, drift_ppm double")
     got = {r.run: (r.ready, r.reason, r.drift_warning) for r in match.readiness(runs, match.criteria(spark)).collect()}
-    assert got == {1: (False, "recall", False), 2: (True, "ok", True)}
+    assert got == {1: (False, "low_recall", False), 2: (True, "alignment_good_for_csc_high_drift_corrected", True)}
+    one_ = match.readiness(runs, match.criteria(spark)).where("run = 1").first()
+    assert (one_.excess_ms, one_.threshold_ms, one_.margin_ms) == (0.0, 8.0, 6.0)
+    checks = {r.check: (r.threshold, r.value, r["pass"]) for r in match.check_rows(runs.where("run = 1"), match.criteria(spark), ["run"]).collect()}
+    assert checks["recall_din4"] == (">= 0.98", "NaN", "FALSE") and checks["mad_ms"] == ("<= 1.0", "0.500000", "TRUE") and checks["drift_ppm"][0] == "warning if > 2000"
 
 
 def test_numbers(spark):

@@ -113,3 +113,32 @@ def report_place(path: Column) -> tuple[Column, Column]:
 
 def event_code_class(code: Column) -> Column:
     return F.when(code.isin("DIN1", "DIN4", "DIN5"), "OTB_trigger").otherwise("OTB_reconstructed")
+
+
+#: Words of a pair's name that name no recording, and what a path of either side holds.
+PAIR_STOP = ("bids", "ses", "session", "pair", "pre", "post")
+SIDE_MARKS = {"dx": "dx|destra|right", "sx": "sx|sin|left"}
+
+
+def pair_tokens(pair: Column, phase_name: Column) -> Column:
+    """Words of two signs or more of a pair's name in order, without those of `PAIR_STOP`, and its phase if it is not among them."""
+    words = F.split(F.regexp_replace(F.lower(pair), "[^a-z0-9]+", "_"), "_")
+    own = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*PAIR_STOP))
+    low = F.lower(F.coalesce(phase_name, F.lit("")))
+    return F.when((low == "") | F.array_contains(own, low), own).otherwise(F.array_append(own, low))
+
+
+def pair_side(pair: Column) -> Column:
+    low = F.lower(pair)
+    return F.when(low.rlike("_dx(_|$)|reachdx|destra|right"), "dx").when(low.rlike("_sx(_|$)|reachsx|sin|left"), "sx").otherwise("")
+
+
+def side_compatible(side_name: Column, path: Column) -> Column:
+    """Whether a path may belong to that side; every path may belong to none."""
+    low = F.lower(path)
+    return F.when(side_name == "dx", low.rlike(SIDE_MARKS["dx"])).when(side_name == "sx", low.rlike(SIDE_MARKS["sx"])).otherwise(F.lit(True))
+
+
+def token_score(words: Column, path: Column) -> Column:
+    """How many of the words a path holds anywhere."""
+    return F.size(F.filter(words, lambda w: F.contains(F.lower(path), w)))

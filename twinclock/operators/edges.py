@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import upper_median
+from ..functions.walks import walk
 
+FIRST_GAP = 0.12
 HEAD = 20_000  # samples whose median sets the level
 
 
@@ -27,10 +30,19 @@ def falling_edges(samples: DataFrame, keys: list[str], order: list[str], value:
 
 def min_gap(edges: DataFrame, keys: list[str], t: str, gap: float) -> DataFrame:
     """keys and t of the edges that are kept: the first, then each that is at least `gap` after the last kept one."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
-    step = lambda s, x: F.when(x - s["last"] < gap, s).otherwise(F.struct(x.alias("last"), F.array_append(s["kept"], x).alias("kept")))
-    kept = F.aggregate(F.sort_array(F.collect_list(F.col(t).cast("double"))), start, step, lambda s: s["kept"])
-    return edges.groupBy(*keys).agg(kept.alias("kept")).select(*keys, F.explode("kept").alias(t))
+
+    def walker():
+        last = None
+
+        def step(row):
+            nonlocal last
+            if row is not None and row[0] is not None and (last is None or row[0] - last >= gap):
+                last = row[0]
+                yield (last,)
+
+        return step
+
+    return walk(edges.select(*keys, F.col(t).cast("double").alias(t)), keys, [t], walker, {t: pa.float64()}, f"{t} double")
 
 
 def keep_gap(times: np.ndarray, gap: float) -> np.ndarray:
@@ -44,7 +56,8 @@ def keep_gap(times: np.ndarray, gap: float) -> np.ndarray:
 def clean_edges(edges: DataFrame, expected: DataFrame, keys: list[str], t: str = "t", gap: str = "gap", n: str = "expected") -> DataFrame:
     """keys, t, n_raw, n_clean, min_gap_s, ratio: gaps widen by half until the count is near the expected one.
 
-    expected: keys, the first gap and the expected count of each run and channel.
+    expected: keys, the first gap and the expected count of each run and channel. Channels without expected events keep
+    `FIRST_GAP` and every edge that it leaves.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -57,7 +70,7 @@ def clean_edges(edges: DataFrame, expected: DataFrame, keys: list[str], t: str =
         own = {k: part[k].iloc[0] for k in keys}
         return pd.DataFrame({**own, t: kept, "n_raw": len(raw), "n_clean": len(kept), "min_gap_s": wide, "ratio": len(kept) / want if want > 0 else None})
 
-    joined = edges.join(expected, keys)
+    joined = edges.join(expected, keys, "left").withColumns({gap: F.coalesce(gap, F.lit(FIRST_GAP)), n: F.coalesce(n, F.lit(0))})
     schema = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in keys)
     return joined.groupBy(*keys).applyInPandas(run, f"{schema}, {t} double, n_raw long, n_clean long, min_gap_s double, ratio double")
 

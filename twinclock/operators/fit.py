@@ -54,21 +54,49 @@ def better_line(squares: DataFrame, ends: DataFrame, keys: list[str]) -> DataFra
     return squares.join(e, keys, "left").select(*keys, best.alias("f")).select(*keys, "f.a", "f.b", "f.mad")
 
 
+def lag_fits(x: np.ndarray, y: np.ndarray, max_lag: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each lag with enough pairs, the (k + lag)-th x with the k-th y."""
+    out = {}
+    for lag in range(-max_lag, max_lag + 1):
+        first = max(0, -lag)
+        n = min(len(y), len(x) - lag) - first
+        if n >= LEAST_PAIRS:
+            out[lag] = (x[first + lag : first + lag + n], y[first : first + n])
+    return out
+
+
 def best_lags(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame], keys: list[str], max_lag: int = MAX_LAG, digits: int = 12) -> DataFrame:
     """keys, lag_a, lag_b, n, a, b, mad: the lags of two channels with the least spread of the common fit.
 
-    Ties go to the first lags; scores that agree to
-    `digits` decimals are ties.
+    Ties go to the first lags; scores that agree to `digits` decimals are ties. A run's four short lists of times meet in one
+    group, in which all fits of the grid are made; a recording bounds them.
     """
-    lags = [*range(-max_lag, max_lag + 1)]
-    a = ordinal_pairs(*first, keys, lags).withColumnRenamed("lag", "lag_a")
-    b = ordinal_pairs(*second, keys, lags).withColumnRenamed("lag", "lag_b")
-    enough = lambda df, lag: df.groupBy(*keys, lag).agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAIRS).drop("m")
-    grid = enough(a, "lag_a").join(enough(b, "lag_b"), keys)
-    points = grid.join(a, [*keys, "lag_a"]).unionByName(grid.join(b, [*keys, "lag_b"]))
-    fits = linear(points, [*keys, "lag_a", "lag_b"]).withColumn("score", F.col("mad") + 1e-9 * F.abs(F.col("a") - 1))
-    best = fits.groupBy(*keys).agg(F.min(F.struct(F.round("score", digits).alias("score"), "lag_a", "lag_b", "n", "a", "b", "mad")).alias("f"))
-    return best.select(*keys, "f.lag_a", "f.lag_b", "f.n", "f.a", "f.b", "f.mad")
+    sides = [first[0], first[1].withColumnRenamed("y", "x"), second[0], second[1].withColumnRenamed("y", "x")]
+    every = reduce(DataFrame.unionByName, [df.select(*keys, F.lit(i).alias("side"), "k", "x") for i, df in enumerate(sides)])
+    schema = ", ".join(f"{k} {every.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k")
+        x4, y4, x3, y3 = (part.loc[part["side"] == i, "x"].to_numpy(float) for i in range(4))
+        best = None
+        others = lag_fits(x3, y3, max_lag)
+        for lag_a, (xa, ya) in lag_fits(x4, y4, max_lag).items():
+            for lag_b, (xb, yb) in others.items():
+                x, y = np.concatenate([xa, xb]), np.concatenate([ya, yb])
+                dx = x - x.mean()
+                spread = float(dx @ dx)
+                if spread <= 0:
+                    continue
+                a = float(dx @ (y - y.mean())) / spread
+                b = float(y.mean() - a * x.mean())
+                mad = float(np.median(np.abs(y - a * x - b)))
+                own = (round(mad + 1e-9 * abs(a - 1), digits), lag_a, lag_b, len(x), a, b, mad)
+                if best is None or own[:3] < best[:3]:
+                    best = own
+        rows = [] if best is None else [{**{k: part[k].iloc[0] for k in keys}, **dict(zip(("lag_a", "lag_b", "n", "a", "b", "mad"), best[1:], strict=True))}]
+        return pd.DataFrame(rows, columns=[*keys, "lag_a", "lag_b", "n", "a", "b", "mad"])
+
+    return every.groupBy(*keys).applyInPandas(run, f"{schema}, lag_a int, lag_b int, n long, a double, b double, mad double")
 
 
 def without_outliers(points: DataFrame, keys: list[str], r: str, least: float) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import duration_class
+from ..functions.names import phase_order, short_label, side_of_name, subject_order
+from ..functions.numbers import duration_class, finite, fixed, max_finite, min_finite, number_range
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -94,3 +95,34 @@ def split_by_state(df: DataFrame, keys: list[str], power: str, value: str, share
     out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.count(F.when(active, F.col(value))).alias("n_active"), F.avg(F.when(active, F.col(value))).alias("active"), F.avg(F.when(~active, F.col(value))).alias("rest"))
     enough = (F.col("n") >= least) & (F.col("n_active") >= each) & (F.col("n") - F.col("n_active") >= each)
     return out.withColumns({"delta": F.when(enough, F.col("active") - F.col("rest")), "ratio": F.when(enough & (F.col("rest") != 0), F.col("active") / F.col("rest"))})
+
+
+def positive_mean(x: Column) -> Column:
+    """Mean of the values above zero; null without any."""
+    return F.avg(F.when(finite(x) > 0, x))
+
+
+#: The ranges of the final table, by metric: heading and digits.
+RANGES = {"beta_mean": ("Beta mean", 3), "beta_peak": ("Beta peak", 3), "beta_peak_hz": ("Beta Peak Hz", 2), "z_mean": ("zCoh mean", 3), "z_peak": ("zCoh peak", 3)}
+
+
+def final_table(runs: DataFrame, metrics: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of texts for each good run, with the ranges of its metrics and the means of its trials, and the columns to sort by.
+
+    runs: keys (pair and phase among them), status, eeg_mode, n_trials, n_synergies, vaf; metrics: keys, the metrics of `RANGES` and q;
+    cuts: keys, n_samples, duration_s. Runs on sources stand for all as soon as there is one.
+    """
+    good = runs.where(F.trim(F.lower("status")) == "ok").withColumn("source_", F.trim(F.lower("eeg_mode")) == "source_net")
+    any_source = good.agg(F.coalesce(F.max("source_"), F.lit(False)).alias("any_"))  # one row
+    own = good.join(F.broadcast(any_source)).where(~F.col("any_") | F.col("source_")).drop("source_", "any_")
+    ranges = metrics.groupBy(*keys).agg(*[f(F.col(m)).alias(f"{m}_{n}") for m in RANGES for f, n in ((min_finite, "low"), (max_finite, "high"))], min_finite(F.col("q")).alias("q_min"))
+    means = cuts.groupBy(*keys).agg(positive_mean(F.col("n_samples")).alias("mean_samples"), positive_mean(F.col("duration_s")).alias("mean_s"))
+    wide = own.join(ranges, keys, "left").join(means, keys, "left")
+    named = {heading: number_range(F.col(f"{m}_low"), F.col(f"{m}_high"), d) for m, (heading, d) in RANGES.items()}
+    side = side_of_name(F.col("pair"))
+    return wide.select(
+        short_label(F.col("pair"), F.lower("phase")).alias("Run"), F.lower("phase").alias("Phase"), fixed(F.col("n_trials").cast("double"), 0, "").alias("Trials"), fixed(F.col("mean_samples"), 1, "").alias("Mean samples"),
+        fixed(F.col("mean_s"), 3, "").alias("Mean sec"), fixed(F.col("n_synergies").cast("double"), 0, "").alias("Synergies"), fixed(F.col("vaf"), 3, "").alias("VAF"), fixed(F.col("q_min"), 4, "").alias("FDR q min"),
+        *[v.alias(k) for k, v in named.items()],
+        subject_order(F.col("pair")).alias("subject_order"), phase_order(F.col("phase")).alias("phase_order"), F.when(side == "dx", 1).when(side == "sx", 2).otherwise(3).alias("side_order"),
+    )

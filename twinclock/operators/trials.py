@@ -73,8 +73,9 @@ def first_before_next(beeps: DataFrame, starts: DataFrame, keys: list[str], orde
     """
     rest = [c for c in order if c != "t"]
     both = beeps.select(*keys, "t", *rest, F.lit(0).alias("is_start")).unionByName(starts.select(*keys, "t", *rest, F.lit(1).alias("is_start")))
-    ahead = Window.partitionBy(*keys).orderBy("t", F.desc("is_start"), *rest).rowsBetween(1, Window.unboundedFollowing)
-    next_ = lambda kind: F.first(F.when(F.col("is_start") == kind, F.col("t")), ignorenulls=True).over(ahead)
+    # from the last row to the first, so that the frame only grows
+    later = Window.partitionBy(*keys).orderBy(F.desc("t"), "is_start", *[F.desc(c) for c in rest]).rowsBetween(Window.unboundedPreceding, -1)
+    next_ = lambda kind: F.last(F.when(F.col("is_start") == kind, F.col("t")), ignorenulls=True).over(later)
     seen = both.select("*", next_(1).alias("t_start"), next_(0).alias("t_next"))
     return seen.where("is_start = 0 and t_start is not null and (t_next is null or t_start < t_next)").select(*keys, *rest, "t", "t_next", "t_start")
 
@@ -87,18 +88,33 @@ def most_samples(fs: float) -> int:
     return max(1, int(3 * fs + 0.5))
 
 
-def event_trials(windows: DataFrame, keys: list[str], fs: float, clamp_long: bool = True) -> DataFrame:
+def window_samples(t_from: Column, t_to: Column, fs: float, n_samples: Column) -> tuple[Column, Column]:
+    """First and last sample (from 1) of a stretch of time, kept within the recording."""
+    return F.greatest(F.floor(t_from * fs) + 1, F.lit(1)).cast("long"), F.least(F.ceil(t_to * fs), n_samples).cast("long")
+
+
+def event_trials(windows: DataFrame, keys: list[str], fs: float, n_samples: Column, clamp_long: bool = True) -> DataFrame:
     """keys, i1, i2 (from 1, both inside) of windows (t to t_start); too short ones go, long ones are cut to three seconds."""
-    first, last = (F.floor(F.col("t") * fs) + 1).cast("long"), F.ceil(F.col("t_start") * fs).cast("long")
+    first, last = window_samples(F.col("t"), F.col("t_start"), fs, n_samples)
     if clamp_long:
         last = F.least(last, first + most_samples(fs) - 1)
-    return windows.select(*keys, first.alias("i1"), last.alias("i2")).where(F.col("i2") - F.col("i1") + 1 >= least_samples(fs))
+    own = windows.select(*keys, first.alias("i1"), last.alias("i2"))
+    return own.where((F.col("i2") > F.col("i1")) & (F.col("i2") - F.col("i1") + 1 >= least_samples(fs)))
+
+
+def seconds_to_trials(spans: DataFrame, keys: list[str], fs: float, n_samples: Column) -> DataFrame:
+    """keys, i1, i2 of stretches of time (t_from to t_to) on another rate's grid; too short ones go."""
+    first, last = window_samples(F.col("t_from"), F.col("t_to"), fs, n_samples)
+    own = spans.select(*keys, first.alias("i1"), last.alias("i2"))
+    return own.where((F.col("i2") > F.col("i1")) & (F.col("i2") - F.col("i1") + 1 >= least_samples(fs)))
 
 
 def fixed_epochs(beeps: DataFrame, keys: list[str], fs: float, n_samples: Column, before: float = 0.199, after: float = 2.0) -> DataFrame:
-    """keys, t, i1, i2 of epochs around beeps that lie wholly inside the recording."""
-    first, last = (F.floor((F.col("t") - before) * fs) + 1).cast("long"), (F.floor((F.col("t") + after) * fs)).cast("long")
-    return beeps.select(*keys, "t", first.alias("i1"), last.alias("i2"), n_samples.alias("n_")).where((F.col("i1") >= 1) & (F.col("i2") <= F.col("n_"))).drop("n_")
+    """keys, t, i1, i2 of epochs around beeps, both ends inside, that lie wholly within the recording and are not too short."""
+    start, end = F.col("t") - before, F.col("t") + after
+    inside = beeps.where((start >= 0) & (end <= (n_samples - 1) / fs))
+    own = inside.select(*keys, "t", (F.floor(start * fs) + 1).cast("long").alias("i1"), (F.floor(end * fs) + 1).cast("long").alias("i2"))
+    return own.where((F.col("i2") > F.col("i1")) & (F.col("i2") - F.col("i1") + 1 >= least_samples(fs)))
 
 
 def movement_windows(trials: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import names as N
 from ..functions import numbers as X
 from ..functions import times as T
 from ..operators import coupling, edges, fit, match, reports, signals, synergies, trials
+from ..sources import recordings, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,13 +103,13 @@ LAG_SQL = E_SQL + """, a as (select run, t as x, row_number() over (partition by
 b as (select run, t as y, row_number() over (partition by run order by t, ord) as k from e where code = 'click'),
 c as (select run, t as x, row_number() over (partition by run order by t, ord) as k from e where code = 'error'),
 g as (select run, t as y, row_number() over (partition by run order by t, ord) as k from e where code = 'purchase'),
-lags as (select unnest(range(-2, 3)) as lag)"""
+lags as (select unnest(range(-8, 9)) as lag)"""
 
 
 @query("with " + LAG_SQL + " select b.run, lag, b.k, round(a.x, 6) as x, round(b.y, 6) as y from lags join a on true join b on b.run = a.run and b.k = a.k - lag")
 def ordinal_lag_pairs(spark, d):
     x, y = stream(spark, d, "view"), stream(spark, d, "click")
-    out = fit.ordinal_pairs(x.select("run", "k", F.col("t").alias("x")), y.select("run", "k", F.col("t").alias("y")), ["run"], [*range(-2, 3)])
+    out = fit.ordinal_pairs(x.select("run", "k", F.col("t").alias("x")), y.select("run", "k", F.col("t").alias("y")), ["run"], [*range(-8, 9)])
     return rounded(out.select("run", F.col("lag").cast("long").alias("lag"), F.col("k").cast("long").alias("k"), "x", "y"))
 
 
@@ -123,7 +124,7 @@ r as (select *, row_number() over (partition by run order by round(mad + 1e-9 *
 select run, la::bigint as lag_a, lb::bigint as lag_b, n, round(a, 6) as a, round(mad, 3) as mad from r where k = 1""")
 def lag_grid_best(spark, d):
     of = lambda code, to: stream(spark, d, code).select("run", "k", F.col("t").alias(to))
-    out = fit.best_lags((of("view", "x"), of("click", "y")), (of("error", "x"), of("purchase", "y")), ["run"], max_lag=2, digits=2)
+    out = fit.best_lags((of("view", "x"), of("click", "y")), (of("error", "x"), of("purchase", "y")), ["run"], digits=2)
     return out.select("run", F.col("lag_a").cast("long").alias("lag_a"), F.col("lag_b").cast("long").alias("lag_b"), "n", F.round("a", 6).alias("a"), F.round("mad", 3).alias("mad"))
 
 
@@ -166,21 +167,54 @@ def trial_windows_asof(spark, d):
 
 
 @query("with " + AFTER_SQL + """, w as (select v.run, v.ord, v.t, min(s.t) as t_start from v join s on s.run = v.run and s.t > v.t and (v.t_next is null or s.t < v.t_next) group by v.run, v.ord, v.t),
-i as (select run, ord, (floor(t * 0.01) + 1)::bigint as i1, ceil(t_start * 0.01)::bigint as i2 from w) select * from i where i2 - i1 + 1 >= 50""")
+n as (select run, floor(max(t) * 0.01) as n from e group by run),
+i as (select run, ord, greatest(floor(t * 0.01) + 1, 1)::bigint as i1, least(ceil(t_start * 0.01), n)::bigint as i2 from w join n using (run)) select * from i where i2 > i1 and i2 - i1 + 1 >= 50""")
 def event_trials(spark, d):
     w = trials.first_before_next(stream(spark, d, "view"), stream(spark, d, "purchase"), ["run"], ["t", "ord"])
-    return trials.event_trials(w, ["run", "ord"], 0.01, clamp_long=False)
+    w = w.join(events(spark, d).groupBy("run").agg(F.floor(F.max("t") * 0.01).alias("n")), "run")
+    return trials.event_trials(w, ["run", "ord"], 0.01, F.col("n"), clamp_long=False)
+
+
+@query("with " + AFTER_SQL + """, w as (select v.run, v.ord, v.t, min(s.t) as t_start from v join s on s.run = v.run and s.t > v.t and (v.t_next is null or s.t < v.t_next) group by v.run, v.ord, v.t),
+n as (select run, floor(max(t) * 0.02) as n from e group by run),
+i as (select run, ord, greatest(floor((t - 1000) * 0.02) + 1, 1)::bigint as i1, least(ceil((t_start + 1000) * 0.02), n)::bigint as i2 from w join n using (run)) select * from i where i2 > i1 and i2 - i1 + 1 >= 50""")
+def seconds_to_trials(spark, d):
+    w = trials.first_before_next(stream(spark, d, "view"), stream(spark, d, "purchase"), ["run"], ["t", "ord"])
+    w = w.join(events(spark, d).groupBy("run").agg(F.floor(F.max("t") * 0.02).alias("n")), "run").withColumns({"t_from": F.col("t") - 1000, "t_to": F.col("t_start") + 1000})
+    return trials.seconds_to_trials(w, ["run", "ord"], 0.02, F.col("n"))
 
 
 @query("with " + E_SQL + """, r as (select run, min(t) as t0, max(t) as t1 from e group by run),
-b as (select run, ord, t - t0 as t, t1 - t0 as dur from e join r using (run) where code = 'view'),
-i as (select run, ord, (floor((t - 3600) * 0.001) + 1)::bigint as i1, floor((t + 36000) * 0.001)::bigint as i2, floor(dur * 0.001)::bigint as n from b)
-select run, ord, i1, i2 from i where i1 >= 1 and i2 <= n""")
+b as (select run, ord, t - t0 as t, floor((t1 - t0) * 0.001) as n from e join r using (run) where code = 'view'),
+i as (select run, ord, (floor((t - 3600) * 0.001) + 1)::bigint as i1, (floor((t + 60000) * 0.001) + 1)::bigint as i2 from b where t - 3600 >= 0 and t + 60000 <= (n - 1) / 0.001)
+select run, ord, i1, i2 from i where i2 > i1 and i2 - i1 + 1 >= 50""")
 def fixed_epochs(spark, d):
     e = events(spark, d)
     r = e.groupBy("run").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     b = e.where("code = 'view'").join(r, "run").select("run", "ord", (F.col("t") - F.col("t0")).alias("t"), (F.col("t1") - F.col("t0")).alias("dur"))
-    return trials.fixed_epochs(b, ["run", "ord"], 0.001, F.floor(F.col("dur") * 0.001), 3600.0, 36000.0).drop("t")
+    return trials.fixed_epochs(b, ["run", "ord"], 0.001, F.floor(F.col("dur") * 0.001), 3600.0, 60000.0).drop("t")
+
+
+TEMPLATE_SQL = E_SQL + """, c as (select run, t, case code when 'view' then 'DIN4' when 'click' then 'DIN5' when 'purchase' then 'start' when 'error' then 'beep' end as code from e),
+k as (select *, row_number() over (partition by run, code order by t desc) as k from c where code is not null)"""
+
+
+def templates(spark, d):
+    named = F.create_map(*[F.lit(x) for pair in (("view", "DIN4"), ("click", "DIN5"), ("purchase", "start"), ("error", "beep")) for x in pair])
+    return events(spark, d).select("run", "t", F.try_element_at(named, F.col("code")).alias("code")).where("code is not null")
+
+
+@query("with " + TEMPLATE_SQL + " select a.run, a.k, a.code, round(a.t - b.t, 6) as offset from k a join k b on a.run = b.run and a.k = b.k and b.code = case a.code when 'start' then 'DIN4' else 'DIN5' end where a.code in ('start', 'beep')")
+def template_offsets(spark, d):
+    return rounded(trials.template_offsets(templates(spark, d), ["run"]).withColumn("k", F.col("k").cast("long")))
+
+
+@query("with " + E_SQL + """, v as (select run, list(value order by t, ord) as v from e group by run), i as (select run, v, unnest(range(0, 7)) as i from v), p as (select *, i * (len(v) - 1) / 6.0 as k from i)
+select run, i, round(v[floor(k)::int + 1] + (v[least(floor(k)::int + 1, len(v) - 1) + 1] - v[floor(k)::int + 1]) * (k - floor(k)), 6) as x from p""")
+def resampled_offsets(spark, d):
+    v = F.transform(F.array_sort(F.collect_list(F.struct("t", "ord", "value"))), lambda x: x["value"])
+    own = events(spark, d).groupBy("run").agg(v.alias("v")).select("run", F.posexplode(trials.resampled(F.col("v"), F.lit(7))).alias("i", "x"))
+    return rounded(own.withColumn("i", F.col("i").cast("long")))
 
 
 REBUILD_SQL = PAIR_SQL + """, m as (select run, max(t) as dur from e group by run),
@@ -220,40 +254,69 @@ def shipped(spark, d):
     return pred, ref
 
 
-@query()
+MATCH_SQL = """recursive p as (select o_custkey as run, list_sort(list(epoch_us(l_shipdate::timestamp) / 86400e6)) as a from lineitem join orders on l_orderkey = o_orderkey group by o_custkey),
+r as (select o_custkey as run, list_sort(list(epoch_us(o_orderdate::timestamp) / 86400e6)) as b from orders group by o_custkey),
+s as (select coalesce(p.run, r.run) as run, coalesce(a, []) as a, coalesce(b, []) as b from p full join r on p.run = r.run),
+w as (select run, 1 as i, 1 as j, null::double as t_pred, null::double as t_ref from s union all
+select run, i + i_, j + j_, case when i_ = 1 then a[i] end, case when j_ = 1 then b[j] end from (
+select w.run, i, j, a, b, case when i > len(a) then 0 when j > len(b) or abs(a[i] - b[j]) <= 30 or a[i] < b[j] then 1 else 0 end as i_, case when j > len(b) then 0 when i > len(a) or abs(a[i] - b[j]) <= 30 or a[i] > b[j] then 1 else 0 end as j_
+from w join s on s.run = w.run where i <= len(a) or j <= len(b))),
+m as (select run, t_pred, t_ref, 1000 * (t_pred - t_ref) as res_ms from w where t_pred is not null or t_ref is not null)"""
+
+
+@query("with " + MATCH_SQL + " select run, round(t_pred, 6) as t_pred, round(t_ref, 6) as t_ref, round(res_ms, 6) as res_ms from m")
 def event_match_tolerance(spark, d):
     pred, ref = shipped(spark, d)
-    return match.matched(pred, ref, ["run"], 30.0)
+    return rounded(match.matched(pred, ref, ["run"], 30.0))
 
 
-@query()
+@query("with " + MATCH_SQL + """ select run, count(t_pred) as n_pred, count(t_ref) as n_ref, count(res_ms) as n_match, round(median(abs(res_ms)), 6) as median_ms, round(quantile_cont(abs(res_ms), 0.95), 6) as p95_ms, round(max(abs(res_ms)), 6) as max_ms,
+round(count(res_ms) / nullif(count(t_ref), 0), 6) as recall, round(count(res_ms) / nullif(count(t_pred), 0), 6) as precision from m group by run""")
 def recall_precision(spark, d):
-    return match.metrics(event_match_tolerance(spark, d), ["run"])
+    pred, ref = shipped(spark, d)
+    return rounded(match.metrics(match.matched(pred, ref, ["run"], 30.0), ["run"]))
 
 
-@query()
+@query("with " + MATCH_SQL + """, c as (select *, case when run % 2 = 0 then 'DIN4' else 'DIN1' end as code, case when t_pred is null then 'missing' when t_ref is null then 'extra' when abs(res_ms) / 1000 > case when run % 2 = 0 then 20 else 30 end then 'residual' end as issue from m)
+select run, code, issue, round(coalesce(t_ref, t_pred), 6) as t, round(res_ms / 1000, 6) as res_ms, case when issue = 'extra' then case code when 'DIN4' then 'MED' else 'LOW' end else case code when 'DIN4' then 'HIGH' else 'MED' end end as severity from c where issue is not null""")
 def blockers(spark, d):
-    own = event_match_tolerance(spark, d).withColumn("code", F.when(F.col("run") % 2 == 0, "DIN4").otherwise("DIN1"))
-    return match.blockers(own, ["run", "code"], "code", F.lit(20_000.0))
+    pred, ref = shipped(spark, d)
+    own = match.matched(pred, ref, ["run"], 30.0).withColumns({"code": F.when(F.col("run") % 2 == 0, "DIN4").otherwise("DIN1"), "res_ms": F.col("res_ms") / 1000})
+    return rounded(match.blockers(own, ["run", "code"], "code", match.limit_ms(F.col("code"))))
 
 
 READY_SQL = """m as (select user_id as run, count(*) filter (event_type = 'view') as n_din4, count(*) filter (event_type = 'click') as n_din5,
-least(1.0, count(*) filter (event_type = 'view') / nullif(count(*) filter (event_type = 'click'), 0)::double) as recall_din4,
-least(1.0, count(*) filter (event_type = 'purchase') / nullif(count(*) filter (event_type = 'error'), 0)::double) as recall_din5,
+case when count(*) filter (event_type = 'click') > 0 then least(1.0, count(*) filter (event_type = 'view') / count(*) filter (event_type = 'click')::double) end as recall_din4,
+case when count(*) filter (event_type = 'error') > 0 then least(1.0, count(*) filter (event_type = 'purchase') / count(*) filter (event_type = 'error')::double) end as recall_din5,
 quantile_cont(value, 0.5) / 10 as median_ms, quantile_cont(value, 0.95) / 10 as p95_ms, quantile_cont(value, 0.25) / 20 as mad_ms, 0 as n_high, (avg(value) - 50) * 100 as drift_ppm from events group by user_id),
 k as (select *, n_din4 >= 20 and n_din5 >= 20 as c1, coalesce(recall_din4 >= 0.95 and recall_din5 >= 0.95, false) as c2, coalesce(median_ms <= 5 and p95_ms <= 15, false) as c3, coalesce(mad_ms <= 2, false) as c4, n_high <= 0 as c5 from m)"""
 
 
-@query("with " + READY_SQL + """ select run, c1 and c2 and c3 and c4 and c5 as ready, coalesce(nullif(array_to_string(list_filter([case when not c1 then 'counts' end, case when not c2 then 'recall' end, case when not c3 then 'residual' end, case when not c4 then 'fit' end, case when not c5 then 'blockers' end], lambda x: x is not null), ';'), ''), 'ok') as reason,
-coalesce(abs(drift_ppm) > 5000, false) as drift_warning, round(greatest(median_ms - 5, 0), 6) as over_median_ms, round(greatest(p95_ms - 15, 0), 6) as over_p95_ms, round(greatest(0.95 - least(recall_din4, recall_din5), 0), 6) as under_recall from k""")
+@query("with " + READY_SQL + """, d as (select *, coalesce(abs(drift_ppm) > 5000, false) as drift from k),
+r as (select *, list_filter([case when not c1 then 'insufficient_trials' end, case when not c2 then 'low_recall' end, case when not c3 then 'high_residuals' end, case when not c4 then 'high_fit_error' end, case when not c5 then 'blocking_differences' end], lambda x: x is not null) as why from d)
+select run, len(why) = 0 as ready, case when len(why) > 0 then array_to_string(why || case when drift then ['high_clock_drift_warning'] else [] end, ';') when drift then 'alignment_good_for_csc_high_drift_corrected' else 'alignment_good_for_csc' end as reason, drift as drift_warning,
+round(greatest(median_ms - 5, 0), 6) as over_median_ms, round(greatest(p95_ms - 15, 0), 6) as over_p95_ms, round(greatest(0.95 - least(recall_din4, recall_din5), 0), 6) as under_recall, round(greatest(median_ms - 5, p95_ms - 15, mad_ms - 2, 0), 6) as excess_ms, 15.0::double as threshold_ms, round(15 - p95_ms, 6) as margin_ms from r""")
 def readiness_verdict(spark, d):
+    out = match.readiness(run_metrics(spark, d), match.criteria(spark), "standard")
+    return rounded(out.select("run", "ready", "reason", "drift_warning", "over_median_ms", "over_p95_ms", "under_recall", "excess_ms", "threshold_ms", "margin_ms"))
+
+
+@query("with " + READY_SQL + """, x as (select run, unnest([
+{'check': 'n_din4', 'threshold': '>= 20', 'v': n_din4::double, 'ok': n_din4 >= 20}, {'check': 'n_din5', 'threshold': '>= 20', 'v': n_din5::double, 'ok': n_din5 >= 20},
+{'check': 'recall_din4', 'threshold': '>= 0.95', 'v': recall_din4, 'ok': recall_din4 >= 0.95}, {'check': 'recall_din5', 'threshold': '>= 0.95', 'v': recall_din5, 'ok': recall_din5 >= 0.95},
+{'check': 'median_ms', 'threshold': '<= 5.0', 'v': median_ms, 'ok': median_ms <= 5}, {'check': 'p95_ms', 'threshold': '<= 15.0', 'v': p95_ms, 'ok': p95_ms <= 15},
+{'check': 'mad_ms', 'threshold': '<= 2.0', 'v': mad_ms, 'ok': mad_ms <= 2}, {'check': 'n_high', 'threshold': '<= 0', 'v': n_high::double, 'ok': n_high <= 0}, {'check': 'drift_ppm', 'threshold': 'warning if > 5000', 'v': drift_ppm, 'ok': true}]) as x from m)
+select run, x.check as "check", x.threshold as threshold, round(x.v + 1e-7, 4) as value, case when coalesce(x.ok, false) then 'TRUE' else 'FALSE' end as pass, case when x.check = 'drift_ppm' and abs(x.v) > 5000 then 'HIGH DRIFT WARNING (corrected in alignment)' else '' end as note from x""")
+def readiness_checks(spark, d):
+    out = match.check_rows(run_metrics(spark, d), match.criteria(spark), ["run"], "standard")
+    return rounded(out.withColumn("value", X.number(F.col("value")) + 1e-7), 4)  # engines differ in the last digits of a mean
+
+
+def run_metrics(spark, d):
     e = events(spark, d)
     n = lambda c: F.count_if(F.col("code") == c)
-    ratio = lambda a, b: F.least(F.lit(1.0), F.try_divide(n(a).cast("double"), n(b).cast("double")))
-    share = lambda a, b: F.when(n(b) > 0, ratio(a, b)).otherwise(F.lit(1.0))
-    m = e.groupBy("run").agg(n("view").alias("n_din4"), n("click").alias("n_din5"), share("view", "click").alias("recall_din4"), share("purchase", "error").alias("recall_din5"), (X.percentile_n1(F.col("value"), 0.5) / 10).alias("median_ms"), (X.percentile_n1(F.col("value"), 0.95) / 10).alias("p95_ms"), (X.percentile_n1(F.col("value"), 0.25) / 20).alias("mad_ms"), ((F.avg("value") - 50) * 100).alias("drift_ppm")).withColumn("n_high", F.lit(0))
-    out = match.readiness(m, match.criteria(spark), "standard")
-    return rounded(out.select("run", "ready", "reason", "drift_warning", "over_median_ms", "over_p95_ms", "under_recall"))
+    share = lambda a, b: F.when(n(b) > 0, F.least(F.lit(1.0), F.try_divide(n(a).cast("double"), n(b).cast("double"))))
+    return e.groupBy("run").agg(n("view").alias("n_din4"), n("click").alias("n_din5"), share("view", "click").alias("recall_din4"), share("purchase", "error").alias("recall_din5"), (X.percentile_n1(F.col("value"), 0.5) / 10).alias("median_ms"), (X.percentile_n1(F.col("value"), 0.95) / 10).alias("p95_ms"), (X.percentile_n1(F.col("value"), 0.25) / 20).alias("mad_ms"), ((F.avg("value") - 50) * 100).alias("drift_ppm")).withColumn("n_high", F.lit(0))
 
 
 ORDERS_SQL = """o as (select o_custkey as key, case when o_orderstatus = 'F' then 'pre' else 'post' end as phase, case when o_orderpriority < '3' then 'dx' else 'sx' end as side, o_totalprice as drift_ppm, o_orderkey as ord from orders)"""
@@ -317,6 +380,53 @@ def pair_keys(spark, d):
     return table(spark, d, "customer").select("c_custkey", N.prepost_key(n).alias("prepost_key"), N.side_key(n).alias("side_key"), N.side_of_name(n).alias("side"))
 
 
+RUN_NAME_SQL = """n as (select c_custkey, 'sub-' || c_custkey || case c_custkey % 4 when 0 then '_reach_dx' when 1 then '_rest_sin' when 2 then '_motor' else '_reachSX_mvc' end as pair, case c_custkey % 3 when 0 then 'pre' when 1 then 'POST' else '' end as phase from customer)"""
+
+
+def run_names(spark, d):
+    key = F.col("c_custkey")
+    pair = F.concat(F.lit("sub-"), key.cast("string"), F.when(key % 4 == 0, "_reach_dx").when(key % 4 == 1, "_rest_sin").when(key % 4 == 2, "_motor").otherwise("_reachSX_mvc"))
+    return table(spark, d, "customer").select("c_custkey", pair.alias("pair"), F.when(key % 3 == 0, "pre").when(key % 3 == 1, "POST").otherwise("").alias("phase"))
+
+
+@query("with " + RUN_NAME_SQL + """ select c_custkey, c_custkey % 4 in (0, 2) as movement, upper(c_custkey::varchar) || case c_custkey % 4 when 0 then ' dx' when 1 then ' sx' when 3 then ' sx' else '' end || ' ' || phase as label, c_custkey::double as subject_order from n""")
+def run_labels(spark, d):
+    n = run_names(spark, d)
+    return n.select("c_custkey", N.is_movement(F.col("pair"), F.col("phase")).alias("movement"), N.short_label(F.col("pair"), F.col("phase")).alias("label"), N.subject_order(F.col("pair")).alias("subject_order"))
+
+
+@query("with " + RUN_NAME_SQL + """ select c_custkey, array_to_string(list_filter(['sub', case when c_custkey >= 10 then c_custkey::varchar end, case c_custkey % 4 when 0 then 'reach' when 1 then 'rest' when 2 then 'motor' else 'reachsx' end, case c_custkey % 4 when 0 then 'dx' when 1 then 'sin' when 3 then 'mvc' end, nullif(lower(phase), '')], lambda x: x is not null), ' ') as words,
+case c_custkey % 4 when 0 then 'dx' when 1 then 'sx' when 3 then 'sx' else '' end as side, case c_custkey % 4 when 0 then true when 1 then false when 3 then false else true end as fits from n""")
+def pair_words(spark, d):
+    n = run_names(spark, d)
+    side = N.pair_side(F.col("pair"))
+    return n.select("c_custkey", F.array_join(N.pair_tokens(F.col("pair"), F.col("phase")), " ").alias("words"), side.alias("side"), N.side_compatible(side, F.lit("/x/right/a.mat")).alias("fits"))
+
+
+@query("""with f as (select row_number() over (order by n_nationkey) - 1 as ord, '/data/' || lower(replace(n_name, ' ', '_')) || '/' || case n_nationkey % 2 when 0 then 'dx' else 'sx' end || '/sources.mat' as path, n_name, n_nationkey from nation),
+r as (select c_custkey, 'sub_' || lower(replace(n_name, ' ', '_')) || case c_custkey % 2 when 0 then '_dx' else '_sx' end as pair, case when c_custkey % 10 = 0 then 'given.mat' end as given, case when c_custkey % 10 = 1 then 'local.mat' end as local, c_custkey % 2 as odd from customer join nation on c_nationkey = n_nationkey),
+w as (select *, list_filter(string_split(pair, '_'), lambda x: len(x) >= 2 and x not in ('bids', 'ses', 'session', 'pair', 'pre', 'post')) || ['pre'] as words from r),
+s as (select w.*, f.path, f.ord, case when f.path like '%' || case odd when 0 then 'dx' else 'sx' end || '%' or f.path like case odd when 0 then '%destra%' else '%sin%' end or f.path like case odd when 0 then '%right%' else '%left%' end then len(list_filter(words, lambda x: contains(f.path, x))) else 0 end as score from w, f),
+b as (select c_custkey, any_value(given) as given, any_value(local) as local, max(score) as best, arg_max(path, (score, -ord)) as path from s group by c_custkey)
+select c_custkey, coalesce(given, local, case when best >= 2 then path end) as source, case when given is not null then 'from_report' when local is not null then 'local_match' when best >= 2 then 'indexed_match_' || best else 'indexed_not_matched' end as status from b""")
+def source_of_runs(spark, d):
+    low = F.lower(F.replace(F.col("n_name"), F.lit(" "), F.lit("_")))
+    n = table(spark, d, "nation")
+    files = n.select((F.row_number().over(Window.orderBy("n_nationkey")) - 1).alias("ord"), F.concat(F.lit("/data/"), low, F.when(F.col("n_nationkey") % 2 == 0, "/dx").otherwise("/sx"), F.lit("/sources.mat")).alias("path"))
+    key = F.col("c_custkey")
+    runs = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lit("sub_"), low, F.when(key % 2 == 0, "_dx").otherwise("_sx")).alias("pair"), F.lit("pre").alias("phase"), F.when(key % 10 == 0, "given.mat").alias("given"), F.when(key % 10 == 1, "local.mat").alias("local"))
+    return recordings.source_of_runs(runs, files).select("c_custkey", "source", "status")
+
+
+@query("""with n as (select s_suppkey, 'out/sub' || s_suppkey || '/pre/report.json' as path, case s_suppkey % 3 when 0 then s_acctbal::varchar when 1 then 'n/a' else '' end as text from supplier)
+select s_suppkey, 'sub' || s_suppkey as pair, 'pre' as phase, round(try_cast(text as double), 4) as number, case when s_suppkey % 2 = 0 then '1' else '0' end as flag, coalesce(printf('%.0f', round(try_cast(text as double))), '') as whole from n""")
+def text_numbers(spark, d):
+    key = F.col("s_suppkey")
+    n = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("out/sub"), key.cast("string"), F.lit("/pre/report.json")).alias("path"), F.when(key % 3 == 0, F.col("s_acctbal").cast("string")).when(key % 3 == 1, "n/a").otherwise("").alias("text"))
+    pair, phase = N.report_place(F.col("path"))
+    return rounded(n.select("s_suppkey", pair.alias("pair"), phase.alias("phase"), X.number(F.col("text")).alias("number"), X.flag(key % 2 == 0).alias("flag"), X.fixed(F.round(X.number(F.col("text"))), 0, "").alias("whole")), 4)
+
+
 @query("select event_id, epoch_us(ts) as us, strftime(ts + interval 5 hour + interval 30 minute, '%Y-%m-%dT%H:%M:%S.%f') || '+05:30' as iso from events")
 def iso_epoch_roundtrip(spark, d):
     df = table(spark, d, "events")
@@ -480,6 +590,81 @@ def minmax_range(spark, d):
     return c.groupBy("n_name").agg(X.number_range(X.min_finite(b), X.max_finite(b), 3).alias("balance"), X.fixed(F.avg(b), 2).alias("mean"))
 
 
+FINAL_SQL = """t as (select 'sub' || l_suppkey || case l_suppkey % 2 when 0 then '_dx' else '_sx' end as pair, l_suppkey, l_quantity, l_discount, l_tax, l_extendedprice from lineitem),
+m as (select l_suppkey, min(l_discount) as b0, max(l_discount) as b1, min(l_tax) as p0, max(l_tax) as p1, min(l_quantity) as h0, max(l_quantity) as h1, min(l_discount + l_tax) as z0, max(l_discount + l_tax) as z1, min(l_tax * l_tax) as k0, max(l_tax * l_tax) as k1, min(l_extendedprice) / 1e6 as q, avg(l_quantity) filter (l_quantity > 0) as n, avg(l_extendedprice) filter (l_extendedprice > 0) / 1000 as s, count(*) as c from t group by l_suppkey)"""
+
+
+@query("with " + FINAL_SQL + """ select l_suppkey || case l_suppkey % 2 when 0 then ' dx pre' else ' sx pre' end as "Run", 'pre' as "Phase", c::varchar as "Trials", printf('%.1f', n) as "Mean samples", printf('%.3f', s) as "Mean sec", '4' as "Synergies", '0.925' as "VAF", printf('%.4f', q) as "FDR q min",
+printf('%.3f-%.3f', b0, b1) as "Beta mean", printf('%.3f-%.3f', p0, p1) as "Beta peak", printf('%.2f-%.2f', h0, h1) as "Beta Peak Hz", printf('%.3f-%.3f', z0, z1) as "zCoh mean", printf('%.3f-%.3f', k0, k1) as "zCoh peak", l_suppkey::double as subject_order, 0 as phase_order, case l_suppkey % 2 when 0 then 1 else 2 end as side_order from m where l_suppkey % 3 = 0""")
+def final_table(spark, d):
+    li = table(spark, d, "lineitem")
+    key = F.col("l_suppkey")
+    own = li.withColumns({"pair": F.concat(F.lit("sub"), key.cast("string"), F.when(key % 2 == 0, "_dx").otherwise("_sx")), "phase": F.lit("pre")})
+    runs = own.groupBy("pair", "phase", "l_suppkey").agg(F.count("*").alias("n_trials")).withColumns({"status": F.lit(" OK"), "eeg_mode": F.when(key % 3 == 0, "source_net").otherwise("scalp"), "n_synergies": F.lit(4), "vaf": F.lit(0.925)})
+    real = lambda c: F.col(c).cast("double")
+    metrics = own.select("pair", "phase", real("l_discount").alias("beta_mean"), real("l_tax").alias("beta_peak"), real("l_quantity").alias("beta_peak_hz"), (F.col("l_discount") + F.col("l_tax")).cast("double").alias("z_mean"), (F.col("l_tax") * F.col("l_tax")).cast("double").alias("z_peak"), (real("l_extendedprice") / 1e6).alias("q"))
+    cuts = own.select("pair", "phase", real("l_quantity").alias("n_samples"), (real("l_extendedprice") / 1000).alias("duration_s"))
+    return reports.final_table(runs, metrics, cuts, ["pair", "phase"])
+
+
+@query("select o_custkey, round(avg(o_totalprice), 6) as beta_mean_all, max(o_totalprice) as beta_peak_all, round(avg(o_orderkey % 7), 6) as beta_auc_all, min(o_totalprice) as p_min, min(o_orderkey)::double as q_min, count(*) filter (o_orderstatus = 'F') as n_significant from orders group by o_custkey")
+def metric_totals(spark, d):
+    o = table(spark, d, "orders")
+    m = o.select("o_custkey", F.col("o_totalprice").cast("double").alias("beta_mean"), F.col("o_totalprice").cast("double").alias("beta_peak"), (F.col("o_orderkey") % 7).alias("beta_auc"), F.col("o_totalprice").cast("double").alias("p"), F.col("o_orderkey").cast("double").alias("q"), (F.col("o_orderstatus") == "F").alias("significant"))
+    return rounded(coupling.metric_totals(m, ["o_custkey"]))
+
+
+@query("with " + MEAN_SQL + ", r as (select * from (values ('odd', '1'), ('odd', '3'), ('odd', '5'), ('low', '0'), ('low', '1')) as r(roi, label)) select roi, i, round(avg(v), 6) as x, count(*) as n from m join r on m.label::varchar = r.label group by roi, i")
+def region_means(spark, d):
+    own = label_means(spark, d).select(F.lit(1).alias("run"), F.col("label").cast("string").alias("ch"), F.col("p").alias("samples"))
+    regions = spark.createDataFrame([("odd", ["1", "3", "5"]), ("low", ["0", "1"])], "name string, labels array<string>")
+    out = signals.region_means(own, regions, ["run"]).select("roi", F.posexplode("samples").alias("i", "x"), F.col("n_channels").alias("n"))
+    return rounded(out.withColumn("i", F.col("i").cast("long")))
+
+
+@query("with " + MEAN_SQL + """, p as (select label::varchar as ch, max(v) filter (i = 0) as x, max(v) filter (i = 1) as y, max(v) filter (i = 2) as z from m group by label),
+d as (select a.ch, b.ch as mirror, (sign(a.y) * sign(b.y) > 0)::int as same, (a.x - b.x) ** 2 + (a.y + b.y) ** 2 + (a.z - b.z) ** 2 as d from p a, p b) select ch, arg_min(mirror, (same, d, mirror)) as mirror from d group by ch""")
+def mirrored_channels(spark, d):
+    at = lambda k: F.get("p", F.lit(k))
+    return signals.mirrored(label_means(spark, d).select(F.col("label").cast("string").alias("ch"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z")))
+
+
+SLICE_SQL = E_SQL + """, v as (select run, list(value order by t, ord) as v, max(value) as top from e group by run), s as (select run, unnest([{'trial': 1, 'i1': 1, 'i2': 5}, {'trial': 2, 'i1': 4, 'i2': 9}, {'trial': 3, 'i1': 8, 'i2': 200}]) as s from v),
+c as (select run, s.trial as trial, list_slice(v, s.i1, s.i2) as x, top from s join v using (run)), k as (select * from c where len(x) >= 4 and not list_contains(list_transform(x, lambda y: y is null), true))"""
+
+
+def sliced(spark, d):
+    spans = spark.createDataFrame([(1, 1, 5), (2, 4, 9), (3, 8, 200)], "trial int, i1 int, i2 int")
+    own = run_signals(spark, d).select("run", F.lit("c").alias("ch"), "samples")
+    return trials.cut_samples(own, own.select("run").distinct().crossJoin(F.broadcast(spans)), ["run"], 4)
+
+
+@query("with " + SLICE_SQL + " select run, trial, len(x) as n, round(list_sum(x), 6) as total from k")
+def trial_slices(spark, d):
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return rounded(sliced(spark, d).select("run", "trial", F.size("samples").cast("long").alias("n"), total.alias("total")))
+
+
+@query("with " + SLICE_SQL + ", j as (select run, flatten(list(x order by trial)) as x from k group by run) select run, len(x) as n, round(x[len(x)], 6) as last, round(x[1], 6) as first from j")
+def joined_slices(spark, d):
+    own = trials.join_samples(sliced(spark, d), ["run"])
+    return rounded(own.select("run", F.size("samples").cast("long").alias("n"), F.element_at("samples", -1).alias("last"), F.element_at("samples", 1).alias("first")))
+
+
+@query("with " + SLICE_SQL + ", p as (select run, trial, least(len(x), 5) as n, x from k where least(len(x), 5) >= 4) select run, trial, n, round(list_sum(x[1:n]), 6) as eeg, round(list_sum(list_transform(x[1:n], lambda y: y * 2)), 6) as emg from p")
+def paired_slices(spark, d):
+    a = sliced(spark, d)
+    b = a.withColumn("samples", F.transform(F.slice("samples", 1, 5), lambda x: x * 2))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return rounded(trials.paired_trials(a, b, ["run"], 4).select("run", "trial", F.size("eeg").cast("long").alias("n"), total("eeg").alias("eeg"), total("emg").alias("emg")))
+
+
+@query("with " + E_SQL + " select ord, case when code in ('DIN1', 'DIN4', 'DIN5') then 'OTB_trigger' else 'OTB_reconstructed' end as Event_type, code as name, printf('%.6f', t) as time, '0.001' as duration, '0' as \"Offset\" from e")
+def event_rows(spark, d):
+    e = events(spark, d)
+    return e.select("ord", *[c.alias(n) for n, c in sinks.event_columns().items()])
+
+
 def run_signals(spark, d):
     """run, fs, samples: each run's values in order, as a signal."""
     e = events(spark, d)
@@ -492,9 +677,10 @@ def emg_envelope(spark, d):
     return signals.envelopes(run_signals(spark, d)).select("run", F.posexplode("samples").alias("i", "x"))
 
 
-@query()
+@query("with " + E_SQL + ", v as (select run, list(value order by t, ord) as v from e group by run), g as (select run, v, unnest(range(0, greatest(1, floor(len(v) * 0.25 + 0.5))::bigint)) as i from v) select run, i, round(v[least(4 * i, len(v) - 1) + 1], 6) as x from g")
 def resample_signal(spark, d):
-    return signals.resampled(run_signals(spark, d), 250.0).select("run", F.posexplode("samples").alias("i", "x"))
+    out = signals.resampled(run_signals(spark, d), 250.0).select("run", F.posexplode("samples").alias("i", "x"))
+    return rounded(out.withColumn("i", F.col("i").cast("long")))
 
 
 def label_pairs(spark, d):
@@ -512,13 +698,13 @@ def welch_coherence(spark, d):
 
 @query()
 def surrogate_test(spark, d):
-    stats = coupling.trial_statistics(label_pairs(spark, d), ["label"], 250.0, surrogates=20, max_lag_ms=8.0).withColumn("all", F.lit(1))
+    stats = coupling.trial_statistics(label_pairs(spark, d), ["label"], 250.0).withColumn("all", F.lit(1))
     return coupling.surrogate_test(stats, ["all", "label"], ["all"])
 
 
 @query()
 def bootstrap_ci(spark, d):
-    return coupling.bootstrap_mean(events(spark, d), ["run"], "value", 200)
+    return coupling.bootstrap_mean(events(spark, d), ["run"], "value")
 
 
 @query()
@@ -531,8 +717,8 @@ def muscle_synergies(spark, d):
 
 @query()
 def canonical_correlation(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 3).alias("x"), F.slice("embedding", 4, 3).alias("y"))
-    return coupling.canonical(e, ["label"], "x", "y", 20)
+    e = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
+    return coupling.canonical(e, ["label"], "x", "y")
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import coupling, edges, fit, match, reports, signals, synergies, trials
@@ -15,10 +15,13 @@ TASK_GAP = 0.12
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage of a table that many steps read, in the shared checkpoint folder; a folder is made only where none is named."""
+    """Cut lineage of a table that many steps read, in the shared checkpoint folder; one is made only where none is named and all runs in one process."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 
 
@@ -36,20 +39,29 @@ def align(raw_edges: DataFrame, events: DataFrame, runs: DataFrame, keys: list[s
     counts = events.where(F.col("code").isin("DIN1", "DIN4", "DIN5")).groupBy(*KEYS, F.col("code").alias("aux")).agg(F.count("*").alias("expected"))
     wanted = counts.join(steps, KEYS, "left").select(*KEYS, "aux", "expected", F.when(F.col("aux") == "DIN1", edges.sync_gap(F.col("step_median"))).otherwise(TASK_GAP).alias("gap"))
     clean = cut(edges.clean_edges(raw_edges, wanted, [*KEYS, "aux"]))
-    gate = clean.join(counts, [*KEYS, "aux"]).groupBy(*KEYS).agg(F.bool_and(edges.plausible_count(F.col("n_clean"), F.col("expected"))).alias("plausible"))
+    # the two task channels decide; a channel without any edge has a count of zero
+    edges_of = clean.groupBy(*KEYS, "aux").agg(F.first("n_clean").alias("n_clean"))
+    gate = counts.where(F.col("aux").isin("DIN4", "DIN5")).join(edges_of, [*KEYS, "aux"], "left").groupBy(*KEYS).agg(F.bool_and(edges.plausible_count(F.coalesce("n_clean", F.lit(0)), F.col("expected"))).alias("plausible"))
     own = {c: fit.numbered(clean.where(F.col("aux") == c), KEYS, ["t"]).select(*KEYS, "k", F.col("t").alias("x")) for c in ("DIN4", "DIN5")}
     ref = {c: by_code(events, c).withColumnRenamed("t", "y") for c in ("DIN4", "DIN5")}
     lags = cut(fit.best_lags((own["DIN4"], ref["DIN4"]), (own["DIN5"], ref["DIN5"]), KEYS))
-    keyboard, beep = (ref[c].withColumnRenamed("y", "t") for c in ("DIN4", "DIN5"))
-    good = trials.valid(trials.paired(keyboard, beep, KEYS)).select(*KEYS, "k")
-    parts = []
+    # the i-th matched keyboard and the i-th matched beep are a trial, judged on where the first fit puts them
+    matched = []
     for c, lag in (("DIN4", "lag_a"), ("DIN5", "lag_b")):
-        shifted = own[c].join(lags.select(*KEYS, lag), KEYS).withColumn("k", F.col("k") - F.col(lag)).drop(lag)
-        parts.append(shifted.join(ref[c], [*KEYS, "k"]).join(good, [*KEYS, "k"], "left_semi").select(*KEYS, "x", "y"))
-    base = cut(parts[0].unionByName(parts[1]))
-    line = cut(fit.better_line(fit.linear(base, KEYS), fit.endpoint_line(base, KEYS), KEYS))
+        shifted = own[c].join(lags.select(*KEYS, lag, "a", "b"), KEYS).withColumn("k", F.col("k") - F.col(lag)).drop(lag)
+        both = shifted.join(ref[c], [*KEYS, "k"]).withColumn("i", F.row_number().over(Window.partitionBy(*KEYS).orderBy("k")))
+        matched.append(both.select(*KEYS, F.col("i").alias("k"), "x", "y", (F.col("a") * F.col("x") + F.col("b")).alias("t")))
+    keyboard, beep = (cut(m) for m in matched)
+    good = trials.valid(trials.paired(keyboard.select(*KEYS, "k", "t"), beep.select(*KEYS, "k", "t"), KEYS)).select(*KEYS, "k")
+    enough = good.groupBy(*KEYS).agg((F.count("*") >= 2).alias("enough"))
+    points = keyboard.unionByName(beep).join(good.withColumn("good", F.lit(True)), [*KEYS, "k"], "left").join(enough, KEYS, "left")
+    # with fewer than two valid trials all matched pairs stay, and the fit of the lag search with them
+    base = cut(points.where(F.coalesce("good", F.lit(False)) | ~F.coalesce("enough", F.lit(False))).select(*KEYS, "x", "y", F.coalesce("enough", F.lit(False)).alias("refit")))
+    valid = base.where("refit")
+    refitted = fit.better_line(fit.linear(valid, KEYS), fit.endpoint_line(valid, KEYS), KEYS)
+    line = cut(refitted.unionByName(lags.select(*KEYS, "a", "b", "mad").join(refitted, KEYS, "left_anti")))
     sync = clean.where("aux = 'DIN1'").select(*KEYS, "t")
-    refined = fit.refit_with_sync(base, sync, events.where("code = 'DIN1'").select(*KEYS, "t"), line, KEYS)
+    refined = fit.refit_with_sync(base.drop("refit"), sync, events.where("code = 'DIN1'").select(*KEYS, "t"), line, KEYS)
     ok = fit.stable(F.col("a"), F.col("mad"))
     fits = runs.join(refined, KEYS, "left").join(gate, KEYS, "left").join(lags.select(*KEYS, "lag_a", "lag_b"), KEYS, "left")
     why = F.when(F.col("plausible").isNull(), "no edges").when(~F.col("plausible"), "counts are not plausible").when(F.col("a").isNull(), "no fit").when(~ok, "the fit is not stable")
@@ -65,7 +77,7 @@ def align(raw_edges: DataFrame, events: DataFrame, runs: DataFrame, keys: list[s
     return {"fits": fits, "events": trials.task_events(made, mapped, KEYS), "trials": made, "segments": trials.segments(rows, KEYS, fs, F.col("n_samples"))}
 
 
-def validate(predicted: DataFrame, reference: DataFrame, fits: DataFrame, limits: DataFrame, tolerance: float = 0.02, profile: str = "very_strict", limit_ms: float = 20.0) -> dict[str, DataFrame]:
+def validate(predicted: DataFrame, reference: DataFrame, fits: DataFrame, limits: DataFrame, tolerance: float = 0.02, profile: str = "very_strict") -> dict[str, DataFrame]:
     """summary (readiness of every run), per code metrics, blockers, and pre/post differences.
 
     predicted, reference: pair, phase, code, t. The reference must be the original events, not ones that an alignment wrote.
@@ -73,7 +85,7 @@ def validate(predicted: DataFrame, reference: DataFrame, fits: DataFrame, limits
     keys = [*KEYS, "code"]
     pairs = match.matched(predicted, reference, keys, tolerance)
     per_code = match.metrics(pairs, keys)
-    found = match.blockers(pairs, keys, "code", F.lit(limit_ms))
+    found = match.blockers(pairs, keys, "code", match.limit_ms(F.col("code")))
     task = per_code.where(F.col("code").isin("DIN4", "DIN5"))
     at = lambda code, c: F.max(F.when(F.col("code") == code, F.col(c)))
     wide = task.groupBy(*KEYS).agg(at("DIN4", "n_ref").alias("n_din4"), at("DIN5", "n_ref").alias("n_din5"), at("DIN4", "recall").alias("recall_din4"), at("DIN5", "recall").alias("recall_din5"), F.max("median_ms").alias("median_ms"), F.max("p95_ms").alias("p95_ms"))
@@ -84,7 +96,7 @@ def validate(predicted: DataFrame, reference: DataFrame, fits: DataFrame, limits
 
     keyed = summary.withColumn("key", prepost_key(F.col("pair")))
     delta = reports.difference(keyed, ["key"], "phase", "pre", "post", ["pair"], ["recall_din4", "recall_din5", "median_ms", "p95_ms", "mad_ms", "drift_ppm"])
-    return {"summary": summary, "metrics": per_code, "blockers": found, "prepost": delta}
+    return {"summary": summary, "checks": match.check_rows(runs, limits, KEYS, profile), "metrics": per_code, "blockers": found, "prepost": delta}
 
 
 def couple(eeg: DataFrame, emg: DataFrame, spans: DataFrame, regions: DataFrame, fs: float, surrogates: int = 40, least_segments: int = 2) -> dict[str, DataFrame]:

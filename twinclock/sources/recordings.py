@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import phase, report_place, sanitized, similarity, tokens
+from ..functions.names import pair_side, pair_tokens, phase, report_place, sanitized, side_compatible, similarity, token_score, tokens
 from ..functions.times import iso_micros
 
 EVENT = r"<event>\s*<beginTime>([^<]*)</beginTime>\s*<duration>([^<]*)</duration>\s*<code>([^<]*)</code>"
@@ -194,3 +194,19 @@ def best_source(runs: DataFrame, files: DataFrame, least: int = 2) -> DataFrame:
     out = runs.join(best, "pair", "left")
     how = F.when(F.col("given").isNotNull(), "given").when(F.col("local").isNotNull(), "local").when(F.col("scored").isNotNull(), "scored").otherwise("none")
     return out.select(*runs.columns, F.coalesce("given", "local", "scored").alias("source"), how.alias("status"))
+
+
+def source_of_runs(runs: DataFrame, files: DataFrame, least: int = 2) -> DataFrame:
+    """runs (pair, phase, given, local) with source and status: from_report, local_match, indexed_match_n, indexed_not_matched or not_found.
+
+    files: path and ord, the few source files that an index of folders found; each run is held against these where neither the
+    report names a file nor one lies beside it. The file on the right side with the most words of the pair's name wins, at least `least`.
+    """
+    words, side = pair_tokens(F.col("pair"), F.col("phase")), pair_side(F.col("pair"))
+    listed = files.agg(F.sort_array(F.collect_list(F.struct("ord", "path"))).alias("files"))  # one row
+    scored = F.transform("files", lambda f: F.struct(F.when(side_compatible(side, f["path"]), token_score(words, f["path"])).otherwise(0).alias("score"), (-f["ord"]).alias("first"), f["path"].alias("path")))
+    out = runs.join(F.broadcast(listed)).withColumn("best", F.array_max(scored))
+    found = F.col("best.score") >= least
+    source = F.coalesce("given", "local", F.when(found, F.col("best.path")))
+    status = F.when(F.col("given").isNotNull(), "from_report").when(F.col("local").isNotNull(), "local_match").when(F.size("files") == 0, "not_found")
+    return out.select(*runs.columns, source.alias("source"), F.coalesce(status, F.when(found, F.concat(F.lit("indexed_match_"), F.col("best.score").cast("string"))), F.lit("indexed_not_matched")).alias("status"))

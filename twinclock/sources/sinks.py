@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import event_code_class
@@ -17,9 +17,14 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", overwrite: bool =
     df.write.mode("overwrite" if overwrite else "errorifexists").options(header=True, sep=delimiter, quote='"', escape='"').csv(path)
 
 
+def event_columns() -> dict[str, Column]:
+    """The columns of the event table, as texts, of rows with code and t."""
+    return {"Event_type": event_code_class(F.col("code")), "name": F.col("code"), "time": F.format_string("%.6f", "t"), "duration": F.lit("0.001"), "Offset": F.lit("0")}
+
+
 def event_rows(events: DataFrame) -> DataFrame:
     """Event_type, name, time, duration, Offset as text."""
-    return events.select(event_code_class(F.col("code")).alias("Event_type"), F.col("code").alias("name"), F.format_string("%.6f", "t").alias("time"), F.lit("0.001").alias("duration"), F.lit("0").alias("Offset"))
+    return events.select(*[c.alias(n) for n, c in event_columns().items()])
 
 
 def event_track(events: DataFrame, keys: list[str]) -> DataFrame:
