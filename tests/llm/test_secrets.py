@@ -44,6 +44,20 @@ def test_spans(spark, tmp_path):
         assert [r.n_assign, r.n_access, r.n_hex] == [want.count(k) for k in ("assign:", "access:", "hex:")]
 
 
+def test_service_keys_come_beside_the_base_spans(spark, tmp_path):
+    text = "token=abcdef ghp_" + "aZ" * 20 + " xoxb-1234567890ab AIza" + "x" * 35 + " eyJabcdefgh.ijklmnop.qrstuvwx -----BEGIN RSA PRIVATE KEY----- é"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = QUERIES["op4_secrets"](spark, str(tmp_path)).first()
+    assert [x.split(":")[0] for x in r.spans.split(",")] == ["assign", "github", "slack", "google", "jwt", "private_key"]
+    assert r.base_sha256 == hashlib.sha256(plain(text).encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == (1, 0, 0)
+
+
+def test_a_ledger_without_files(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs = spark.createDataFrame([(1, "token=abcdef")], "doc_id long, text string")
+    assert [len(r.spans) for r in secrets.update_ledger(spark, docs, path).collect()] == [1]
+
+
 def test_ledger(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/ledger"
     one = spark.createDataFrame([(1, "token=abcdef"), (2, "clean")], "doc_id long, text string")

@@ -17,28 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set one only where none is named (tests, laptops)."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; one is made only where none is named and all runs in one process (tests, laptops)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder, which survives lost executors."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage through a Parquet table in the checkpoint folder: smaller than a checkpoint, and read by column."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{where.rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

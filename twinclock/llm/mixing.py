@@ -634,3 +634,29 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(table(spark, sf_dir, "documents"))
     docs = docs.withColumn("held_out", crc_rest(F.col("doc_id"), 7) == 2)
     return score(docs, docs.where("not held_out"))
+
+
+def unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of `op1_mixing` that SQL can express, base scores to four digits."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 4) + 0.0).alias("base_score"))
+
+
+#: The same in plain SQL. The remainder of crc32 comes from the bits of the id's digits.
+BASE_SQL = r"""
+with crc as (
+  select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) as crc
+  from (select distinct doc_id from documents)
+), words as (
+  select d.doc_id, crc % 7 = 2 as held_out, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') || [' '] as w
+  from documents d join crc on crc.doc_id = d.doc_id
+), tokens as (
+  select doc_id, held_out, unnest(w) as w from words
+), counts as (
+  select w, count(*) as c from tokens where not held_out group by w
+), sums as (
+  select sum(c)::bigint as n, count(*) as v from counts
+)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, n as train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) as base_score
+from tokens left join counts using (w) cross join sums group by doc_id, held_out, n
+"""

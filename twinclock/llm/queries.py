@@ -7,7 +7,7 @@ from .langid import op8_langid
 from .leaks import op7_leaks
 from .lines import SQL as LINES_SQL
 from .lines import op3_lines
-from .mixing import op1_mixing
+from .mixing import BASE_SQL, op1_mixing, unigram_base
 from .pii import op6_pii
 from .secrets import op4_secrets
 from .simhash import op2_simhash
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_suffixes": op9_suffixes,
     "op10_topk": op10_topk,
+    "unigram_base": unigram_base,
 }
 
-SQL: dict[str, str] = {"op3_lines": LINES_SQL}
+SQL: dict[str, str] = {"op3_lines": LINES_SQL, "unigram_base": BASE_SQL}

@@ -2,18 +2,21 @@
 
 Every text is a version of a path; equal texts are one blob, named by SHA-256. A ledger row says which spans a rule
 version found in a blob. Only pairs of blob and rule version that the ledger lacks are scanned. All steps are
-built-in column functions. Null texts count as empty and hold nothing; repeated rows keep their rows; extra
-columns stay out.
+built-in column functions. The registered query goes through a ledger of its own, which it fills.
+
+Null texts count as empty and hold nothing; repeated rows keep their rows; extra columns stay out. Spans with equal starts are
+listed in the order of the rules. An empty table gives no rows, and a ledger folder without files is an empty ledger.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_path, table
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,17 @@ RULES = (
 )
 
 
+#: Public forms of keys that services hand out, found beside the base kinds.
+SERVICE_RULES = (
+    Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}+", 0, 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+", 0, 15),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35,}+", 0, 39),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 29),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 27),
+)
+LEDGER = "blob string, kind string, version string, spans array<struct<start:int,ord:int,stop:int,kind:string>>"
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, ord, stop, kind>> of the rule's matches, in code points, end exclusive.
 
@@ -96,19 +110,20 @@ def update_ledger(spark: SparkSession, docs: DataFrame, path: str, rules: tuple[
     """Scan what the Parquet ledger at `path` lacks, append it there, and return `findings` of docs."""
     versions = addressed(docs)
     try:
-        ledger = spark.read.parquet(path)
+        ledger = spark.read.schema(LEDGER).parquet(path)
         ledger.schema  # noqa: B018
-    except Exception as e:  # no ledger yet
+    except AnalysisException as e:  # no ledger yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         ledger = None
     scan(versions, ledger, rules).write.mode("append").parquet(path)
-    return findings(versions, spark.read.parquet(path), rules)
+    return findings(versions, spark.read.schema(LEDGER).parquet(path), rules)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = addressed(table(spark, sf_dir, "documents"))
-    found = findings(versions, scan(versions))
-    listed = F.array_join(F.transform("spans", lambda m: F.concat_ws(":", m["kind"], m["start"], m["stop"])), ",")
+    """The base kinds' counts and digest, and all spans, found through a new ledger."""
+    found = update_ledger(spark, table(spark, sf_dir, "documents"), fresh_path(spark), RULES + SERVICE_RULES)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda m: F.concat_ws(":", m["kind"], m["start"], m["stop"])), ",")
+    base = F.filter("spans", lambda m: m["ord"] < len(RULES))
     count = lambda r: F.size(F.filter("spans", lambda m: m["kind"] == r.kind)).cast("long").alias(f"n_{r.kind}")
-    return found.select(F.col("path").alias("doc_id"), *[count(r) for r in RULES], F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+    return found.select(F.col("path").alias("doc_id"), *[count(r) for r in RULES], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -6,8 +6,8 @@ score that no better result can fall below; all shards start from it and stop wh
 k-th score seen so far. Scores are exact integers, ties go to the smaller id.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an id. Vectors of
-different lengths don't meet. A candidate with the query's own id is its own row. Repeated rows are candidates each;
-the same id and vector asks once. Scores beyond a long wrap around. An empty table gives no rows.
+different lengths don't meet. A row with the query's id and vector is the query's own, and the same id and vector asks once; rows
+with its id and another vector are candidates, as are all repeats of other rows. Scores beyond a long wrap around. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -93,7 +93,9 @@ def search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries:
                     continue
                 a, b = tree.span[node]
                 scores = (near[a:b] @ vector).astype(np.int64)
-                keep = (scores >= least) & (names[a:b] != query_ids[q])
+                keep = scores >= least
+                for i in np.flatnonzero(keep & (names[a:b] == query_ids[q])).tolist():
+                    keep[i] = not np.array_equal(points[tree.order[a + i]], queries[q])
                 if not keep.any():
                     continue
                 best_s, best_i = np.concatenate([best_s, scores[keep]]), np.concatenate([best_i, names[a:b][keep]])
