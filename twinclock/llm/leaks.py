@@ -214,7 +214,7 @@ def scanner(shared, text: str, matches: str):
 
     def run(batches):
         items = shared.value
-        for batch in by_bytes(batches, text, 8 << 20):
+        for batch in by_bytes(batches, text):
             at = batch.schema.get_field_index(matches)
             found = []
             for own, before in zip(items.look([t or "" for t in batch.column(text).to_pylist()]), batch.column(at).to_pylist(), strict=True):
