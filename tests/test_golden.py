@@ -1,6 +1,7 @@
 """Hand-computed cases of the clock and trial operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -161,7 +162,7 @@ def test_numbers(spark):
 
 def test_false_discovery(spark):
     df = frame(spark, [(1, 1, 0.01), (1, 2, 0.04), (1, 3, 0.03), (1, 4, 0.005), (1, 5, None)], "run int, s int, p double")
-    got = {r.s: r.q for r in reports.false_discovery(df, ["run"], "p", ["s"]).collect()}
+    got = {r.s: r.q for r in reports.false_discovery(df, ["run"], "p").collect()}
     assert [got[k] for k in (1, 2, 3, 4)] == pytest.approx([0.02, 0.04, 0.04, 0.02]) and got[5] is None
 
 
@@ -221,3 +222,36 @@ def test_nearest_and_mirror(spark):
     c = frame(spark, [("C3", 0.0, 1.0, 0.0), ("C4", 0.0, -1.1, 0.0), ("Cz", 0.0, 0.1, 0.0)], "ch string, x double, y double, z double")
     got = {r.ch: r.mirror for r in signals.mirrored(c).collect()}
     assert got["C3"] == "C4" and got["C4"] == "C3"
+
+
+@pytest.mark.parametrize("parts", [4096, 3])
+def test_ranks_by_ranges(spark, monkeypatch, parts):
+    """Mean ranks and false-discovery rates with ties, nulls and a null key, against a plain version."""
+    monkeypatch.setattr(reports, "PARTS", parts)
+    rng = random.Random(parts)
+    rows = [(k, i, rng.choice([None, rng.random(), 0.25, 0.5])) for k in ("a", "b", None) for i in range(60)]
+    df = spark.createDataFrame([*rows, ("lone", 0, 0.125), ("empty", 0, None)], "run string, i int, p double")
+    ranks = {(r.run, r.i): r.r for r in reports.mid_ranks(df.where("p is not null"), ["run"], {"r": "p"}).collect()}
+    rates = {(r.run, r.i): r.q for r in reports.false_discovery(df, ["run"], "p").collect()}
+    assert len(rates) == df.count()
+    for k, i, p in rows:
+        own = sorted(x for key, _, x in rows if key == k and x is not None)
+        if p is None:
+            assert rates[k, i] is None
+            continue
+        assert ranks[k, i] == sum(x < p for x in own) + (own.count(p) + 1) / 2
+        assert rates[k, i] == pytest.approx(min(1.0, *(x * len(own) / (n + 1) for n, x in enumerate(own) if x >= p)))
+    assert (ranks["lone", 0], rates["lone", 0], rates["empty", 0]) == (1.0, 0.125, None)
+
+
+@pytest.mark.parametrize("parts", [4096, 3])
+def test_ranked_pivot_with_ties_and_missing_means(spark, monkeypatch, parts):
+    monkeypatch.setattr(reports, "PARTS", parts)
+    rng = random.Random(parts)
+    rows = [(k, c, None if k % 7 == 0 else float(rng.randrange(4))) for k in range(40) for c in "xy"]
+    df = spark.createDataFrame(rows, "k int, c string, v double")
+    got = {r.k: r["rank"] for r in reports.ranked_pivot(df, "k", "c", "v", ["x", "y"], "of_").collect()}
+    mean = {k: None if k % 7 == 0 else sum(v for key, _, v in rows if key == k) / 2 for k in range(40)}
+    order = sorted(mean, key=lambda k: (mean[k] is None, -(mean[k] or 0), k))
+    assert got == {k: n + 1 for n, k in enumerate(order)}
+    assert reports.ranked_pivot(df.limit(0), "k", "c", "v", ["x", "y"], "of_").count() == 0

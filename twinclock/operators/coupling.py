@@ -99,7 +99,7 @@ def surrogate_test(trials: DataFrame, keys: list[str], family: list[str]) -> Dat
     null = trials.select(*keys, F.posexplode("null").alias("s", "v")).groupBy(*keys, "s").agg(F.avg("v").alias("v"))
     mean = trials.groupBy(*keys).agg(F.avg("beta").alias("beta"))
     p = null.join(mean, keys).groupBy(*keys, "beta").agg(((1 + F.count_if(F.col("v") >= F.col("beta"))) / (F.count("v") + 1)).alias("p"))
-    return false_discovery(p, family, "p", [k for k in keys if k not in family]).withColumn("significant", F.coalesce(F.col("q") < 0.05, F.lit(False)))
+    return false_discovery(p, family, "p").withColumn("significant", F.coalesce(F.col("q") < 0.05, F.lit(False)))
 
 
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, resamples: int = 500, alpha: float = 0.05, seed: int = 0) -> DataFrame:

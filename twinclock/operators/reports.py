@@ -47,7 +47,9 @@ def ranked_pivot(df: DataFrame, row: str, column: str, value: str, columns: list
     """row, rank (by mean value, the largest first, missing ones last), mean, and the mean for each of the columns."""
     wide = df.groupBy(row).pivot(column, columns).agg(F.avg(value))
     means = df.groupBy(row).agg(F.avg(value).alias("mean"))
-    out = means.join(wide, row).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean"), row)))
+    placed = means.withColumn("down_", -F.col("mean"))
+    ranked = running_sums(placed, [], [F.asc_nulls_last("down_"), row], "down_", F.lit(1))
+    out = ranked.select(row, "mean", F.col("upto_").cast("int").alias("rank")).join(wide, row)
     return out.select(row, "rank", "mean", *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns])
 
 
@@ -64,19 +66,67 @@ def trial_table(trials: DataFrame, keys: list[str], duration: str) -> DataFrame:
     return trials.join(q, keys).withColumns({"duration_class": duration_class(d), "is_short": d <= F.col("q1"), "is_long": d >= F.col("q3")})
 
 
-def false_discovery(df: DataFrame, keys: list[str], p: str, order: list[str]) -> DataFrame:
-    """df with q, the smallest false-discovery rate at which p is found; rows without p keep none."""
-    some = df.where(F.col(p).isNotNull())
-    rank = some.withColumns({"r_": F.row_number().over(Window.partitionBy(*keys).orderBy(p, *order)), "m_": F.count("*").over(Window.partitionBy(*keys))})
-    down = Window.partitionBy(*keys).orderBy(F.desc("r_")).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("m_") / F.col("r_")).over(down))
-    return rank.withColumn("q", q).drop("r_", "m_").unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+#: Ranges of a key's values that are put in order by themselves, so that a key with most of the rows is no single task.
+PARTS = 4096
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right, which has each key once; null keys are equal to each other."""
+    if not keys:
+        return left.join(F.broadcast(right))  # one row
+    named = right.withColumnsRenamed({k: f"{k}_of_" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"{k}_of_"))
+    return left.join(named, on).drop(*[f"{k}_of_" for k in keys])
+
+
+def by_range(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with part_: `PARTS` equal ranges between the key's least and largest value, numbered in order.
+
+    The ends are exact, so each evaluation gives the same parts. Nulls come last; values without a finite range share a part.
+    """
+    v = F.col(value).cast("double")
+    ends = df.groupBy(*keys).agg(F.min(v).alias("low_"), F.max(v).alias("top_"))
+    part = F.when(v.isNull(), PARTS + 2).otherwise(F.coalesce(F.width_bucket(v, "low_", "top_", F.lit(PARTS)), F.lit(0)))
+    return same_keys(df, ends, keys).withColumn("part_", part).drop("low_", "top_")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[Column | str], by: str, weight: Column) -> DataFrame:
+    """df with part_, upto_ (the key's weights up to the row, in `order`, which must go with `by`) and all_ (the key's weights)."""
+    own = by_range(df, keys, by).withColumn("weight_", weight)
+    sums = own.groupBy(*keys, "part_").agg(F.sum("weight_").alias("sum_"))
+    earlier = F.sum("sum_").over(Window.partitionBy(*keys).orderBy("part_")) - F.col("sum_")
+    before = sums.select(*keys, "part_", earlier.alias("before_"), F.sum("sum_").over(Window.partitionBy(*keys)).alias("all_"))
+    inside = Window.partitionBy(*keys, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = same_keys(own, before, [*keys, "part_"])
+    return joined.withColumn("upto_", F.col("before_") + F.sum("weight_").over(inside)).drop("before_", "weight_")
+
+
+def false_discovery(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """df with q, the smallest false-discovery rate at which p is found; rows without p keep none, equal p share theirs.
+
+    Only a key's different values are put in order, range by range.
+    """
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("n_"))
+    ranked = running_sums(counts, keys, [p], p, F.col("n_")).withColumn("q_", F.col(p) * F.col("all_") / F.col("upto_"))
+    least = ranked.groupBy(*keys, "part_").agg(F.min("q_").alias("least_"))
+    later = F.min("least_").over(Window.partitionBy(*keys).orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1))
+    after = least.select(*keys, "part_", later.alias("after_"))
+    down = Window.partitionBy(*keys, "part_").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    rates = same_keys(ranked, after, [*keys, "part_"]).select(*keys, p, F.least(F.lit(1.0), F.min("q_").over(down), "after_").alias("q"))
+    found = same_keys(df.where(F.col(p).isNotNull()), rates, [*keys, p])
+    return found.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def mid_ranks(df: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
-    """df with mean ranks (new column -> column); equal values share theirs."""
-    ranks = {new: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0 for new, c in names.items()}
-    return df.withColumns(ranks)
+    """df with mean ranks (new column -> column of numbers); equal values share theirs, nulls come last."""
+    out = df
+    for new, c in names.items():
+        counts = df.groupBy(*keys, c).agg(F.count("*").alias("n_"))
+        ranks = running_sums(counts, keys, [F.asc_nulls_last(c)], c, F.col("n_")).select(*keys, c, (F.col("upto_") - (F.col("n_") - 1) / 2.0).alias(new))
+        out = same_keys(out, ranks, [*keys, c])
+    return out
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 6) -> DataFrame:

@@ -480,7 +480,7 @@ def state_dependent(spark, d):
 @query("with " + E_SQL + """, r as (select code, ord, value / 400 as p, row_number() over (partition by code order by value / 400, ord) as rk, count(*) over (partition by code) as m from e)
 select code, ord, round(least(1.0, min(p * m / rk) over (partition by code order by rk desc rows unbounded preceding)) + 1e-9, 6) as q from r""")
 def bh_fdr(spark, d):
-    out = reports.false_discovery(events(spark, d).select("code", "ord", (F.col("value") / 400).alias("p")), ["code"], "p", ["ord"])
+    out = reports.false_discovery(events(spark, d).select("code", "ord", (F.col("value") / 400).alias("p")), ["code"], "p")
     return out.select("code", "ord", F.round(F.col("q") + 1e-9, 6).alias("q"))
 
 
