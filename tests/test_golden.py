@@ -255,3 +255,24 @@ def test_ranked_pivot_with_ties_and_missing_means(spark, monkeypatch, parts):
     order = sorted(mean, key=lambda k: (mean[k] is None, -(mean[k] or 0), k))
     assert got == {k: n + 1 for n, k in enumerate(order)}
     assert reports.ranked_pivot(df.limit(0), "k", "c", "v", ["x", "y"], "of_").count() == 0
+
+
+@pytest.mark.parametrize("segments", [256, 2])
+def test_coherence_of_long_signals(spark, monkeypatch, segments):
+    """Pieces add up to the whole signal's curve; a signal shorter than a window goes."""
+    monkeypatch.setattr(signals, "SEGMENTS", segments)
+    rng = np.random.default_rng(5)
+    whole, blocks = [], []
+    for run, n in ((1, 64 * 20), (2, 64 * 7), (3, 64)):
+        e = rng.normal(size=n)
+        h = e + rng.normal(size=n)
+        whole.append((run, e.tolist(), h.tolist()))
+        blocks += [(run, a, e[a : a + 64].tolist(), h[a : a + 64].tolist()) for a in range(0, n, 64)]
+    want = {r.run: r for r in signals.coherence(frame(spark, whole, "run int, e array<double>, h array<double>"), ["run"], 160.0).collect()}
+    got = {r.run: r for r in signals.long_coherence(frame(spark, blocks, "run int, start int, e array<double>, h array<double>"), ["run"], 160.0).collect()}
+    assert set(got) == set(want) == {1, 2}
+    for run, r in want.items():
+        assert got[run].n_segments == r.n_segments
+        for name in ("f", "c", "ic", "re", "im"):
+            assert np.allclose(got[run][name], r[name])
+        assert np.allclose(np.exp(1j * np.array(got[run].angle)), np.exp(1j * np.array(r.angle)))

@@ -186,6 +186,47 @@ def coherence(pairs: DataFrame, keys: list[str], fs: float) -> DataFrame:
     return pairs.select(*keys, "e", "h").mapInPandas(run, f"{schema}, n_segments int, f array<double>, c array<double>, ic array<double>, angle array<double>, re array<double>, im array<double>")
 
 
+SEGMENTS = 256  # segments of a long signal that one task transforms at once
+
+
+def long_coherence(blocks: DataFrame, keys: list[str], fs: float) -> DataFrame:
+    """What `coherence` gives, for signals that no row can hold; blocks: keys, start (of its first sample, from 0), e, h (arrays of equal length).
+
+    Blocks follow each other without gaps. Pieces of `SEGMENTS` segments, which overlap as segments do, are transformed by
+    themselves, and their sums of spectra add up in Spark. Signals shorter than a window go.
+    """
+    win, overlap, nfft = welch_window(fs)
+    span = SEGMENTS * (win - overlap)
+    first = F.greatest(F.lit(0), F.floor((F.col("start") - overlap) / span))
+    last = F.floor((F.col("start") + F.size("e") - 1) / span)
+    placed = blocks.where(F.size("e") > 0).select(*keys, "start", "e", "h", F.explode(F.sequence(first, last)).alias("piece"))
+    pieces = placed.groupBy(*keys, "piece").agg(F.array_sort(F.collect_list(F.struct("start", "e", "h"))).alias("own"))
+    schema = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    sums = ("pxx", "pyy", "re", "im")
+
+    def run(batches):
+        for part in batches:
+            rows = []
+            for own in part.to_dict("records"):
+                skip = int(own["piece"]) * span - int(own["own"][0]["start"])
+                signal = [np.concatenate([np.asarray(b[c], float) for b in own["own"]])[max(0, skip) :][: span + overlap] for c in ("e", "h")]
+                fx, fy = (spectra(x, fs, win, overlap, nfft) for x in signal)
+                if len(fx):
+                    pxy = (fx * np.conj(fy)).sum(0)
+                    rows.append({**{k: own[k] for k in keys}, "n": len(fx), "pxx": (np.abs(fx) ** 2).sum(0), "pyy": (np.abs(fy) ** 2).sum(0), "re": pxy.real, "im": pxy.imag})
+            yield pd.DataFrame(rows, columns=[*keys, "n", *sums])
+
+    parts = pieces.mapInPandas(run, f"{schema}, n int, " + ", ".join(f"{c} array<double>" for c in sums))
+    points = parts.select(*keys, "n", F.posexplode(F.arrays_zip(*sums)).alias("i", "p")).groupBy(*keys, "i").agg(F.sum("n").cast("int").alias("n"), *[(F.sum(f"p.{c}") / F.sum("n")).alias(c) for c in sums])
+    power = F.greatest(F.col("pxx") * F.col("pyy"), F.lit(float(np.finfo(float).eps)))
+    root = F.sqrt(power)
+    c = F.least(F.lit(1.0), (F.col("re") ** 2 + F.col("im") ** 2) / power)
+    values = {"f": F.col("i") * (fs / nfft), "c": c, "ic": F.abs("im") / root, "angle": F.atan2("im", "re"), "re": F.col("re") / root, "im": F.col("im") / root}
+    curve = F.array_sort(F.collect_list(F.struct("i", *[v.alias(k) for k, v in values.items()])))
+    out = points.groupBy(*keys).agg(F.max("n").alias("n_segments"), curve.alias("curve"))
+    return out.select(*keys, "n_segments", *[F.col(f"curve.{k}").alias(k) for k in values])
+
+
 def curve_points(curves: DataFrame, keys: list[str]) -> DataFrame:
     """The curves' arrays as rows: keys, i, f, c, ic, angle, re, im."""
     names = ("f", "c", "ic", "angle", "re", "im")

@@ -693,7 +693,11 @@ def label_pairs(spark, d):
 
 @query()
 def welch_coherence(spark, d):
-    return signals.coherence(label_pairs(spark, d), ["label"], 250.0).select("label", "n_segments", F.posexplode("c").alias("i", "c"))
+    e = table(spark, d, "embeddings").select("label", "vec_id", (F.col("vec_id") % 2).alias("half"), F.col("embedding").cast("array<double>").alias("v"))
+    placed = reports.running_sums(e, ["label", "half"], ["vec_id"], "vec_id", F.size("v")).withColumn("start", F.col("upto_") - F.size("v"))
+    of = lambda half, name: placed.where(F.col("half") == half).select("label", "start", F.col("v").alias(name))
+    blocks = of(0, "e").join(of(1, "h"), ["label", "start"])  # as long as the shorter signal
+    return signals.long_coherence(blocks, ["label"], 250.0).select("label", "n_segments", F.posexplode("c").alias("i", "c"))
 
 
 @query()
