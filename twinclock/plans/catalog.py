@@ -553,12 +553,13 @@ def roi_mean(spark, d):
 
 
 @query("""with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings),
-t as (select * from p where vec_id < 10), r as (select t.vec_id as name, p.vec_id as point, (p.x - t.x) ** 2 + (p.y - t.y) ** 2 + (p.z - t.z) ** 2 as d from p, t),
+t as (select label as name, avg(embedding[1]::double) as x, avg(embedding[2]::double) as y, avg(embedding[3]::double) as z from embeddings group by label), r as (select t.name, p.vec_id as point, (p.x - t.x) ** 2 + (p.y - t.y) ** 2 + (p.z - t.z) ** 2 as d from p, t),
 k as (select *, row_number() over (partition by name order by d, point) as rank from r) select name, point, rank, round(d, 6) as distance2 from k where rank <= 25""")
 def knn25(spark, d):
     e = table(spark, d, "embeddings")
     p = e.select(F.col("vec_id").alias("point"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
-    out = signals.nearest(p, p.where("point < 10").withColumnRenamed("point", "name"), 25)
+    places = e.groupBy(F.col("label").alias("name")).agg(*[F.avg(F.col("embedding")[k].cast("double")).alias(c) for k, c in enumerate("xyz")])
+    out = signals.nearest(p, places, 25)  # the labels' mean places, a short list
     return rounded(out.select("name", "point", F.col("rank").cast("long").alias("rank"), "distance2"))
 
 
