@@ -7,6 +7,8 @@ from .langid import op8_langid
 from .leaks import op7_leaks
 from .lines import SQL as LINES_SQL
 from .lines import op3_lines
+from .merkle import SQL as MERKLE_SQL
+from .merkle import op13_manifest
 from .mixing import BASE_SQL, op1_mixing, unigram_base
 from .pii import op6_pii
 from .secrets import op4_secrets
@@ -25,7 +27,8 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_suffixes": op9_suffixes,
     "op10_topk": op10_topk,
+    "op13_manifest": op13_manifest,
     "unigram_base": unigram_base,
 }
 
-SQL: dict[str, str] = {"op3_lines": LINES_SQL, "unigram_base": BASE_SQL}
+SQL: dict[str, str] = {"op3_lines": LINES_SQL, "unigram_base": BASE_SQL, "op13_manifest": MERKLE_SQL}
