@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .divergence import SQL as DIVERGENCE_SQL
+from .divergence import op12_divergence
 from .langid import op8_langid
 from .leaks import op7_leaks
 from .lines import SQL as LINES_SQL
@@ -27,8 +29,9 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_suffixes": op9_suffixes,
     "op10_topk": op10_topk,
+    "op12_divergence": op12_divergence,
     "op13_manifest": op13_manifest,
     "unigram_base": unigram_base,
 }
 
-SQL: dict[str, str] = {"op3_lines": LINES_SQL, "unigram_base": BASE_SQL, "op13_manifest": MERKLE_SQL}
+SQL: dict[str, str] = {"op3_lines": LINES_SQL, "unigram_base": BASE_SQL, "op12_divergence": DIVERGENCE_SQL, "op13_manifest": MERKLE_SQL}
