@@ -17,6 +17,7 @@ from .secrets import op4_secrets
 from .simhash import op2_simhash
 from .suffixes import op9_suffixes
 from .topk import op10_topk
+from .toxicity import op11_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_suffixes": op9_suffixes,
     "op10_topk": op10_topk,
+    "op11_toxicity": op11_toxicity,
     "op12_divergence": op12_divergence,
     "op13_manifest": op13_manifest,
     "unigram_base": unigram_base,
