@@ -72,8 +72,8 @@ def test_slope():
 
 
 def test_edges(spark, model):
-    long = "the garden " * 200_000 + "vile"
-    rows = [(1, None, 0), (2, "", 0), (3, "12 ?! 34", 0), (4, long, 0), (4, long, 0), (None, "rotten", 0)]
+    long = "the garden " * 200_000 + "you vile"
+    rows = [(1, None, 0), (2, "", 0), (3, "12 ?! 34", 0), (4, long, 0), (4, long, 0), (None, "you rotten", 0)]
     docs, labels = frames(spark, rows)
     got = [(r.doc_id, r.score) for r in toxicity.score(docs, model).collect()]
     assert len(got) == 6 and all(0 <= s <= 1 for _, s in got)
