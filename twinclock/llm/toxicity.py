@@ -46,7 +46,7 @@ SENTENCE = re.compile(r"[^.!?\n\r]+")
 class Model:
     words: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    bias: float = -20.0
+    bias: float = -math.inf
     leak: float = 0.0
 
     def __post_init__(self):
@@ -80,7 +80,8 @@ def sentences(text: str) -> list[tuple[int, int, set[str]]]:
 
 
 def chance(x):
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-np.asarray(x, float)))
 
 
 def noisy_or(p: list[float], leak: float) -> float:
