@@ -224,11 +224,10 @@ def test_nearest_and_mirror(spark):
     assert got["C3"] == "C4" and got["C4"] == "C3"
 
 
-@pytest.mark.parametrize("parts", [4096, 3])
-def test_ranks_by_ranges(spark, monkeypatch, parts):
+@pytest.mark.parametrize("seed", [4096, 3])
+def test_ranks_by_ranges(spark, seed):
     """Mean ranks and false-discovery rates with ties, nulls and a null key, against a plain version."""
-    monkeypatch.setattr(reports, "PARTS", parts)
-    rng = random.Random(parts)
+    rng = random.Random(seed)
     rows = [(k, i, rng.choice([None, rng.random(), 0.25, 0.5])) for k in ("a", "b", None) for i in range(60)]
     df = spark.createDataFrame([*rows, ("lone", 0, 0.125), ("empty", 0, None)], "run string, i int, p double")
     ranks = {(r.run, r.i): r.r for r in reports.mid_ranks(df.where("p is not null"), ["run"], {"r": "p"}).collect()}
@@ -244,19 +243,59 @@ def test_ranks_by_ranges(spark, monkeypatch, parts):
     assert (ranks["lone", 0], rates["lone", 0], rates["empty", 0]) == (1.0, 0.125, None)
 
 
-@pytest.mark.parametrize("parts", [4096, 3])
-def test_ranked_pivot_with_ties_and_missing_means(spark, monkeypatch, parts):
-    monkeypatch.setattr(reports, "PARTS", parts)
-    rng = random.Random(parts)
+@pytest.mark.parametrize("seed", [4096, 3])
+def test_ranked_pivot_with_ties_and_missing_means(spark, seed):
+    rng = random.Random(seed)
     rows = [(k, c, None if k % 7 == 0 else float(rng.randrange(4))) for k in range(40) for c in "xy"]
     df = spark.createDataFrame(rows, "k int, c string, v double")
     got = {r.k: r["rank"] for r in reports.ranked_pivot(df, "k", "c", "v", ["x", "y"], "of_").collect()}
     mean = {k: None if k % 7 == 0 else sum(v for key, _, v in rows if key == k) / 2 for k in range(40)}
-    order = sorted(mean, key=lambda k: (mean[k] is None, -(mean[k] or 0), k))
+    order = sorted(mean, key=lambda k: (mean[k] is not None, -(mean[k] or 0), k))
     assert got == {k: n + 1 for n, k in enumerate(order)}
     assert reports.ranked_pivot(df.limit(0), "k", "c", "v", ["x", "y"], "of_").count() == 0
 
 
+def test_quantiles_of_far_values(spark):
+    """Both rules against plain versions: ties, one far value, nulls, infinite values, a null key and a key without numbers."""
+    rng = random.Random(8)
+    rows = [(k, rng.choice([rng.random(), 0.5, 1e-9 * rng.random(), None])) for k in ("a", None) for _ in range(301)] + [("a", 1e12), ("a", float("inf")), ("none", None), ("one", 2.0)]
+    df = frame(spark, rows, "k string, v double")
+    places = {"n1": lambda q, n: q * (n - 1), "mid": lambda q, n: min(max(q * n + 0.5, 1), n) - 1}
+    for rule, place in places.items():
+        got = {r.k: (r.lo, r.hi) for r in reports.quantiles(df, ["k"], "v", {"lo": 0.25, "hi": 0.95}, rule).collect()}
+        for k in ("a", None, "one"):
+            own = sorted(v for key, v in rows if key == k and v is not None and v < 1e300)
+            for g, q in zip(got[k], (0.25, 0.95), strict=True):
+                at = place(q, len(own))
+                a, b = own[int(at)], own[min(int(at) + 1, len(own) - 1)]
+                assert g == pytest.approx(a + (b - a) * (at - int(at)))
+        assert got["none"] == (None, None)
+
+
+def test_split_by_state_by_hand(spark):
+    rows = [("few", p, 1.0) for p in (1.0, 2.0, 3.0, 4.0, None)] + [("one", float(p), 1.0) for p in range(7)]
+    rows += [("ok", float(p), None if p == 9 else 10.0 * p) for p in range(10)]
+    got = {r.k: r for r in reports.split_by_state(frame(spark, rows, "k string, p double, v double"), ["k"], "p", "v").collect()}
+    assert (got["few"].n, got["few"].n_active, got["few"].active, got["few"].rest, got["few"].delta) == (4, 0, None, None, None)
+    assert (got["one"].n, got["one"].n_active, got["one"].active) == (7, 2, None)
+    assert (got["ok"].n, got["ok"].n_active, got["ok"].active, got["ok"].rest, got["ok"].delta) == (10, 3, 75.0, 30.0, 45.0)
+    assert got["ok"].ratio == 2.5
+
+
+def test_mirror_by_hand(spark):
+    c = [("C1", 0.0, 1.0, 0.0), ("Cz", 0.0, 0.0, 0.0), ("C2", 0.0, -5.0, 0.0), ("bad", None, 1.0, 0.0), ("inf", 0.0, float("inf"), 0.0)]
+    got = {r.ch: r.mirror for r in signals.mirrored(frame(spark, c, "ch string, x double, y double, z double")).collect()}
+    assert got == {"C1": "C2", "C2": "C1", "Cz": "C1", "bad": "bad", "inf": "inf"}
+    lone = frame(spark, [("r", "C1", 0.0, 1.0, 0.0), ("s", "C2", 0.0, -1.0, 0.0), ("s", "C4", 0.0, -3.0, 0.0)], "run string, ch string, x double, y double, z double")
+    assert {(r.run, r.ch): r.mirror for r in signals.mirrored(lone, ["run"]).collect()} == {("r", "C1"): "C1", ("s", "C2"): "C4", ("s", "C4"): "C2"}
+
+
+def test_bootstrap_of_few_values(spark):
+    df = frame(spark, [("one", 3.0), ("one", float("inf")), ("none", None), ("two", 1.0), ("two", 2.0)], "k string, v double")
+    got = {r.k: (r.low, r.high) for r in coupling.bootstrap_mean(df, ["k"], "v", resamples=10).collect()}
+    assert got["one"] == (3.0, 3.0) and got["none"] == (None, None) and got["two"] == (1.0, 2.0)
+
+
 @pytest.mark.parametrize("segments", [256, 2])
 def test_coherence_of_long_signals(spark, monkeypatch, segments):
     """Pieces add up to the whole signal's curve; a signal shorter than a window goes."""

@@ -79,8 +79,8 @@ def trial_statistics(pairs: DataFrame, keys: list[str], fs: float, surrogates: i
                 e, h = (np.asarray(own[c], float)[:n] for c in ("e", "h"))
                 fe, fh = part_of(e), part_of(h)
                 third = [band_mean(part_of(e[a:b]), part_of(h[a:b]), f) for a, b in thirds(n)]
-                best = (float("nan"), float("nan"))
-                for lag in range(-int(max_lag_ms / 1000 * fs + 0.5), int(max_lag_ms / 1000 * fs + 0.5) + 1) if len(fe) else ():
+                best, most = (float("nan"), float("nan")), max(1, int(max_lag_ms / 1000 * fs + 0.5))
+                for lag in range(-most, most + 1) if len(fe) else ():
                     a, b = (e[: n - lag], h[lag:]) if lag >= 0 else (e[-lag:], h[: n + lag])
                     v = band_mean(part_of(a), part_of(b), f)
                     if v == v and not v <= best[1]:
@@ -103,16 +103,21 @@ def surrogate_test(trials: DataFrame, keys: list[str], family: list[str]) -> Dat
 
 
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, resamples: int = 500, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """keys, low, high: order statistics of means of resampled values. A group's values are the trials of a run."""
+    """keys, low, high: order statistics of means of resampled finite values (100 resamples at least); both are the value if there is but one.
+
+    A group's values are the trials of a run.
+    """
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    resamples = max(100, resamples)
     lower, upper = max(1, int(alpha / 2 * resamples)), int(np.ceil((1 - alpha / 2) * resamples))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         own = {k: part[k].iloc[0] for k in keys}
-        v = part[value].dropna().to_numpy(float)
-        v.sort()
+        v = part[value].to_numpy(float)
+        v = np.sort(v[np.isfinite(v)])
         if len(v) < 2:
-            return pd.DataFrame([{**own, "low": None, "high": None}])
+            lone = float(v[0]) if len(v) else None
+            return pd.DataFrame([{**own, "low": lone, "high": lone}])
         rng = np.random.default_rng([seed, int(pd.util.hash_pandas_object(pd.Series([str(own)]), index=False).iloc[0] % (1 << 31))])
         means = np.sort(rng.choice(v, (resamples, len(v))).mean(1))
         return pd.DataFrame([{**own, "low": means[lower - 1], "high": means[upper - 1]}])

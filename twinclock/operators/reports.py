@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import phase_order, short_label, side_of_name, subject_order
-from ..functions.numbers import duration_class, finite, fixed, max_finite, min_finite, number_range
+from ..functions.numbers import duration_class, finite, fixed, max_finite, mean_finite, min_finite, number_range
+from .storage import cut
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -43,12 +44,14 @@ def drift_rows(runs: DataFrame, order: list[str]) -> DataFrame:
     return out.unionByName(sides.select(F.lit("sx_dx").alias("row_type"), "key", "phase", none.alias("side"), F.col("drift_ppm_delta").alias("drift_ppm")))
 
 
-def ranked_pivot(df: DataFrame, row: str, column: str, value: str, columns: list, prefix: str) -> DataFrame:
-    """row, rank (by mean value, the largest first, missing ones last), mean, and the mean for each of the columns."""
+def ranked_pivot(df: DataFrame, row: str, column: str, value: str, columns: list, prefix: str, order: str | None = None) -> DataFrame:
+    """row, rank (by mean value: missing ones first, then the largest), mean, and the mean for each of the columns.
+
+    Equal means go by the least `order` of their rows, the order in which the rows are given, or else by row.
+    """
     wide = df.groupBy(row).pivot(column, columns).agg(F.avg(value))
-    means = df.groupBy(row).agg(F.avg(value).alias("mean"))
-    placed = means.withColumn("down_", -F.col("mean"))
-    ranked = running_sums(placed, [], [F.asc_nulls_last("down_"), row], "down_", F.lit(1))
+    means = df.groupBy(row).agg(F.avg(value).alias("mean"), F.min(order or row).alias("order_"))
+    ranked = running_sums(means, [], [F.desc_nulls_first("mean"), "order_"], F.lit(1))
     out = ranked.select(row, "mean", F.col("upto_").cast("int").alias("rank")).join(wide, row)
     return out.select(row, "rank", "mean", *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns])
 
@@ -61,16 +64,12 @@ def total_and_detail(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def trial_table(trials: DataFrame, keys: list[str], duration: str) -> DataFrame:
     """trials with their class and the run's quartiles and flags (under the first, over the third)."""
-    q = trials.groupBy(*keys).agg(*[F.percentile(duration, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = quantiles(trials, keys, duration, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, "n1")
     d = F.col(duration)
-    return trials.join(q, keys).withColumns({"duration_class": duration_class(d), "is_short": d <= F.col("q1"), "is_long": d >= F.col("q3")})
-
+    return same_keys(trials, q, keys).withColumns({"duration_class": duration_class(d), "is_short": d <= F.col("q1"), "is_long": d >= F.col("q3")})
 
-#: Ranges of a key's values that are put in order by themselves, so that a key with most of the rows is no single task.
-PARTS = 4096
 
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """left with the other columns of right, which has each key once; null keys are equal to each other."""
     if not keys:
         return left.join(F.broadcast(right))  # one row
@@ -78,23 +77,21 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     on = F.lit(True)
     for k in keys:
         on &= F.col(k).eqNullSafe(F.col(f"{k}_of_"))
-    return left.join(named, on).drop(*[f"{k}_of_" for k in keys])
+    return left.join(named, on, how).drop(*[f"{k}_of_" for k in keys])
 
 
-def by_range(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with part_: `PARTS` equal ranges between the key's least and largest value, numbered in order.
+def by_range(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """df with part_: ranges of (keys, order) of about equal size, numbered in order.
 
-    The ends are exact, so each evaluation gives the same parts. Nulls come last; values without a finite range share a part.
+    The ranges' ends come from a sample of the rows, so neither a key with most of the rows nor a few far values make a part large;
+    they are drawn once, since the table is kept. Rows that are equal in all of (keys, order) share a part.
     """
-    v = F.col(value).cast("double")
-    ends = df.groupBy(*keys).agg(F.min(v).alias("low_"), F.max(v).alias("top_"))
-    part = F.when(v.isNull(), PARTS + 2).otherwise(F.coalesce(F.width_bucket(v, "low_", "top_", F.lit(PARTS)), F.lit(0)))
-    return same_keys(df, ends, keys).withColumn("part_", part).drop("low_", "top_")
+    return cut(df.repartitionByRange(*keys, *order).withColumn("part_", F.spark_partition_id()))
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[Column | str], by: str, weight: Column) -> DataFrame:
-    """df with part_, upto_ (the key's weights up to the row, in `order`, which must go with `by`) and all_ (the key's weights)."""
-    own = by_range(df, keys, by).withColumn("weight_", weight)
+def running_sums(df: DataFrame, keys: list[str], order: list[Column | str], weight: Column) -> DataFrame:
+    """df with part_, upto_ (the key's weights up to the row, in `order`) and all_ (the key's weights); nulls are where `order` has them."""
+    own = by_range(df.withColumn("weight_", weight), keys, order)
     sums = own.groupBy(*keys, "part_").agg(F.sum("weight_").alias("sum_"))
     earlier = F.sum("sum_").over(Window.partitionBy(*keys).orderBy("part_")) - F.col("sum_")
     before = sums.select(*keys, "part_", earlier.alias("before_"), F.sum("sum_").over(Window.partitionBy(*keys)).alias("all_"))
@@ -103,13 +100,31 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column | str], by:
     return joined.withColumn("upto_", F.col("before_") + F.sum("weight_").over(inside)).drop("before_", "weight_")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], rule: str = "n1") -> DataFrame:
+    """keys and exact quantiles (new column -> share) of the finite values; null for keys without any.
+
+    rule: `n1` puts the first of the sorted values at 0 and the last at 1, `mid` the k-th of n at (k - 0.5) / n; linear between them.
+    A key's different values are counted, summed up range by range, and the two around each place picked, so no key is gathered.
+    """
+    v = finite(F.col(value).cast("double"))
+    counts = df.groupBy(*keys, v.alias("v_")).agg(F.count("*").alias("n_"))
+    upto = running_sums(counts.where("v_ is not null"), keys, ["v_"], F.col("n_"))
+    n = F.col("all_")
+    at = {name: F.lit(q) * (n - 1) + 1 if rule == "n1" else F.least(F.greatest(F.lit(q) * n + 0.5, F.lit(1.0)), n.cast("double")) for name, q in shares.items()}
+    ends = [F.min(F.when(F.col("upto_") >= F.least(F.floor(x) + k, n), F.col("v_"))).alias(f"{name}_{k}_") for name, x in at.items() for k in (0, 1)]
+    picked = upto.groupBy(*keys, "all_").agg(*ends)
+    low, high = (lambda name: F.col(f"{name}_0_")), (lambda name: F.col(f"{name}_1_"))
+    found = picked.select(*keys, *[(low(name) + (high(name) - low(name)) * (x - F.floor(x))).alias(name) for name, x in at.items()])
+    return same_keys(df.select(*keys).distinct(), found, keys, "left") if keys else found
+
+
 def false_discovery(df: DataFrame, keys: list[str], p: str) -> DataFrame:
     """df with q, the smallest false-discovery rate at which p is found; rows without p keep none, equal p share theirs.
 
     Only a key's different values are put in order, range by range.
     """
     counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("n_"))
-    ranked = running_sums(counts, keys, [p], p, F.col("n_")).withColumn("q_", F.col(p) * F.col("all_") / F.col("upto_"))
+    ranked = running_sums(counts, keys, [p], F.col("n_")).withColumn("q_", F.col(p) * F.col("all_") / F.col("upto_"))
     least = ranked.groupBy(*keys, "part_").agg(F.min("q_").alias("least_"))
     later = F.min("least_").over(Window.partitionBy(*keys).orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1))
     after = least.select(*keys, "part_", later.alias("after_"))
@@ -124,7 +139,7 @@ def mid_ranks(df: DataFrame, keys: list[str], names: dict[str, str]) -> DataFram
     out = df
     for new, c in names.items():
         counts = df.groupBy(*keys, c).agg(F.count("*").alias("n_"))
-        ranks = running_sums(counts, keys, [F.asc_nulls_last(c)], c, F.col("n_")).select(*keys, c, (F.col("upto_") - (F.col("n_") - 1) / 2.0).alias(new))
+        ranks = running_sums(counts, keys, [F.asc_nulls_last(c)], F.col("n_")).select(*keys, c, (F.col("upto_") - (F.col("n_") - 1) / 2.0).alias(new))
         out = same_keys(out, ranks, [*keys, c])
     return out
 
@@ -136,15 +151,18 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 6) ->
 
 
 def split_by_state(df: DataFrame, keys: list[str], power: str, value: str, share: float = 0.7, least: int = 6, each: int = 3) -> DataFrame:
-    """keys, n, mean of the value in active rows (power at or above its percentile) and in the others, delta and ratio; null if too few."""
-    from ..functions.numbers import percentile_mid
-
-    level = df.groupBy(*keys).agg(percentile_mid(F.collect_list(power), share).alias("level"))
-    rows = df.join(level, keys)
-    active = F.col(power) >= F.col("level")
-    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.count(F.when(active, F.col(value))).alias("n_active"), F.avg(F.when(active, F.col(value))).alias("active"), F.avg(F.when(~active, F.col(value))).alias("rest"))
-    enough = (F.col("n") >= least) & (F.col("n_active") >= each) & (F.col("n") - F.col("n_active") >= each)
-    return out.withColumns({"delta": F.when(enough, F.col("active") - F.col("rest")), "ratio": F.when(enough & (F.col("rest") != 0), F.col("active") / F.col("rest"))})
+    """keys, n (rows with a finite power), n_active (power at or above its percentile), mean of the finite values in active rows and in the
+    others, delta and ratio. Under `least` rows n_active is 0; the means are null then and under `each` rows of either state.
+    """
+    real = df.withColumn("power_", finite(F.col(power).cast("double")))
+    rows = same_keys(real, quantiles(real, keys, "power_", {"level_": share}, "mid"), keys)
+    active = F.col("power_") >= F.col("level_")
+    mean = lambda own: mean_finite(F.when(own, F.col(value).cast("double")))
+    out = rows.groupBy(*keys).agg(F.count("power_").alias("n"), F.count_if(active).alias("n_active"), mean(active).alias("active"), mean(~active).alias("rest"))
+    out = out.withColumn("n_active", F.when(F.col("n") >= least, F.col("n_active")).otherwise(0).cast("long"))
+    enough = (F.col("n_active") >= each) & (F.col("n") - F.col("n_active") >= each)
+    out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("active", "rest")})
+    return out.withColumns({"delta": F.col("active") - F.col("rest"), "ratio": F.when(F.abs("rest") > 2.220446049250313e-16, F.col("active") / F.col("rest"))})
 
 
 def positive_mean(x: Column) -> Column:

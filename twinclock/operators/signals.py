@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import finite
+
 
 def butterworth(order: int, edges: tuple[float, ...], fs: float, kind: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sections (b, a) of second order of a low, band or stop filter, by the bilinear transform of the analog prototype."""
@@ -135,12 +137,22 @@ def nearest(points: DataFrame, targets: DataFrame, k: int, at: tuple[str, ...] =
     return both.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def mirrored(channels: DataFrame) -> DataFrame:
-    """ch, mirror: the channel nearest to the mirrored place (y is negated), of the other half if there is one. channels: ch, x, y, z."""
-    a, b = channels.alias("a"), channels.alias("b")
-    d = (F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") + F.col("b.y")) ** 2 + (F.col("a.z") - F.col("b.z")) ** 2
-    same_half = (F.signum("a.y") * F.signum("b.y") > 0).cast("int")
-    return a.join(F.broadcast(b)).groupBy(F.col("a.ch").alias("ch")).agg(F.min_by(F.col("b.ch"), F.struct(same_half, d, F.col("b.ch"))).alias("mirror"))
+def mirrored(channels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, ch, mirror: the other channel nearest to the mirrored place (y is negated), strictly of the other half if there is one.
+
+    channels: keys (of a recording), ch, x, y, z; numbers that are missing or not finite are no place. A channel without a place or
+    without a partner is its own mirror; a channel in the middle takes the nearest of all others. Ties go to the first by name. Only
+    the channels of one recording meet.
+    """
+    keys = keys or []
+    real = channels.select(*keys, "ch", *[finite(F.col(c).cast("double")).alias(c) for c in "xyz"])
+    a = real.select(*keys, *[F.col(c).alias(f"{c}_a") for c in ("ch", *"xyz")], F.lit(1).alias("all_"))
+    b = real.where("x is not null and y is not null and z is not null").withColumn("all_", F.lit(1))
+    d = (F.col("x_a") - F.col("x")) ** 2 + (F.col("y_a") + F.col("y")) ** 2 + (F.col("z_a") - F.col("z")) ** 2
+    other_half = (F.abs("y_a") > 1e-6) & (F.signum("y_a") * F.signum("y") < 0)
+    pairs = a.join(b, [*keys, "all_"]).where((F.col("ch_a") != F.col("ch")) & d.isNotNull())
+    best = pairs.groupBy(*keys, "ch_a").agg(F.min_by("ch", F.struct((~other_half).cast("int"), d, F.col("ch"))).alias("mirror"))
+    return a.join(best, [*keys, "ch_a"], "left").select(*keys, F.col("ch_a").alias("ch"), F.coalesce("mirror", "ch_a").alias("mirror"))
 
 
 def welch_window(fs: float) -> tuple[int, int, int]:

@@ -442,14 +442,16 @@ def json_field_default(spark, d):
 
 @query("select l_returnflag, round(quantile_cont(l_quantity, 0.95), 6) as p95, round(quantile_cont(l_extendedprice, 0.95), 6) as p95_price from lineitem group by l_returnflag")
 def p95_n1(spark, d):
-    return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(X.percentile_n1(F.col("l_quantity"), 0.95).alias("p95"), X.percentile_n1(F.col("l_extendedprice"), 0.95).alias("p95_price")))
+    li = table(spark, d, "lineitem")
+    of = lambda c, name: reports.quantiles(li, ["l_returnflag"], c, {name: 0.95})
+    return rounded(reports.same_keys(of("l_quantity", "p95"), of("l_extendedprice", "p95_price"), ["l_returnflag"]))
 
 
 @query("with " + E_SQL + """, r as (select run, value, row_number() over (partition by run order by value) as r, count(*) over (partition by run) as n from e where value is not null),
 p as (select run, n, least(greatest(0.7 * n + 0.5, 1), n) as pl from r group by run, n)
 select p.run, round(max(value) filter (r = floor(pl)) + (max(value) filter (r = least(floor(pl) + 1, r.n)) - max(value) filter (r = floor(pl))) * (any_value(pl) - floor(any_value(pl))), 6) as p70 from p join r using (run) group by p.run""")
 def p70_mid(spark, d):
-    return rounded(events(spark, d).groupBy("run").agg(X.percentile_mid(F.collect_list("value"), 0.7).alias("p70")))
+    return rounded(reports.quantiles(events(spark, d), ["run"], "value", {"p70": 0.7}, "mid"))
 
 
 @query("""with q as (select l_suppkey, quantile_cont(l_quantity / 30, 0.25) as q1, quantile_cont(l_quantity / 30, 0.5) as q2, quantile_cont(l_quantity / 30, 0.75) as q3 from lineitem group by l_suppkey)
@@ -470,11 +472,12 @@ p as (select run, n, least(greatest(0.7 * n + 0.5, 1), n) as pl from r group by
 l as (select p.run, max(value) filter (r = floor(pl)) + (max(value) filter (r = least(floor(pl) + 1, r.n)) - max(value) filter (r = floor(pl))) * (any_value(pl) - floor(any_value(pl))) as level from p join r using (run) group by p.run)"""
 
 
-@query("with " + STATE_SQL + """, s as (select e.run, count(*) as n, count(*) filter (value >= level) as na, avg(ord) filter (value >= level) as active, avg(ord) filter (not value >= level) as rest from e join l using (run) group by e.run)
-select run, n, na as n_active, round(active, 6) as active, round(rest, 6) as rest, case when n >= 6 and na >= 3 and n - na >= 3 then round(active - rest, 6) end as delta from s""")
+@query("with " + STATE_SQL + """, s as (select e.run, count(value) as n, case when count(value) >= 6 then count(*) filter (value >= level) else 0 end as na, avg(ord) filter (value >= level) as act, avg(ord) filter (value < level) as inact from e join l using (run) group by e.run),
+m as (select *, na >= 3 and n - na >= 3 as enough from s)
+select run, n, na as n_active, round(case when enough then act end, 6) as active, round(case when enough then inact end, 6) as rest, round(case when enough then act - inact end, 6) as delta, round(case when enough and abs(inact) > 2.220446049250313e-16 then act / inact end, 6) as ratio from m""")
 def state_dependent(spark, d):
     e = events(spark, d).withColumn("y", F.col("ord").cast("double"))
-    return rounded(reports.split_by_state(e, ["run"], "value", "y").select("run", "n", "n_active", "active", "rest", "delta"))
+    return rounded(reports.split_by_state(e, ["run"], "value", "y").select("run", "n", "n_active", "active", "rest", "delta", "ratio"))
 
 
 @query("with " + E_SQL + """, r as (select code, ord, value / 400 as p, row_number() over (partition by code order by value / 400, ord) as rk, count(*) over (partition by code) as m from e)
@@ -571,7 +574,7 @@ def vaf(spark, d):
 
 
 @query("""with m as (select l_suppkey, avg(l_quantity) as mean, avg(l_quantity) filter (l_returnflag = 'A') as a, avg(l_quantity) filter (l_returnflag = 'N') as n, avg(l_quantity) filter (l_returnflag = 'R') as r from lineitem group by l_suppkey)
-select l_suppkey, row_number() over (order by round(mean, 9) desc nulls last, l_suppkey) as rank, round(mean, 6) as mean, round(a, 6) as syn_A, round(n, 6) as syn_N, round(r, 6) as syn_R from m""")
+select l_suppkey, row_number() over (order by mean desc nulls first, l_suppkey) as rank, round(mean, 6) as mean, round(a, 6) as syn_A, round(n, 6) as syn_N, round(r, 6) as syn_R from m""")
 def rank_pivot(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity")
     out = reports.ranked_pivot(li, "l_suppkey", "l_returnflag", "l_quantity", ["A", "N", "R"], "syn_")
@@ -624,7 +627,9 @@ def region_means(spark, d):
 
 
 @query("with " + MEAN_SQL + """, p as (select label::varchar as ch, max(v) filter (i = 0) as x, max(v) filter (i = 1) as y, max(v) filter (i = 2) as z from m group by label),
-d as (select a.ch, b.ch as mirror, (sign(a.y) * sign(b.y) > 0)::int as same, (a.x - b.x) ** 2 + (a.y + b.y) ** 2 + (a.z - b.z) ** 2 as d from p a, p b) select ch, arg_min(mirror, (same, d, mirror)) as mirror from d group by ch""")
+d as (select a.ch, b.ch as mirror, abs(a.y) > 1e-6 and sign(a.y) * sign(b.y) < 0 as opposite, (a.x - b.x) ** 2 + (a.y + b.y) ** 2 + (a.z - b.z) ** 2 as d from p a, p b where a.ch <> b.ch),
+k as (select *, bool_or(opposite) over (partition by ch) as any_opposite from d), c as (select ch, mirror, row_number() over (partition by ch order by d, mirror) as r from k where opposite or not any_opposite)
+select p.ch, coalesce(c.mirror, p.ch) as mirror from p left join c on c.ch = p.ch and r = 1""")
 def mirrored_channels(spark, d):
     at = lambda k: F.get("p", F.lit(k))
     return signals.mirrored(label_means(spark, d).select(F.col("label").cast("string").alias("ch"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z")))
@@ -695,7 +700,7 @@ def label_pairs(spark, d):
 @query()
 def welch_coherence(spark, d):
     e = table(spark, d, "embeddings").select("label", "vec_id", (F.col("vec_id") % 2).alias("half"), F.col("embedding").cast("array<double>").alias("v"))
-    placed = reports.running_sums(e, ["label", "half"], ["vec_id"], "vec_id", F.size("v")).withColumn("start", F.col("upto_") - F.size("v"))
+    placed = reports.running_sums(e, ["label", "half"], ["vec_id"], F.size("v")).withColumn("start", F.col("upto_") - F.size("v"))
     of = lambda half, name: placed.where(F.col("half") == half).select("label", "start", F.col("v").alias(name))
     blocks = of(0, "e").join(of(1, "h"), ["label", "start"])  # as long as the shorter signal
     return signals.long_coherence(blocks, ["label"], 250.0).select("label", "n_segments", F.posexplode("c").alias("i", "c"))

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import coupling, edges, fit, match, reports, signals, synergies, trials
+from ..operators.storage import cut
 
 KEYS = ["pair", "phase"]
 #: First gap of the two task channels, seconds.
 TASK_GAP = 0.12
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage of a table that many steps read, in the shared checkpoint folder; one is made only where none is named and all runs in one process."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def by_code(events: DataFrame, code: str) -> DataFrame:
     return fit.numbered(events.where(F.col("code") == code), KEYS, ["t", "ord"]).select(*KEYS, "k", "t")
 
@@ -88,7 +76,8 @@ def validate(predicted: DataFrame, reference: DataFrame, fits: DataFrame, limits
     found = match.blockers(pairs, keys, "code", match.limit_ms(F.col("code")))
     task = per_code.where(F.col("code").isin("DIN4", "DIN5"))
     at = lambda code, c: F.max(F.when(F.col("code") == code, F.col(c)))
-    wide = task.groupBy(*KEYS).agg(at("DIN4", "n_ref").alias("n_din4"), at("DIN5", "n_ref").alias("n_din5"), at("DIN4", "recall").alias("recall_din4"), at("DIN5", "recall").alias("recall_din5"), F.max("median_ms").alias("median_ms"), F.max("p95_ms").alias("p95_ms"))
+    worst = lambda c: F.when(at("DIN4", c).isNotNull() & at("DIN5", c).isNotNull(), F.max(c))  # noqa: E731  a code without matches fails
+    wide = task.groupBy(*KEYS).agg(at("DIN4", "n_ref").alias("n_din4"), at("DIN5", "n_ref").alias("n_din5"), at("DIN4", "recall").alias("recall_din4"), at("DIN5", "recall").alias("recall_din5"), *[worst(c).alias(c) for c in ("median_ms", "p95_ms")])
     high = found.groupBy(*KEYS).agg(F.count_if(F.col("severity") == "HIGH").alias("n_high"))
     runs = fits.select(*KEYS, (F.col("mad") * 1000).alias("mad_ms"), "drift_ppm").join(wide, KEYS, "left").join(high, KEYS, "left").withColumn("n_high", F.coalesce("n_high", F.lit(0)))
     summary = match.readiness(runs, limits, profile)
