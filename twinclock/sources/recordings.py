@@ -80,6 +80,18 @@ def read_archive(content: bytes):
 def archive_signals(spark: SparkSession, path: str, wanted: str = "all", glob: str = "*.otb+") -> DataFrame:
     """otb, ch (index from 0), label, adapter, fs, chunk, samples: chunks of every channel of every archive under `path`.
 
+    wanted: `all`, `aux` (trigger inputs) or `bipolar` (the first ten of bipolar adapters, else the first ten channels). Only
+    the wanted channels leave the reader; archives of any size are split over tasks by ranges of frames.
+    """
+    from .archives import archive_ranges
+
+    return archive_ranges(spark, path, wanted, glob=glob)
+
+
+def whole_archive_signals(spark: SparkSession, path: str, wanted: str = "all", glob: str = "*.otb+") -> DataFrame:
+    """otb, ch (index from 0), label, adapter, fs, chunk, samples: chunks of every channel of every archive under `path`.
+
+    Each archive is one row of Spark's own binary reader, so it must be below its limit of 2 GB: for stores that only Spark can open.
     wanted: `all`, `aux` (trigger inputs) or `bipolar` (the first ten of bipolar adapters, else the first ten channels). Only
     the wanted channels leave the reader.
     """
