@@ -126,14 +126,21 @@ def region_means(signals: DataFrame, regions: DataFrame, keys: list[str]) -> Dat
     return means.groupBy(*keys, "roi").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("samples"), F.max("n").alias("n_channels"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, k: int, at: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """name, point, distance2, rank: the k points nearest to each target; ties to the smaller point.
+FEW_TARGETS = 1024
 
-    targets is a short stated list, held against all points; every task keeps its own best k before any exchange.
+
+def nearest(points: DataFrame, targets: DataFrame, k: int, at: tuple[str, ...] = ("x", "y", "z"), keys: list[str] | None = None) -> DataFrame:
+    """keys, name, point, distance2, rank: the k points (of a recording) nearest to each target; ties to the smaller point.
+
+    targets is a stated list, held against all points: broadcast up to `FEW_TARGETS`, else dealt in blocks with the points. Every
+    task keeps its own best k before any exchange.
     """
-    d = sum(((F.col(f"p.{c}") - F.col(f"t.{c}")) ** 2 for c in at), F.lit(0.0))
-    both = points.alias("p").join(F.broadcast(targets).alias("t")).select(F.col("t.name").alias("name"), F.col("p.point").alias("point"), d.alias("distance2"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("distance2", "point"))
+    keys = keys or []
+    few = targets.limit(FEW_TARGETS + 1).count() <= FEW_TARGETS
+    own = targets.select("name", *[F.col(c).alias(f"{c}_t") for c in at])
+    d = sum(((F.col(c) - F.col(f"{c}_t")) ** 2 for c in at), F.lit(0.0))
+    both = points.join(F.broadcast(own) if few else own).select(*keys, "name", "point", d.alias("distance2"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "name").orderBy("distance2", "point"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import numbers as X
 from ..functions import times as T
-from ..operators import coupling, edges, fit, match, reports, signals, synergies, trials
+from ..operators import coupling, edges, fit, match, projection, reports, signals, synergies, trials
 from ..sources import recordings, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -734,3 +734,55 @@ def canonical_correlation(spark, d):
 @query()
 def profile_clusters(spark, d):
     return coupling.profile_clusters(label_means(spark, d).withColumn("all", F.lit(1)), ["all"], "label", "p")
+
+
+@query("with " + MEAN_SQL + """, k as (select label + 1 as j, i + 1 as ch, v from m),
+p as (select a.label + 1 as i, b.label + 1 as j, sum(a.v * b.v) as v from m a join m b using (i) group by all),
+e as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, embedding[4]::double > 0 as inside, embedding from embeddings),
+s as (select vec_id as voxel, unnest(range(1, 11)) as i, unnest(embedding[1:10])::double as v from e),
+t as (select label as roi, max(v) filter (i = 0) as x, max(v) filter (i = 1) as y, max(v) filter (i = 2) as z from m group by label),
+n as (select roi, vec_id as voxel, row_number() over (partition by roi order by (e.x - t.x) ** 2 + (e.y - t.y) ** 2 + (e.z - t.z) ** 2, vec_id) as r from e, t where inside),
+w as (select roi, i, avg(v) as v from n join s using (voxel) where r <= 25 group by roi, i),
+wp as (select roi, j, sum(w.v * p.v) as v from w join p using (i) group by roi, j),
+f as (select roi, ch, sum(wp.v * k.v) as v from wp join k using (j) group by roi, ch),
+cells as (select vec_id as t, unnest(range(1, 65)) as ch, unnest(embedding)::double as v from embeddings),
+g as (select roi, t, sum(f.v * c.v) as v from f join cells c using (ch) group by roi, t),
+q as (select roi, avg(v) as mean, stddev_samp(v) as sd from g group by roi)
+select roi, t, round((v - mean) / sd, 6) as v from g join q using (roi)""")
+def source_projection(spark, d):
+    """Every vector is a moment of 64 sensors and a voxel; kernel and projection are the labels' means and their products."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    run = F.lit("all").alias("run")
+    m = label_means(spark, d).select("label", "p")
+    kernel = m.select(run, (F.col("label") + 1).alias("j"), F.posexplode("p").alias("ch", "v")).withColumn("ch", F.col("ch") + 1)
+    long = m.select("label", F.posexplode("p").alias("k", "v"))
+    both = long.select(F.col("label").alias("i"), "k", F.col("v").alias("a")).join(long.select(F.col("label").alias("j"), "k", F.col("v").alias("b")), "k")
+    proj = both.groupBy((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("v")).select(run, "i", "j", "v")
+    voxels = e.select(run, F.col("vec_id").alias("voxel"), *[F.col("v")[k].alias(c) for k, c in enumerate("xyz")], (F.col("v")[3] > 0).alias("inside"))
+    spatial = e.select(run, F.col("vec_id").alias("voxel"), F.posexplode(F.slice("v", 1, 10)).alias("i", "w")).select("run", "voxel", (F.col("i") + 1).cast("long").alias("i"), F.col("w").alias("v"))
+    regions = m.select(F.col("label").alias("name"), *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate("xyz")])
+    block = F.expr("vec_id div 256")
+    cells = e.select(block.alias("block"), F.posexplode("v").alias("ch", "x"), "vec_id")
+    rows = cells.groupBy("block", (F.col("ch") + 1).alias("ch")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("own"))  # 256 moments
+    sensors = rows.select(run, "ch", "block", F.col("own.x").alias("samples"))
+    out, _ = projection.source_regions(sensors, voxels, spatial, proj, kernel, regions, ["run"])
+    times = rows.where("ch = 1").select("block", F.col("own.vec_id").alias("times"))
+    points = out.join(times, "block").select(F.col("roi"), F.explode(F.arrays_zip("times", "samples")).alias("p"))
+    return rounded(points.select("roi", F.col("p.times").alias("t"), F.col("p.samples").alias("v")))
+
+
+@query("""with e as (select label, row_number() over (partition by label order by vec_id) as trial, embedding from embeddings), x as (select label, trial, unnest(range(64)) as k, unnest(embedding)::double as v from e)
+select label, trial, k // 16 + 1 as c, 'C' || (k // 16 + 1) as ch, 250.0::double as fs, k % 16 as t, round(v, 6) as v from x""")
+def trial_tensors(spark, d):
+    """A label's vectors as trials of 4 channels by 16 times, each label's block with its axes in another order."""
+    e = fit.numbered(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), ["label"], ["vec_id"])
+    cells = e.select("label", (F.col("k") - 1).alias("trial"), F.posexplode("embedding").alias("p", "v")).withColumns({"c": F.expr("p div 16"), "t": F.expr("p % 16")})
+    n = cells.groupBy("label").agg((F.max("trial") + 1).cast("int").alias("n"))
+    orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]  # which of trial, channel, time is each axis
+    pick = lambda values: F.coalesce(*[F.when(F.pmod("label", F.lit(6)) == k, F.array(*[values[a] for a in o])) for k, o in enumerate(orders)])
+    heads = n.select("label", pick([F.col("n"), F.lit(4), F.lit(16)]).alias("dims"), F.array(*[F.lit(f"C{k}") for k in range(1, 5)]).alias("labels"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: x * 4.0).alias("times"))
+    at = cells.join(heads.select("label", "dims"), "label").withColumn("at", pick([F.col("trial").cast("long"), F.col("c").cast("long"), F.col("t").cast("long")]))
+    flat = at.select("label", F.col("v").cast("double").alias("v"), (F.col("at")[0] + F.col("dims")[0] * (F.col("at")[1] + F.col("dims")[1] * F.col("at")[2])).alias("flat"))
+    blocks = flat.groupBy("label", F.expr("flat div 500").alias("b")).agg(F.array_sort(F.collect_list(F.struct("flat", "v"))).alias("own")).select("label", (F.col("b") * 500).alias("start"), F.col("own.v").alias("values"))
+    out = projection.trial_tensors(blocks, heads, ["label"])
+    return rounded(out.select("label", "trial", "c", "ch", "fs", F.posexplode("samples").alias("t", "v")).withColumn("t", F.col("t").cast("long")))
