@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import numbers as X
 from ..functions import times as T
-from ..operators import coupling, edges, fit, match, projection, reports, signals, synergies, trials
-from ..sources import recordings, sinks
+from ..operators import coupling, edges, fit, match, projection, regions, reports, signals, synergies, trials
+from ..sources import datasets, recordings, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -786,3 +786,44 @@ def trial_tensors(spark, d):
     blocks = flat.groupBy("label", F.expr("flat div 500").alias("b")).agg(F.array_sort(F.collect_list(F.struct("flat", "v"))).alias("own")).select("label", (F.col("b") * 500).alias("start"), F.col("own.v").alias("values"))
     out = projection.trial_tensors(blocks, heads, ["label"])
     return rounded(out.select("label", "trial", "c", "ch", "fs", F.posexplode("samples").alias("t", "v")).withColumn("t", F.col("t").cast("long")))
+
+
+@query("""with x as (select s_suppkey as k, '/net/' || lower(replace(n_name, ' ', '_')) || '_reach_' || case s_suppkey % 2 when 0 then 'dx' else 'sx' end || '_s' || s_suppkey || '.mff' as mff, s_suppkey || '.mat' as trials from supplier join nation on s_nationkey = n_nationkey),
+n as (select count(*) as n from x),
+r as (select c_custkey, lower(replace(n_name, ' ', '_')) || '_reach' as pair, case when c_custkey % 11 = 0 then 'given.mat' end as given, case c_custkey % 4 when 0 then upper(x.mff) when 1 then '/else/' || split_part(x.mff, '/', 3) when 2 then '/else/' || lower(replace(n_name, ' ', '_')) || '_reach_dx_s' end as mff
+  from customer join nation on c_nationkey = n_nationkey, n join x on x.k = c_custkey % n.n + 1),
+w as (select *, list_filter(string_split(pair, '_'), lambda y: len(y) >= 2 and y not in ('bids', 'ses', 'session', 'pair', 'pre', 'post')) || ['pre'] as words, split_part(mff, '/', 3) as base from r),
+s as (select w.c_custkey, x.k, x.trials, lower(w.mff) = x.mff as same, case when contains(x.mff, lower(base)) then 10 else 0 end + len(list_filter(words, lambda y: contains(x.mff, y))) as score from w, x where w.mff is not null),
+b as (select c_custkey, max(trials) filter (same) as exact, max(score) as score, arg_max(trials, (score, -k)) as best from s group by c_custkey)
+select c_custkey, coalesce(given, exact, case when score >= 10 then best end) as trials, case when given is not null then 'from_report' when exact is not null then 'mapped_by_mff' when score >= 10 then 'mapped_by_name_' || score else 'index_not_matched' end as status from r left join b using (c_custkey)""")
+def trials_of_runs(spark, d):
+    low = F.lower(F.replace(F.col("n_name"), F.lit(" "), F.lit("_")))
+    n = table(spark, d, "nation")
+    own = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    mff = F.concat(F.lit("/net/"), low, F.lit("_reach_"), F.when(F.col("s_suppkey") % 2 == 0, "dx").otherwise("sx"), F.lit("_s"), F.col("s_suppkey").cast("string"), F.lit(".mff"))
+    index = own.select(F.format_string("%012d", "s_suppkey").alias("ord"), mff.alias("key"), mff.alias("mff"), F.concat(F.col("s_suppkey").cast("string"), F.lit(".mat")).alias("trials"), F.col("s_suppkey").alias("k"))
+    some = index.join(F.broadcast(index.agg(F.count("*").alias("n")))).select("k", "n", F.col("mff").alias("theirs"))
+    key = F.col("c_custkey")
+    runs = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(key, low.alias("low")).join(F.broadcast(index.agg(F.count("*").alias("n_"))))
+    runs = runs.withColumn("k", key % F.col("n_") + 1).join(some, "k")
+    base = F.regexp_extract("theirs", "([^/]*)$", 1)
+    name = F.when(key % 4 == 0, F.upper("theirs")).when(key % 4 == 1, F.concat(F.lit("/else/"), base)).when(key % 4 == 2, F.concat(F.lit("/else/"), F.col("low"), F.lit("_reach_dx_s")))
+    runs = runs.select(key.alias("run"), F.concat(F.col("low"), F.lit("_reach")).alias("pair"), F.lit("pre").alias("phase"), F.when(key % 11 == 0, "given.mat").alias("given"), name.alias("mff"))
+    return datasets.trials_of_runs(runs, index.drop("k")).select(F.col("run").alias("c_custkey"), "trials", "status")
+
+
+@query("with " + MEAN_SQL + """, r as (select n_nationkey as run, case n_nationkey % 2 when 0 then 'sx' else 'dx' end as side from nation),
+p as (select run, label::varchar as ch, max(v) filter (i = 0) as x, max(v) filter (i = 1) + run / 1000 as y, max(v) filter (i = 2) as z from m, r group by run, label),
+d as (select a.run, a.ch, b.ch as mirror, abs(a.y) > 1e-6 and sign(a.y) * sign(b.y) < 0 as opposite, (a.x - b.x) ** 2 + (a.y + b.y) ** 2 + (a.z - b.z) ** 2 as d from p a join p b on a.run = b.run and a.ch <> b.ch),
+k as (select *, bool_or(opposite) over (partition by run, ch) as any_opposite from d), c as (select run, ch, mirror, row_number() over (partition by run, ch order by d, mirror) as r from k where opposite or not any_opposite),
+g as (select * from (values (1, 'fc5', 'fc6', -50), (2, 'fc1', 'fc2', -25), (3, 'fz', 'fz', 0), (4, 'cz', 'cz', 0), (5, 'c3', 'c4', -40), (6, 't7', 't8', -65), (7, 'cp5', 'cp6', -60), (8, 'cp1', 'cp2', -30)) as g(ord, name, other, x)),
+t as (select r.run, g.ord, case when side = 'sx' then other else name end as name, case when side = 'sx' and name not in ('fz', 'cz') then -x else x end::double as x, (ord - 1)::varchar as a, (ord + 1)::varchar as b, side = 'sx' and name not in ('fz', 'cz') as turn from r, g)
+select t.run, t.ord, t.name, t.x, case when turn then coalesce(ca.mirror, a) else a end || ';' || case when turn then coalesce(cb.mirror, b) else b end as labels from t left join c ca on ca.run = t.run and ca.ch = t.a and ca.r = 1 left join c cb on cb.run = t.run and cb.ch = t.b and cb.r = 1""")
+def side_regions(spark, d):
+    """The scalp list for each nation as a run, with the labels' mean places as channels; odd nations move the right hand."""
+    runs = table(spark, d, "nation").select(F.col("n_nationkey").alias("run"), F.when(F.col("n_nationkey") % 2 == 0, "sx").otherwise("dx").alias("side"))
+    at = lambda k: F.get("p", F.lit(k))
+    places = label_means(spark, d).select(F.col("label").cast("string").alias("ch"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+    channels = places.join(runs.select("run")).withColumn("y", F.col("y") + F.col("run") / 1000)
+    own = regions.listed(spark, "scalp").withColumn("labels", F.array((F.col("ord") - 1).cast("string"), (F.col("ord") + 1).cast("string")))
+    return regions.for_side(own, runs, channels, ["run"]).select("run", "ord", "name", "x", F.array_join("labels", ";").alias("labels"))
