@@ -255,6 +255,42 @@ def test_ranked_pivot_with_ties_and_missing_means(spark, seed):
     assert reports.ranked_pivot(df.limit(0), "k", "c", "v", ["x", "y"], "of_").count() == 0
 
 
+def plain_section(x, b, a, y1, y2):
+    """Sample by sample."""
+    out, x1, x2 = [], x[0], x[0]
+    for v in x.tolist():
+        y = b[0] * v + b[1] * x1 + b[2] * x2 - a[1] * y1 - a[2] * y2
+        x2, x1, y2, y1 = x1, v, y1, y
+        out.append(y)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 5, 64, 65, 1000])
+def test_sections_by_blocks(n):
+    x = np.random.default_rng(n).normal(size=n)
+    for b, a in signals.butterworth(4, (20, 450), 1000.0, "band") + signals.butterworth(2, (49, 51), 1000.0, "stop"):
+        assert signals.run_section(x, b, a, 0.3, -0.2) == pytest.approx(plain_section(x, b, a, 0.3, -0.2), abs=1e-10)
+
+
+@pytest.mark.parametrize("mains", [50.0, 500.0])
+def test_envelopes_of_long_signals(spark, mains):
+    """Pieces give what the whole signal gives, wherever blocks end."""
+    rng = np.random.default_rng(5)
+    x = {"a": rng.normal(size=30_000 if mains > 400 else 150_000) * 1e3, "b": rng.normal(size=4001), "tiny": np.array([1.0])}
+    rows = []
+    for run, v in x.items():
+        cuts = sorted({0, len(v), *rng.integers(0, len(v), 40).tolist()})
+        rows += [(run, a, v[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    blocks = frame(spark, rows, "run string, start long, samples array<double>")
+    got = {}
+    for r in signals.long_envelopes(blocks, ["run"], 1000.0, mains=mains, span=4001).orderBy("run", "start").collect():
+        got.setdefault(r.run, []).extend(r.samples)
+    margin = signals.memory_of(sum(signals.envelope_filters(1000.0, mains=mains), []))
+    assert margin < len(x["a"]) / 2
+    for run, v in x.items():
+        assert got[run] == pytest.approx(signals.envelope(v, 1000.0, mains=mains).tolist(), rel=1e-9, abs=1e-9)
+
+
 def test_quantiles_of_far_values(spark):
     """Both rules against plain versions: ties, one far value, nulls, infinite values, a null key and a key without numbers."""
     rng = random.Random(8)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import finite
 
 
+@lru_cache(maxsize=1024)
 def butterworth(order: int, edges: tuple[float, ...], fs: float, kind: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sections (b, a) of second order of a low, band or stop filter, by the bilinear transform of the analog prototype."""
     poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
@@ -41,17 +43,45 @@ def _conjugates(roots: np.ndarray) -> tuple[list[complex], list[complex]]:
     return [*upper, *real[:half]], [*(np.conj(r) for r in upper), *real[::-1][:half]]
 
 
-def run_section(x: np.ndarray, b: np.ndarray, a: np.ndarray, y1: float, y2: float) -> np.ndarray:
-    """One section over x; the state before is a steady one at the values y1 and y2."""
-    out = np.empty(len(x))
-    x1 = x2 = x[0] if len(x) else 0.0
+STEP = 64  # samples that one product of matrices filters at once
+
+
+@lru_cache(maxsize=256)
+def section_blocks(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One section over `STEP` samples: outputs from inputs, outputs from the state before, state after from inputs, and from the state before."""
     b0, b1, b2 = b
     _, a1, a2 = a
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
-        x2, x1, y2, y1 = x1, v, y1, y
-        out[i] = y
-    return out
+    move, enter = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(STEP):
+        powers.append(move @ powers[-1])
+    response = np.array([b0, *[(p @ enter)[0] for p in powers[: STEP - 1]]])
+    lag = np.subtract.outer(np.arange(STEP), np.arange(STEP))
+    through = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    return through, np.array([p[0] for p in powers[:STEP]]), np.array([p @ enter for p in powers[STEP - 1 :: -1]]).T, powers[STEP]
+
+
+def run_section(x: np.ndarray, b: np.ndarray, a: np.ndarray, y1: float, y2: float) -> np.ndarray:
+    """One section over x; the state before is a steady one at the values y1 and y2.
+
+    Blocks of `STEP` samples are filtered from rest all at once; only the two numbers that a block hands to the next go step by step.
+    """
+    if not len(x):
+        return np.empty(0)
+    through, seen, left, carried = section_blocks(tuple(map(float, b)), tuple(map(float, a)))
+    n = -(-len(x) // STEP)
+    blocks = np.zeros(n * STEP)
+    blocks[: len(x)] = x
+    blocks = blocks.reshape(n, STEP)
+    s2 = b[2] * x[0] - a[2] * y1
+    state = (float(b[1] * x[0] - a[1] * y1 + b[2] * x[0] - a[2] * y2), float(s2))
+    ends = (blocks @ left.T).tolist()
+    (c00, c01), (c10, c11) = carried.tolist()
+    states = []
+    for e0, e1 in ends:
+        states.append(state)
+        state = (c00 * state[0] + c01 * state[1] + e0, c10 * state[0] + c11 * state[1] + e1)
+    return (blocks @ through.T + np.array(states) @ seen.T).ravel()[: len(x)]
 
 
 def zero_phase(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -68,15 +98,68 @@ def zero_phase(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]]) ->
     return y[pad:-pad]
 
 
-def envelope(x: np.ndarray, fs: float, low_pass: float = 10.0, mains: float = 50.0) -> np.ndarray:
-    """Band 20 to 450 Hz, notches at the mains' multiples up to 400 Hz, absolute value, low pass; all bounded by the rate."""
+def envelope_filters(fs: float, low_pass: float = 10.0, mains: float = 50.0) -> tuple[list, list]:
+    """The filters before and after the absolute value: band 20 to 450 Hz, notches at the mains' multiples up to 400 Hz, low pass; all bounded by the rate."""
     top = min(450.0, fs / 2 - 1)
-    if top > 20:
-        x = zero_phase(x, butterworth(4, (20.0, top), fs, "band"))
-    for f in np.arange(mains, 401, mains):
-        if f + 1 < fs / 2:
-            x = zero_phase(x, butterworth(2, (f - 1, f + 1), fs, "stop"))
-    return zero_phase(np.abs(x), butterworth(4, (min(low_pass, fs / 4),), fs, "low"))
+    before = [butterworth(4, (20.0, top), fs, "band")] if top > 20 else []
+    before += [butterworth(2, (f - 1, f + 1), fs, "stop") for f in np.arange(mains, 401, mains) if f + 1 < fs / 2]
+    return before, [butterworth(4, (min(low_pass, fs / 4),), fs, "low")]
+
+
+def envelope(x: np.ndarray, fs: float, low_pass: float = 10.0, mains: float = 50.0) -> np.ndarray:
+    """The signal's filtered absolute value, see `envelope_filters`."""
+    before, after = envelope_filters(fs, low_pass, mains)
+    for f in before:
+        x = zero_phase(x, f)
+    x = np.abs(x)
+    for f in after:
+        x = zero_phase(x, f)
+    return x
+
+
+FORGOTTEN = 1e-13  # what is left of a sample where a filter has forgotten it
+
+
+def memory_of(filters: list) -> int:
+    """Samples after which filters, one after the other, have forgotten a sample, by their slowest poles."""
+    slowest = [max(np.abs(np.roots(a)).max() for _, a in f) for f in filters]
+    return int(sum(1.3 * np.log(FORGOTTEN) / np.log(r) + 6 * len(f) + 3 for r, f in zip(slowest, filters, strict=True)))
+
+
+def in_pieces(blocks: DataFrame, keys: list[str], f: Callable[[np.ndarray], np.ndarray], margin: int, span: int) -> DataFrame:
+    """keys, start, samples: f over signals that no row can hold, piece by piece.
+
+    blocks: keys, start (of the first sample, from 0), samples, without gaps. A piece is `span` samples and `margin` on
+    either side, which f sees and which go afterwards; f must not look farther than that.
+    """
+    stop = F.col("start") + F.size("samples") - 1
+    first, last = F.greatest(F.lit(0), F.floor((F.col("start") - margin) / span)), F.floor((stop + margin) / span)
+    placed = blocks.where(F.size("samples") > 0).select(*keys, "start", "samples", F.explode(F.sequence(first, last)).alias("piece"))
+    low, high = F.col("piece") * span - margin, (F.col("piece") + 1) * span + margin
+    skip = F.greatest(F.lit(0), low - F.col("start"))
+    part = F.slice("samples", (skip + 1).cast("int"), F.greatest(F.lit(0), F.least(F.size("samples"), high - F.col("start")) - skip).cast("int"))
+    pieces = placed.select(*keys, "piece", (F.col("start") + skip).alias("start"), part.alias("samples")).where(F.size("samples") > 0)
+    pieces = pieces.groupBy(*keys, "piece").agg(F.array_sort(F.collect_list(F.struct("start", "samples"))).alias("own"))  # a piece and its margins
+    schema = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for part in batches:
+            rows = []
+            for own in part.to_dict("records"):
+                x = np.concatenate([np.asarray(b["samples"], float) for b in own["own"]])
+                begin, at = int(own["own"][0]["start"]), int(own["piece"]) * span
+                if begin + len(x) > at:  # else only the margin reaches the signal
+                    rows.append({**{k: own[k] for k in keys}, "start": at, "samples": f(x)[at - begin :][:span]})
+            yield pd.DataFrame(rows, columns=[*keys, "start", "samples"])
+
+    return pieces.mapInPandas(run, f"{schema}, start long, samples array<double>")
+
+
+def long_envelopes(blocks: DataFrame, keys: list[str], fs: float, low_pass: float = 10.0, mains: float = 50.0, span: int | None = None) -> DataFrame:
+    """What `envelope` gives, for signals in blocks (keys, start, samples) of any number, in pieces with as much margin as the filters remember."""
+    before, after = envelope_filters(fs, low_pass, mains)
+    margin = memory_of(before + after)
+    return in_pieces(blocks, keys, lambda x: envelope(x, fs, low_pass, mains), margin, span or max(1 << 18, 4 * margin))
 
 
 def regrid(t: np.ndarray, x: np.ndarray, grid: np.ndarray) -> np.ndarray:

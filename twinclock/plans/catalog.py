@@ -680,7 +680,12 @@ def run_signals(spark, d):
 
 @query()
 def emg_envelope(spark, d):
-    return signals.envelopes(run_signals(spark, d)).select("run", F.posexplode("samples").alias("i", "x"))
+    e = reports.running_sums(events(spark, d).select("run", "t", "ord", "value"), ["run"], ["t", "ord"], F.lit(1)).withColumn("at", F.col("upto_") - 1)
+    block = F.expr("at div 4096")
+    rows = e.groupBy("run", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("own"))  # 4096 samples
+    blocks = rows.select("run", (F.col("block") * 4096).alias("start"), F.col("own.value").alias("samples"))
+    out = signals.long_envelopes(blocks, ["run"], 1000.0)
+    return out.select("run", "start", F.posexplode("samples").alias("i", "x")).select("run", (F.col("start") + F.col("i")).alias("i"), "x")
 
 
 @query("with " + E_SQL + ", v as (select run, list(value order by t, ord) as v from e group by run), g as (select run, v, unnest(range(0, greatest(1, floor(len(v) * 0.25 + 0.5))::bigint)) as i from v) select run, i, round(v[least(4 * i, len(v) - 1) + 1], 6) as x from g")
