@@ -63,3 +63,10 @@ def test_range_minima():
     a = rng.integers(0, 500, 300)
     b = np.minimum(499, a + rng.integers(0, 200, 300))
     assert (suffixes.range_minima(v, a, b) == [v[x : y + 1].min() for x, y in zip(a, b, strict=True)]).all()
+
+
+def test_texts_beyond_the_place_numbers_are_an_error(spark):
+    docs = spark.createDataFrame([("x" * 300, 1, 0)], "text string, doc long, mark long")
+    assert suffixes.anchors(docs, 200, 301).count() > 0
+    with pytest.raises(Exception, match="300 bytes"):
+        suffixes.anchors(docs, 200, 300).count()

@@ -13,7 +13,8 @@ Anchors with many different neighbourhoods are split into blocks of windows that
 that a common anchor spreads by the content around it.
 
 Texts are UTF-8 bytes; null is empty. Matches never cross documents. Rows with equal id and text are repeats of each other
-and get equal results; rows without an id are known by their text. An empty table gives no rows.
+and get equal results; rows without an id are known by their text. An empty table gives no rows. A text of 2 ** `PLACE_BITS` bytes or
+more is an error.
 """
 
 from __future__ import annotations
@@ -98,13 +99,15 @@ def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.withColumns({"doc": F.coalesce("doc_id", F.xxhash64("text")), "mark": F.shiftrightunsigned(F.xxhash64("text"), PLACE_BITS)})
 
 
-def anchors(docs: DataFrame, span: int) -> DataFrame:
+def anchors(docs: DataFrame, span: int, longest: int = 1 << PLACE_BITS) -> DataFrame:
     """anchor, around (hash of its neighbourhood), doc, at (mark and place) of every anchor; docs as `keyed` gives them."""
 
     def run(batches):
         for batch in by_bytes(batches, limit=2 << 20):
             texts = byte_rows(batch.column("text"))
             sizes = np.array([len(t) for t in texts])
+            if sizes.max() >= longest:
+                raise ValueError(f"a text of {sizes.max()} bytes; places are known below {longest}")
             data = np.frombuffer(b"".join(texts), np.uint8)
             places, grams, own = anchors_in(data, sizes, span)
             if not len(places):
