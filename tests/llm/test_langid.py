@@ -86,3 +86,15 @@ def test_word_scores():
 def test_registered_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["op8_langid"](spark, str(tmp_path)).count() == 0
+
+
+def test_sample_of_rows_without_an_id(spark, monkeypatch):
+    """A bound holds for them as for others: fits on 40 of 4,000 equal rows and on all of them see the same languages, not the same counts."""
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the house by the water").alias("text"), F.lit("en").alias("lang"))
+    held = []
+    monkeypatch.setattr(langid, "Model", lambda langs, logp, scripts: held.append((langs, logp)))
+    langid.fit(rows, 40)
+    langid.fit(rows)
+    (few, small), (all_, large) = held
+    top = lambda logp: float(np.exp(logp[:, 0].max() - logp[:, 0].min()))  # noqa: E731  counts above the half that stands for none
+    assert few == all_ == ["en"] and 10 * top(small) < top(large)

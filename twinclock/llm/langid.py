@@ -5,7 +5,7 @@ that no single word decides. Languages that hardly use the word's script in the
 path over a text's words pays a fixed penalty for each switch; the best path gives the spans.
 
 The model is fitted on a bounded sample (`SAMPLE_PER_LANG` labelled documents of each language in expectation, chosen
-by a hash of the id); its tables have a fixed number of n-gram buckets. Null texts and texts without letters are `und`
+by a hash of id, text and place); its tables have a fixed number of n-gram buckets. Null texts and texts without letters are `und`
 with score 0, as is everything where no labelled text exists. A word in a script that no language uses speaks for none: it takes
 its neighbours' label and lowers the score by its share of the text's letters, so a text of such words alone has the first
 language by name and score 0. An empty table gives no rows. Repeated rows are labelled one by one; other columns
@@ -168,7 +168,9 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    # by the row's place as well, so that rows with one id, or with none, are drawn by themselves
+    draw = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(1 << 40))
+    sample = labelled.withColumn("draw", draw).where(F.col("draw") < share * (1 << 40))
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
