@@ -291,6 +291,33 @@ def test_envelopes_of_long_signals(spark, mains):
         assert got[run] == pytest.approx(signals.envelope(v, 1000.0, mains=mains).tolist(), rel=1e-9, abs=1e-9)
 
 
+def plain_correlation(x, y):
+    """By orthogonal bases of the centred columns."""
+    qx, qy = (np.linalg.qr(v - v.mean(0))[0] for v in (x, y))
+    return np.linalg.svd(qx.T @ qy, compute_uv=False)[0]
+
+
+@pytest.mark.parametrize(("rows", "fan"), [(4096, 64), (30, 2)])
+def test_canonical_correlation_by_sums(spark, monkeypatch, rows, fan):
+    monkeypatch.setattr(coupling, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(coupling, "FAN", fan)
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(400, 3)) + 50, rng.normal(size=(400, 4))
+    near = y.copy()
+    near[:, 1] += 0.5 * x[:, 0]
+    flat = near.copy()
+    flat[:, 3] = flat[:, 2] * 2
+    cases = {"far": (x, y), "near": (x, near), "flat": (x, flat), "few": (x[:39], near[:39]), "narrow": (x[:, :1], near), None: (x[:60], near[:60])}
+    table = [(k, a.tolist(), b.tolist()) for k, (xs, ys) in cases.items() for a, b in zip(xs, ys, strict=True)]
+    table += [("near", [float("nan"), 1.0, 2.0], [1.0] * 4), ("near", None, [1.0] * 4)]
+    got = {r.k: (r.r1, r.p) for r in coupling.canonical(frame(spark, table, "k string, a array<double>, b array<double>").repartition(5), ["k"], "a", "b").collect()}
+    for k in ("far", "near", None):
+        assert got[k][0] == pytest.approx(plain_correlation(*cases[k]), abs=1e-9)
+    assert got["flat"][0] == pytest.approx(plain_correlation(x, flat[:, :3]), abs=1e-9)
+    assert got["near"][1] == pytest.approx(1 / 101) and 1 / 101 < got["far"][1] <= 1
+    assert got["few"] == got["narrow"] == (None, None) and len(got) == 6
+
+
 def test_quantiles_of_far_values(spark):
     """Both rules against plain versions: ties, one far value, nulls, infinite values, a null key and a key without numbers."""
     rng = random.Random(8)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import circular_mean, fisher_z
-from .reports import false_discovery
+from .reports import false_discovery, same_keys
 from .signals import cross, spectra, welch_window
+from .storage import cut
 
 #: Bands in Hz, both ends inside.
 BANDS = {"wide": (1.0, 45.0), "beta": (13.0, 30.0), "low_beta": (13.0, 20.0), "high_beta": (20.0, 30.0), "profile": (10.0, 28.0)}
@@ -125,27 +126,73 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, resamples: int =
     return df.select(*keys, value).groupBy(*keys).applyInPandas(run, f"{schema}, low double, high double")
 
 
-def first_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    qx, qy = (np.linalg.qr(v - v.mean(0))[0] for v in (x, y))
-    return float(min(1.0, np.linalg.svd(qx.T @ qy, compute_uv=False)[0]))
+BLOCK_ROWS = 4096  # rows that are permuted among each other
+FAN = 64  # sums that meet in one task
+
+
+def correlation_of_sums(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, yy: np.ndarray, xy: np.ndarray) -> float:
+    """First canonical correlation from sums of rows and of their products; directions without spread are left out."""
+    roots = []
+    for s, m in ((sx, xx), (sy, yy)):
+        values, vectors = np.linalg.eigh(m - np.outer(s, s) / n)
+        good = values > max(values.max(), 0.0) * 1e-12
+        roots.append(vectors[:, good] / np.sqrt(values[good]))
+    inner = roots[0].T @ (xy - np.outer(sx, sy) / n) @ roots[1]
+    return float(min(1.0, np.linalg.svd(inner, compute_uv=False)[0])) if inner.size else 0.0
+
+
+def summed(parts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, values: elementwise sums of arrays; parts: keys, part (from 0, below `most`), values. `FAN` at most meet in a task."""
+    kinds = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in [*keys, "part"])
+
+    def add(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**{k: own[k].iloc[0] for k in keys}, "part": own["up"].iloc[0], "values": np.sum(own["values"].to_list(), axis=0)}])
+
+    while most > 1:
+        parts = parts.withColumn("up", F.expr(f"part div {FAN}").cast(parts.schema["part"].dataType)).groupBy(*keys, "up").applyInPandas(add, f"{kinds}, values array<double>")
+        most = -(-most // FAN)
+    return parts.drop("part")
 
 
 def canonical(rows: DataFrame, keys: list[str], x: str, y: str, permutations: int = 100, seed: int = 0) -> DataFrame:
-    """keys, r1, p: first canonical correlation of two arrays of columns over a run's rows; null under 40 rows or two columns."""
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    """keys, r1, p: first canonical correlation of two arrays of columns over a run's rows; null under 40 rows or two columns.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        own = {k: part[k].iloc[0] for k in keys}
-        a, b = (np.array(part[c].tolist(), float) for c in (x, y))
-        order = np.lexsort(np.hstack([a, b]).T)
-        a, b = a[order], b[order]
-        if len(a) < 40 or a.shape[1] < 2 or b.shape[1] < 2:
-            return pd.DataFrame([{**own, "r1": None, "p": None}])
-        r, rng = first_correlation(a, b), np.random.default_rng(seed)
-        null = [first_correlation(a, b[rng.permutation(len(b))]) for _ in range(permutations)]
-        return pd.DataFrame([{**own, "r1": r, "p": (1 + sum(v >= r for v in null)) / (permutations + 1)}])
-
-    return rows.select(*keys, x, y).groupBy(*keys).applyInPandas(run, f"{schema}, r1 double, p double")
+    Rows fall into random blocks of some `BLOCK_ROWS`; each gives its sums and, for each permutation, the products of x with y permuted
+    within the block, which is a permutation of all rows. Sums of blocks add up by a tree, so no run is gathered. Which
+    permutations are drawn hangs on the seed and on the rows' places in their files. Rows with a missing or infinite number are left out.
+    """
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    real = lambda c: F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    good = rows.select(*keys, F.col(x).cast("array<double>").alias("x_"), F.col(y).cast("array<double>").alias("y_"), F.xxhash64(F.lit(seed), x, y, F.monotonically_increasing_id()).alias("draw_"))
+    good = cut(good.where(real("x_") & real("y_")))
+    counts = good.groupBy(*keys).agg(F.count("*").alias("n_"))
+    most = counts.agg(F.max("n_")).first()[0] or 0
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n_") / BLOCK_ROWS))
+    placed = same_keys(good, counts, keys).withColumn("part", F.pmod("draw_", blocks).cast("int"))
+
+    def sums(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("draw_", kind="stable")
+        a, b = (np.array(own[c].tolist(), float) for c in ("x_", "y_"))
+        rng = np.random.default_rng([seed, len(own), int(own["draw_"].iloc[0]) & 0x7FFFFFFF])
+        head = {k: own[k].iloc[0] for k in [*keys, "part"]}
+        moments = np.concatenate([[len(own)], a.sum(0), b.sum(0), (a.T @ a).ravel(), (b.T @ b).ravel()])
+        orders = [np.arange(len(b)), *[rng.permutation(len(b)) for _ in range(permutations)]]
+        return pd.DataFrame([{**head, "draw": k - 1, "width": a.shape[1], "values": v} for k, v in enumerate([moments, *[(a.T @ b[o]).ravel() for o in orders]])])
+
+    made = placed.groupBy(*keys, "part").applyInPandas(sums, f"{schema}, part int, draw int, width int, values array<double>")
+    totals = summed(made, [*keys, "draw", "width"], -(-most // BLOCK_ROWS))
+
+    def judge(own: pd.DataFrame) -> pd.DataFrame:
+        head, by, d = {k: own[k].iloc[0] for k in keys}, dict(zip(own["draw"], own["values"], strict=True)), int(own["width"].iloc[0])
+        n, e = by[-1][0], len(by[0]) // d if d else 0
+        if n < 40 or d < 2 or e < 2:
+            return pd.DataFrame([{**head, "r1": None, "p": None}])
+        sx, sy, xx, yy = np.split(by[-1][1:], np.cumsum([d, e, d * d]))
+        r = [correlation_of_sums(n, sx, sy, xx.reshape(d, d), yy.reshape(e, e), by[k].reshape(d, e)) for k in range(permutations + 1)]
+        return pd.DataFrame([{**head, "r1": r[0], "p": (1 + sum(v >= r[0] for v in r[1:])) / (permutations + 1)}])
+
+    out = totals.groupBy(*keys).applyInPandas(judge, f"{schema}, r1 double, p double")  # a row for each permutation
+    return same_keys(rows.select(*keys).distinct(), out, keys, "left")
 
 
 def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
