@@ -318,6 +318,49 @@ def test_canonical_correlation_by_sums(spark, monkeypatch, rows, fan):
     assert got["few"] == got["narrow"] == (None, None) and len(got) == 6
 
 
+def test_factors_of_long_recordings(spark):
+    """Blocks of trials give the factors that all samples together give from the same start, and the chosen number and fit of the group version."""
+    rng = np.random.default_rng(6)
+    w, rows, x = rng.random((4, 2)), [], {}
+    for run in ("a", None):
+        for t in range(3):
+            h = rng.random((2, 20 + t)) ** 3
+            x[run, t] = w @ h
+            rows += [(run, f"c{c}", t, [*(x[run, t][c] * (c + 1)).tolist(), *[9.0] * (c if t == 1 else 0)]) for c in range(4)]
+    rows += [("a", "c0", 7, [1.0] * 30)]  # a trial without the other channels
+    cuts = frame(spark, [r for r in rows if r[0] is not None], "run string, ch string, trial int, samples array<double>")
+    blocks = synergies.scaled_blocks(synergies.trial_blocks(cuts, ["run"]), ["run"])
+    whole = np.hstack([x["a", t] * np.arange(1, 5)[:, None] for t in range(3)])
+    scaled = whole / np.array([synergies.percentile_mid(c, 0.95) for c in whole])[:, None]
+    got = {r.trial: np.array(r.x).reshape(4, r.n) for r in blocks.collect()}
+    assert np.hstack([got[t] for t in range(3)]) == pytest.approx(scaled) and len(got) == 3
+    weights, activations, fits = synergies.long_factors(blocks, frame(spark, [("a", 2, 5)], "run string, k int, rep int"), ["run"], 6, seed=3)
+    head = {"run": "a"}
+    v = synergies.start_of(head, ["run"], 2, 5, 3, 4, None)
+    h = np.hstack([synergies.start_of(head | {"trial": t}, ["run"], 2, 5, 3, 0, 20 + t) for t in range(3)])
+    for _ in range(6):
+        h *= (v.T @ scaled) / (v.T @ v @ h + synergies.EPS)
+        v *= (scaled @ h.T) / (v @ (h @ h.T) + synergies.EPS)
+    assert np.array(weights.first().w).reshape(4, 2) == pytest.approx(v)
+    own = {r.trial: np.array(r.h).reshape(2, -1) for r in activations.collect()}
+    assert np.hstack([own[t] for t in range(3)]) == pytest.approx(h)
+    assert (fits.first().vaf, fits.first().vaf_min) == pytest.approx(synergies.accounted(scaled, v @ h))
+
+
+def test_synergies_of_long_recordings(spark, monkeypatch):
+    monkeypatch.setattr(synergies, "MOST", 2)
+    rng = np.random.default_rng(7)
+    w = np.array([[1.0, 0.0], [0.8, 0.1], [0.0, 1.0]])
+    rows = [("a", f"c{c}", t, v.tolist()) for t in range(2) for c, v in enumerate(w @ rng.random((2, 40)) ** 2)]
+    cuts = frame(spark, rows, "run string, ch string, trial int, samples array<double>")
+    out = synergies.long_synergies(cuts, ["run"], rounds=12, repeats=2, repeat_rounds=12)
+    plain = synergies.synergies(cuts, ["run"])
+    assert out.schema.names == plain.schema.names
+    got, want = out.collect(), plain.collect()
+    assert sorted((r.syn, r.trial, len(r.samples)) for r in got) == sorted((r.syn, r.trial, len(r.samples)) for r in want) and got[0].n_syn == 2
+    assert got[0].vaf > 0.85 and 0 < got[0].stability <= 1 + 1e-9 and all(len(r.weights) == 3 for r in got)
+
+
 def test_quantiles_of_far_values(spark):
     """Both rules against plain versions: ties, one far value, nulls, infinite values, a null key and a key without numbers."""
     rng = random.Random(8)

@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names; one is made only where none is named and all runs in one process."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None and not spark.sparkContext.master.startswith("local["):
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; one is made only where none is named and all runs in one process."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where is None:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint."""
+    folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A written table. Unlike a checkpoint it hands on nothing that Spark has inferred, which doubles from round to round of a loop."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
