@@ -33,7 +33,7 @@ LEAST_DOCS = 3
 TOP_TERMS = 200
 LIGHT = 4
 BLOCK = 64
-CELLS = 1 << 13
+CELLS = 1 << 11
 HELD = 200_000
 PIECE = 1 << 20
 TERM_BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
