@@ -118,3 +118,12 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_a_code_without_matches_fails_the_residuals(spark):
+    """Medians of one code alone don't pass for both."""
+    raw, events, runs = recording(spark)
+    out = flows.align(raw, events, runs)
+    predicted = out["events"].where("code in ('DIN1', 'DIN4')").select("pair", "phase", "code", "t")
+    got = flows.validate(predicted, events.select("pair", "phase", "code", "t"), out["fits"], match.criteria(spark))["summary"].first()
+    assert not got.ready and got.median_ms is None and "high_residuals" in got.reason
