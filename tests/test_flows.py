@@ -109,6 +109,10 @@ def test_coupling_flow(spark):
     by = {(r.roi): r for r in out["bands"].where("trial = 1 and syn = 1").collect()}
     assert by["left"].beta_peak > by["right"].beta_peak and by["left"].beta_peak_hz == pytest.approx(20, abs=1)
     assert out["totals"].count() == 1
+    table = out["table"].collect()
+    assert table and all(r.cluster_id is not None and r.beta_mean_ci95_low <= r.beta_mean_ci95_high and 0 < r.zcoh_surrogate_p <= r.zcoh_surrogate_q <= 1 for r in table)
+    assert {r.scope for r in out["sides"].collect()} == {"all", *[f"syn_{r.synergy:02d}" for r in table]}
+    assert out["summary"].first().n_synergies == len(table)
 
 
 def test_entry(spark):

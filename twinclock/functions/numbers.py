@@ -70,7 +70,7 @@ def empirical_p(null: Column, observed: Column) -> Column:
 
 def fixed(x: Column, digits: int, missing: str = "NaN") -> Column:
     """The number with so many digits, or the text for a missing one."""
-    return F.coalesce(F.format_string(f"%.{digits}f", finite(x)), F.lit(missing)) if missing != "NaN" else F.when(finite(x).isNull(), "NaN").otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(finite(x).isNull(), missing).otherwise(F.format_string(f"%.{digits}f", x))
 
 
 def number_range(low: Column, high: Column, digits: int) -> Column:

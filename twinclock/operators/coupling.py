@@ -55,16 +55,25 @@ def band_mean(fx: np.ndarray, fy: np.ndarray, f: np.ndarray) -> float:
     return float(cross(fx, fy)["c"][(f >= low) & (f <= high)].mean()) if len(fx) else float("nan")
 
 
+def band_z(fx: np.ndarray, fy: np.ndarray, f: np.ndarray) -> tuple[float, float]:
+    """Means of the coherence and of z over the beta band."""
+    if not len(fx):
+        return float("nan"), float("nan")
+    low, high = BANDS["beta"]
+    c = cross(fx, fy)["c"][(f >= low) & (f <= high)]
+    return float(c.mean()), float(np.arctanh(np.sqrt(np.clip(c, 0, 1 - 1e-9))).mean())
+
+
 def thirds(n: int) -> list[tuple[int, int]]:
     a, b = n // 3, 2 * n // 3
     return [(0, a), (a, b), (b, n)]
 
 
-def trial_statistics(pairs: DataFrame, keys: list[str], fs: float, surrogates: int = 40, max_lag_ms: float = 50.0, seed: int = 0) -> DataFrame:
-    """keys, beta, early, middle, late, lag_ms, lag_beta, null (array): what needs a trial's samples again and again.
+def trial_statistics(pairs: DataFrame, keys: list[str], fs: float, surrogates: int = 40, max_lag_ms: float | None = 50.0, seed: int = 0) -> DataFrame:
+    """keys, beta, early, middle, late, lag_ms, lag_beta, null, null_z (arrays): what needs a trial's samples again and again.
 
     pairs: keys, e, h. A row is a trial of a region and synergy, so the work spreads by row. Surrogates turn h by 10 to
-    90 % of its length; the seed goes with the row's keys. Positive lags: h comes later.
+    90 % of its length; the seed goes with the row's keys. Positive lags: h comes later. Without a largest lag none is sought.
     """
     win, overlap, nfft = welch_window(fs)
     f = np.fft.rfftfreq(nfft, 1 / fs)
@@ -80,19 +89,19 @@ def trial_statistics(pairs: DataFrame, keys: list[str], fs: float, surrogates: i
                 e, h = (np.asarray(own[c], float)[:n] for c in ("e", "h"))
                 fe, fh = part_of(e), part_of(h)
                 third = [band_mean(part_of(e[a:b]), part_of(h[a:b]), f) for a, b in thirds(n)]
-                best, most = (float("nan"), float("nan")), max(1, int(max_lag_ms / 1000 * fs + 0.5))
-                for lag in range(-most, most + 1) if len(fe) else ():
+                best, most = (float("nan"), float("nan")), max(1, int((max_lag_ms or 0) / 1000 * fs + 0.5))
+                for lag in range(-most, most + 1) if len(fe) and max_lag_ms is not None else ():
                     a, b = (e[: n - lag], h[lag:]) if lag >= 0 else (e[-lag:], h[: n + lag])
                     v = band_mean(part_of(a), part_of(b), f)
                     if v == v and not v <= best[1]:
                         best = (1000 * lag / fs, v)
                 rng = np.random.default_rng([seed, int(pd.util.hash_pandas_object(pd.Series([str([own[k] for k in keys])]), index=False).iloc[0] % (1 << 31))])
                 turns = (rng.uniform(0.1, 0.9, surrogates) * n + 0.5).astype(int)
-                null = [band_mean(fe, part_of(np.roll(h, s)), f) for s in turns] if len(fe) else []
-                rows.append({**{k: own[k] for k in keys}, "beta": clean(band_mean(fe, fh, f)), "early": clean(third[0]), "middle": clean(third[1]), "late": clean(third[2]), "lag_ms": clean(best[0]), "lag_beta": clean(best[1]), "null": null})
-            yield pd.DataFrame(rows, columns=[*keys, "beta", "early", "middle", "late", "lag_ms", "lag_beta", "null"])
+                null = [band_z(fe, part_of(np.roll(h, s)), f) for s in turns] if len(fe) else []
+                rows.append({**{k: own[k] for k in keys}, "beta": clean(band_mean(fe, fh, f)), "early": clean(third[0]), "middle": clean(third[1]), "late": clean(third[2]), "lag_ms": clean(best[0]), "lag_beta": clean(best[1]), "null": [b for b, _ in null], "null_z": [z for _, z in null]})
+            yield pd.DataFrame(rows, columns=[*keys, "beta", "early", "middle", "late", "lag_ms", "lag_beta", "null", "null_z"])
 
-    return pairs.select(*keys, "e", "h").mapInPandas(run, f"{schema}, beta double, early double, middle double, late double, lag_ms double, lag_beta double, null array<double>")
+    return pairs.select(*keys, "e", "h").mapInPandas(run, f"{schema}, beta double, early double, middle double, late double, lag_ms double, lag_beta double, null array<double>, null_z array<double>")
 
 
 def surrogate_test(trials: DataFrame, keys: list[str], family: list[str]) -> DataFrame:
@@ -232,7 +241,10 @@ def cosine_groups(x: np.ndarray, k: int, rng: np.random.Generator, restarts: int
 
 
 def profile_clusters(profiles: DataFrame, keys: list[str], item: str, values: str, most: int = 5, seed: int = 0) -> DataFrame:
-    """keys, item, cluster, k, silhouette: a run's curves, centred and scaled, in the number of groups with the best silhouette."""
+    """keys, item, cluster, k, silhouette: a run's curves, centred and scaled, in the number of groups with the best silhouette.
+
+    Fewer than three curves, or none with a silhouette, are one group.
+    """
     schema = ", ".join(f"{k} {profiles.schema[k].dataType.simpleString()}" for k in [*keys, item])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -246,8 +258,8 @@ def profile_clusters(profiles: DataFrame, keys: list[str], item: str, values: st
         for k in range(2, min(most, len(x)) + 1):
             labels, loss = cosine_groups(x, k, np.random.default_rng([seed, k]))
             s = silhouette(d, labels)
-            if (s if s == s else -np.inf, -loss) > (best[0], -best[1]):
-                best = (s if s == s else -np.inf, loss, k, labels)
+            if np.isfinite(s) and (s > best[0] or (abs(s - best[0]) < 1e-9 and loss < best[1])):
+                best = (s, loss, k, labels)
         return pd.DataFrame({**{k: part[k] for k in keys}, item: part[item], "cluster": best[3] + 1, "k": best[2], "silhouette": best[0] if np.isfinite(best[0]) else None})
 
     return profiles.select(*keys, item, values).groupBy(*keys).applyInPandas(run, f"{schema}, cluster int, k int, silhouette double")

@@ -79,6 +79,15 @@ def blockers(pairs: DataFrame, keys: list[str], code: str, limit_ms: Column) ->
     return found.withColumn("severity", severity(F.col(code), F.col("issue")))
 
 
+def blocker_table(pairs: DataFrame, keys: list[str], code: str, limit_ms: Column) -> DataFrame:
+    """keys, issue, severity, time_mff_s, time_pred_s, delta_ms, note: `blockers` as a report writes them, numbers as texts, empty where a side misses."""
+    issue = F.when(F.col("t_pred").isNull(), "missing").when(F.col("t_ref").isNull(), "extra").when(F.abs("res_ms") > limit_ms, "residual")
+    named = F.when(F.col("i_") == "missing", "missing_event").when(F.col("i_") == "extra", "extra_event").otherwise("large_residual")
+    note = F.when(F.col("i_") == "missing", "Event in MFF not matched").when(F.col("i_") == "extra", "Event in OTB not matched").otherwise(F.format_string("|delta|>%.0f ms", limit_ms.cast("double")))
+    found = pairs.withColumn("i_", issue).where("i_ is not null")
+    return found.select(*keys, named.alias("issue"), severity(F.col(code), F.col("i_")).alias("severity"), fixed(F.col("t_ref"), 6, "").alias("time_mff_s"), fixed(F.col("t_pred"), 6, "").alias("time_pred_s"), fixed(F.col("res_ms"), 3, "").alias("delta_ms"), note.alias("note"))
+
+
 def excess(value: Column, limit: Column, upper: bool = True) -> Column:
     """How far a value is beyond its limit, at least zero; null without a value."""
     return F.when(value.isNotNull(), F.greatest(value - limit if upper else limit - value, F.lit(0.0)))

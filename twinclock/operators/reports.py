@@ -170,6 +170,19 @@ def positive_mean(x: Column) -> Column:
     return F.avg(F.when(finite(x) > 0, x))
 
 
+def trial_means(cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, mean_samples, mean_s: means of the positive numbers of a run's trials.
+
+    Without a column n_samples, samples are counted from start_sample to end_sample, both inside; without duration_s (or duration_sec),
+    run_median_duration_sec stands for it. A number is null if its columns miss.
+    """
+    has = set(cuts.columns)
+    none = F.lit(None).cast("double")
+    samples = F.col("n_samples") if "n_samples" in has else F.col("end_sample") - F.col("start_sample") + 1 if {"start_sample", "end_sample"} <= has else none
+    seconds = next((F.col(c) for c in ("duration_s", "duration_sec", "run_median_duration_sec") if c in has), none)
+    return cuts.groupBy(*keys).agg(positive_mean(samples.cast("double")).alias("mean_samples"), positive_mean(seconds.cast("double")).alias("mean_s"))
+
+
 #: The ranges of the final table, by metric: heading and digits.
 RANGES = {"beta_mean": ("Beta mean", 3), "beta_peak": ("Beta peak", 3), "beta_peak_hz": ("Beta Peak Hz", 2), "z_mean": ("zCoh mean", 3), "z_peak": ("zCoh peak", 3)}
 
@@ -178,13 +191,13 @@ def final_table(runs: DataFrame, metrics: DataFrame, cuts: DataFrame, keys: list
     """One row of texts for each good run, with the ranges of its metrics and the means of its trials, and the columns to sort by.
 
     runs: keys (pair and phase among them), status, eeg_mode, n_trials, n_synergies, vaf; metrics: keys, the metrics of `RANGES` and q;
-    cuts: keys, n_samples, duration_s. Runs on sources stand for all as soon as there is one.
+    cuts: keys and the columns of `trial_means`. Runs on sources stand for all as soon as there is one.
     """
     good = runs.where(F.trim(F.lower("status")) == "ok").withColumn("source_", F.trim(F.lower("eeg_mode")) == "source_net")
     any_source = good.agg(F.coalesce(F.max("source_"), F.lit(False)).alias("any_"))  # one row
     own = good.join(F.broadcast(any_source)).where(~F.col("any_") | F.col("source_")).drop("source_", "any_")
     ranges = metrics.groupBy(*keys).agg(*[f(F.col(m)).alias(f"{m}_{n}") for m in RANGES for f, n in ((min_finite, "low"), (max_finite, "high"))], min_finite(F.col("q")).alias("q_min"))
-    means = cuts.groupBy(*keys).agg(positive_mean(F.col("n_samples")).alias("mean_samples"), positive_mean(F.col("duration_s")).alias("mean_s"))
+    means = trial_means(cuts, keys)
     wide = own.join(ranges, keys, "left").join(means, keys, "left")
     named = {heading: number_range(F.col(f"{m}_low"), F.col(f"{m}_high"), d) for m, (heading, d) in RANGES.items()}
     side = side_of_name(F.col("pair"))

@@ -245,6 +245,13 @@ def mirrored(channels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return a.join(best, [*keys, "ch_a"], "left").select(*keys, F.col("ch_a").alias("ch"), F.coalesce("mirror", "ch_a").alias("mirror"))
 
 
+def mean_signal(signals: DataFrame, keys: list[str], by: str, samples: str) -> DataFrame:
+    """keys, samples: the mean of a key's signals, sample by sample; they are as long as each other (regions of one trial)."""
+    own = signals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), F.col(samples).alias("x")))).alias("own"))
+    total = F.aggregate(F.slice("own", 2, F.greatest(F.size("own") - 1, F.lit(1))), F.get("own", F.lit(0))["x"], lambda s, r: F.zip_with(s, r["x"], lambda a, b: a + b))
+    return own.select(*keys, F.transform(total, lambda x: x / F.size("own")).alias(samples))
+
+
 def welch_window(fs: float) -> tuple[int, int, int]:
     """Window, overlap and transform length."""
     win = max(128, int(0.8 * fs + 0.5))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import numbers as X
 from ..functions import times as T
-from ..operators import coupling, edges, fit, match, projection, regions, reports, signals, synergies, trials
+from ..operators import coupling, edges, fit, match, projection, regions, reports, signals, synergies, tables, trials
 from ..sources import datasets, recordings, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,6 +285,15 @@ def blockers(spark, d):
     return rounded(match.blockers(own, ["run", "code"], "code", match.limit_ms(F.col("code"))))
 
 
+@query("with " + MATCH_SQL + """, c as (select run, t_pred, t_ref, res_ms / 1000 as res, case when run % 2 = 0 then 'DIN4' else 'DIN1' end as code, case when run % 2 = 0 then 20 else 30 end as hard from m)
+select run, code, case when t_pred is null then 'missing_event' when t_ref is null then 'extra_event' else 'large_residual' end as issue, case when t_ref is null then case code when 'DIN4' then 'MED' else 'LOW' end else case code when 'DIN4' then 'HIGH' else 'MED' end end as severity,
+coalesce(printf('%.6f', t_ref), '') as time_mff_s, coalesce(printf('%.6f', t_pred), '') as time_pred_s, coalesce(printf('%.3f', res), '') as delta_ms, case when t_pred is null then 'Event in MFF not matched' when t_ref is null then 'Event in OTB not matched' else '|delta|>' || hard || ' ms' end as note from c where res is null or abs(res) > hard""")
+def blocker_table(spark, d):
+    pred, ref = shipped(spark, d)
+    own = match.matched(pred, ref, ["run"], 30.0).withColumns({"code": F.when(F.col("run") % 2 == 0, "DIN4").otherwise("DIN1"), "res_ms": F.col("res_ms") / 1000})
+    return match.blocker_table(own, ["run", "code"], "code", match.limit_ms(F.col("code")))
+
+
 READY_SQL = """m as (select user_id as run, count(*) filter (event_type = 'view') as n_din4, count(*) filter (event_type = 'click') as n_din5,
 case when count(*) filter (event_type = 'click') > 0 then least(1.0, count(*) filter (event_type = 'view') / count(*) filter (event_type = 'click')::double) end as recall_din4,
 case when count(*) filter (event_type = 'error') > 0 then least(1.0, count(*) filter (event_type = 'purchase') / count(*) filter (event_type = 'error')::double) end as recall_din5,
@@ -832,3 +841,69 @@ def side_regions(spark, d):
     channels = places.join(runs.select("run")).withColumn("y", F.col("y") + F.col("run") / 1000)
     own = regions.listed(spark, "scalp").withColumn("labels", F.array((F.col("ord") - 1).cast("string"), (F.col("ord") + 1).cast("string")))
     return regions.for_side(own, runs, channels, ["run"]).select("run", "ord", "name", "x", F.array_join("labels", ";").alias("labels"))
+
+
+#: A vector is the curve of a region in a trial of a synergy, its places are frequencies in Hz; of region 0 it gives the trial's other numbers.
+SYN_SQL = """v as (select vec_id // 60 as run, (vec_id // 15) % 4 + 1 as syn, (vec_id // 3) % 5 + 1 as trial, vec_id % 3 as k, ['Mot_LPCG', 'Mot_RPCG', 'SMA'][vec_id % 3 + 1] as roi, embedding::double[] as e from embeddings),
+pt as (select run, syn, trial, k, (u - 1)::double as f, least(abs(e[u]) * 2, 1) as c, abs(e[u]) as ic, e[u] * 6 as ph from v, range(1, 65) as r(u)),
+ct as (select run, syn, trial, f, avg(c) as c, avg(ic) as ic from pt group by all), mc as (select run, syn, f, avg(c) as c, avg(ic) as ic from ct group by all),
+z as (select *, atanh(sqrt(least(greatest(c, 0), 1 - 1e-9))) as z, lead(f) over w as f1, lead(c) over w as c1 from mc window w as (partition by run, syn order by f)),
+cm0 as (select run, syn, max(c) filter (f between 1 and 45) as peak_coherence, arg_max(f, c) filter (f between 1 and 45) as peak_hz, avg(c) filter (f between 1 and 45) as mean_1_45_hz, max(c) filter (f between 13 and 30) as beta_peak_coherence, arg_max(f, c) filter (f between 13 and 30) as beta_peak_hz,
+avg(c) filter (f between 13 and 30) as beta_mean_13_30_hz, sum((f1 - f) * (c + c1) / 2) filter (f >= 13 and f1 <= 30) as beta_auc_13_30_hz, avg(ic) filter (f between 13 and 30) as im_beta_mean_13_30_hz, max(z) filter (f between 13 and 30) as zcoh_beta_peak, arg_max(f, z) filter (f between 13 and 30) as zcoh_beta_peak_hz, avg(z) filter (f between 13 and 30) as zcoh_beta_mean,
+list_sort(list(z) filter (f between 1 and 45)) as zs from z group by run, syn),
+cm as (select * exclude (zs), zs[43] + 0.25 * (zs[44] - zs[43]) as zcoh_threshold_95 from cm0),
+sf as (select z.run, z.syn, avg((z.z > cm.zcoh_threshold_95)::int) as zcoh_sigfrac_beta from z join cm using (run, syn) where f between 13 and 30 group by all),
+st as (select *, lead(c) over w as c1, lead(ph) over w as ph1 from pt where f between 13 and 30 window w as (partition by run, syn, trial, k order by f)),
+um as (select run, syn, trial, k, avg(c) as beta, avg(c) filter (f <= 20) as low, avg(c) filter (f >= 20) as high, atan2(avg(sin(ph)), avg(cos(ph))) as angle, sum(sqrt(c * c1) * sin(ph1 - ph)) as psi from st group by all),
+un as (select um.*, abs(e[2]) as early, abs(e[3]) as middle, abs(e[4]) as late from um join v using (run, syn, trial, k)),
+tm as (select run, syn, trial, avg(beta) as beta, avg(early) as early, avg(middle) as middle, avg(late) as late, avg(psi) as psi, atan2(avg(sin(angle)), avg(cos(angle))) as angle, """ + ", ".join(f"avg({x}) filter (k = {k}) as {x}_{side}" for x in ("beta", "low", "high", "early", "middle", "late") for side, k in (("l", 0), ("r", 1))) + """ from un group by all),
+ts as (select run, syn, avg(beta_l) as m1_left_beta_13_30_hz, avg(beta_r) as m1_right_beta_13_30_hz, avg(beta_l - beta_r) as m1_delta_l_minus_r_13_30_hz, avg(early_l - early_r) as m1_delta_l_minus_r_early, avg(middle_l - middle_r) as m1_delta_l_minus_r_middle, avg(late_l - late_r) as m1_delta_l_minus_r_late,
+avg(low_l - low_r) as m1_delta_l_minus_r_13_20_hz, avg(high_l - high_r) as m1_delta_l_minus_r_20_30_hz, avg(psi) as psi_beta, avg(early) as beta_early, avg(middle) as beta_middle, avg(late) as beta_late, avg((beta_r - beta_l) / greatest(beta_r + beta_l, 2.220446049250313e-16)) as "lateralization_li_motR_minus_motL",
+atan2(avg(sin(angle)), avg(cos(angle))) as phase_beta_mean_rad, case when count(beta) > 1 then stddev_samp(beta) else 0 end as beta_stability_std, case when count(beta) > 1 then stddev_samp(beta) else 0 end / greatest(avg(beta), 2.220446049250313e-16) as beta_stability_cv from tm group by all),
+wh as (select run, syn, avg(abs(e[6])) as beta_mean_lagopt_13_30_hz, avg(e[5] * 50) as lag_opt_ms from v where k = 0 group by all),
+nu as (select run, syn, s, avg(abs(e[10 + s]) * 2) as b, avg(atanh(sqrt(least(abs(e[30 + s]) * 2, 1 - 1e-9)))) as zz from v, range(1, 21) as r(s) where k = 0 group by all),
+ps as (select cm.run, cm.syn, (1 + count(*) filter (b >= beta_mean_13_30_hz)) / (count(b) + 1) as surrogate_p, (1 + count(*) filter (zz >= zcoh_beta_mean)) / (count(zz) + 1) as zcoh_surrogate_p from cm join nu using (run, syn) group by cm.run, cm.syn, beta_mean_13_30_hz, zcoh_beta_mean),
+pr as (select *, surrogate_p * count(*) over (partition by run) / count(*) over (partition by run order by surrogate_p) as a, zcoh_surrogate_p * count(*) over (partition by run) / count(*) over (partition by run order by zcoh_surrogate_p) as b from ps),
+qs as (select run, syn, surrogate_p, zcoh_surrogate_p, least(1, min(a) over (partition by run order by surrogate_p desc)) as surrogate_q, least(1, min(b) over (partition by run order by zcoh_surrogate_p desc)) as zcoh_surrogate_q from pr),
+lv as (select run, 1 - pow(0.05, 1 / (sum(n) - 1)) as c95 from (select distinct run, trial, trial + 3 as n from v) group by run),
+t as (select cm.run, cm.syn as synergy, cm.* exclude (run, syn), sf.zcoh_sigfrac_beta, ts.* exclude (run, syn), wh.* exclude (run, syn), qs.* exclude (run, syn), surrogate_q < 0.05 as surrogate_sig, zcoh_surrogate_q < 0.05 as zcoh_surrogate_sig, beta_late - beta_early as beta_delta_late_minus_early, c95
+from cm join sf using (run, syn) left join ts using (run, syn) left join wh using (run, syn) left join qs using (run, syn) left join lv using (run))"""
+
+#: What SQL cannot tell of the table of synergies: groups and resampled intervals.
+UNTOLD = ("cluster_id", "beta_mean_ci95_low", "beta_mean_ci95_high")
+TOLD = [c for c in tables.COLUMNS if c not in UNTOLD]
+told = lambda c: f'"{c}"' if c == "synergy" or c.endswith("_sig") else f'round("{c}", 6) + 0.0 as "{c}"'
+
+
+def synergies_of_vectors(spark, d):
+    e = table(spark, d, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    div = lambda n: F.expr(f"vec_id div {n}")
+    roi = F.element_at(F.array(F.lit("Mot_LPCG"), F.lit("Mot_RPCG"), F.lit("SMA")), (F.col("vec_id") % 3 + 1).cast("int"))
+    own = e.select(div(60).alias("run"), (div(15) % 4 + 1).alias("syn"), (div(3) % 5 + 1).alias("trial"), roi.alias("roi"), "e")
+    c, angle = F.transform("e", lambda x: F.least(F.abs(x) * 2, F.lit(1.0))), F.transform("e", lambda x: x * 6)
+    wave = lambda g: F.zip_with(c, angle, lambda a, b: F.sqrt(a) * g(b))
+    curves = own.select("run", "syn", "trial", "roi", (F.col("trial") + 3).alias("n_segments"), F.transform("e", lambda x, i: i.cast("double")).alias("f"), c.alias("c"), F.transform("e", F.abs).alias("ic"), angle.alias("angle"), wave(F.cos).alias("re"), wave(F.sin).alias("im"))
+    at = lambda k: F.get("e", F.lit(k))
+    thirds = own.select("run", "syn", "trial", "roi", F.abs(at(1)).alias("early"), F.abs(at(2)).alias("middle"), F.abs(at(3)).alias("late"))
+    whole = own.where("roi = 'Mot_LPCG'").select("run", "syn", "trial", (at(4) * 50).alias("lag_ms"), F.abs(at(5)).alias("lag_beta"), F.transform(F.slice("e", 11, 20), lambda x: F.abs(x) * 2).alias("null"), F.transform(F.slice("e", 31, 20), lambda x: X.fisher_z(F.abs(x) * 2)).alias("null_z"))
+    return tables.synergy_table(curves, thirds, whole, ["run", "syn"])
+
+
+@query("with " + SYN_SQL + " select run, " + ", ".join(told(c) for c in TOLD) + " from t")
+def synergy_table(spark, d):
+    return rounded(synergies_of_vectors(spark, d).drop(*UNTOLD))
+
+
+@query("with " + SYN_SQL + " select run, scope, " + ", ".join(told(c) for c in tables.SIDES) + " from (select run, case when grouping(synergy) = 1 then 'all' else printf('syn_%02d', synergy) end as scope, " + ", ".join(f"avg({c}) as {c}" for c in tables.SIDES) + " from t group by grouping sets ((run, synergy), (run)))")
+def side_table(spark, d):
+    return rounded(tables.side_table(synergies_of_vectors(spark, d), ["run"]))
+
+
+@query("with " + SYN_SQL + """ select run, count(*) as n_synergies, round(max(c95), 6) as c95, round(avg(beta_mean_13_30_hz), 6) as beta_mean_all, round(avg(beta_auc_13_30_hz), 6) as beta_auc_all, round(avg(zcoh_beta_mean), 6) as zcoh_beta_mean_all, round(avg(zcoh_threshold_95), 6) as zcoh_threshold_beta_all, round(avg(zcoh_sigfrac_beta), 6) as zcoh_sigfrac_beta_all,
+round(avg(beta_mean_lagopt_13_30_hz), 6) as beta_mean_lagopt_all, round(avg(lag_opt_ms), 6) + 0.0 as lag_opt_ms_all, round(avg(psi_beta), 6) + 0.0 as psi_beta_all, round(avg(im_beta_mean_13_30_hz), 6) as im_beta_mean_all, round(avg(beta_stability_cv), 6) as beta_stability_cv_all, round(avg(beta_delta_late_minus_early), 6) + 0.0 as gesture_delta_late_minus_early_all,
+round(avg("lateralization_li_motR_minus_motL"), 6) + 0.0 as lateralization_li_all, round(avg(m1_left_beta_13_30_hz), 6) as m1_l_beta_all, round(avg(m1_right_beta_13_30_hz), 6) as m1_r_beta_all, round(avg(m1_delta_l_minus_r_13_30_hz), 6) + 0.0 as m1_delta_l_minus_r_all, round(avg(m1_delta_l_minus_r_early), 6) + 0.0 as m1_delta_l_minus_r_early,
+round(avg(m1_delta_l_minus_r_middle), 6) + 0.0 as m1_delta_l_minus_r_middle, round(avg(m1_delta_l_minus_r_late), 6) + 0.0 as m1_delta_l_minus_r_late, round(avg(m1_delta_l_minus_r_13_20_hz), 6) + 0.0 as m1_delta_l_minus_r_13_20, round(avg(m1_delta_l_minus_r_20_30_hz), 6) + 0.0 as m1_delta_l_minus_r_20_30,
+round(max(beta_peak_coherence), 6) as beta_peak_all, arg_max(beta_peak_hz, beta_peak_coherence) as beta_peak_hz_all, round(max(zcoh_beta_peak), 6) as zcoh_beta_peak_all, arg_max(zcoh_beta_peak_hz, zcoh_beta_peak) as zcoh_beta_peak_hz_all,
+round(min(surrogate_p), 6) as surrogate_p_min, round(min(surrogate_q), 6) as surrogate_q_min, count(*) filter (surrogate_sig) as surrogate_sig_count, round(min(zcoh_surrogate_p), 6) as zcoh_surrogate_p_min, round(min(zcoh_surrogate_q), 6) as zcoh_surrogate_q_min, count(*) filter (zcoh_surrogate_sig) as zcoh_surrogate_sig_count from t group by run""")
+def synergy_totals(spark, d):
+    return rounded(tables.synergy_totals(synergies_of_vectors(spark, d), ["run"]).drop("beta_ci95_low_all", "beta_ci95_high_all"))

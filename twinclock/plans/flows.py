@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import coupling, edges, fit, match, reports, signals, synergies, trials
+from ..functions.numbers import fisher_z
+from ..operators import coupling, edges, fit, match, reports, signals, synergies, tables, trials
 from ..operators.storage import cut
 
 KEYS = ["pair", "phase"]
@@ -89,20 +90,27 @@ def validate(predicted: DataFrame, reference: DataFrame, fits: DataFrame, limits
 
 
 def couple(eeg: DataFrame, emg: DataFrame, spans: DataFrame, regions: DataFrame, fs: float, surrogates: int = 40, least_segments: int = 2) -> dict[str, DataFrame]:
-    """synergies, curves, band metrics by trial, tests and totals of runs.
+    """synergies, curves, band metrics by trial and region, trials, tests, the table of synergies, left against right, and totals of runs.
 
     eeg: pair, phase, ch, samples; emg: the same, envelopes on the same clock and rate; spans: pair, phase, trial, i1, i2.
-    Region means and synergies meet by trial number. Curves of fewer than `least_segments` segments say nothing and go.
+    Region means and synergies meet by trial number. Curves of fewer than `least_segments` segments say nothing and go. Lags and
+    turned signals take the mean over regions, thirds each region.
     """
     means = signals.region_means(eeg, regions, KEYS).withColumnRenamed("roi", "ch")
     e = trials.cut_samples(means, spans, KEYS)
     found = synergies.synergies(trials.cut_samples(emg, spans, KEYS), KEYS)
-    both = found.select(*KEYS, "syn", "trial", F.col("samples").alias("h")).join(e.select(*KEYS, "trial", F.col("ch").alias("roi"), F.col("samples").alias("e")), [*KEYS, "trial"])
-    unit = [*KEYS, "syn", "trial", "roi"]
-    curves = signals.coherence(both, unit, fs).where(F.col("n_segments") >= least_segments)
-    bands = coupling.band_metrics(signals.curve_points(curves, unit), unit)
-    stats = coupling.trial_statistics(both, unit, fs, surrogates)
-    tests = coupling.surrogate_test(stats, [*KEYS, "syn"], KEYS)
-    per_syn = bands.groupBy(*KEYS, "syn").agg(F.avg("beta_mean").alias("beta_mean"), F.max("beta_peak").alias("beta_peak"), F.avg("beta_auc").alias("beta_auc"))
-    joined = per_syn.join(tests.select(*KEYS, "syn", "p", "q", "significant"), [*KEYS, "syn"], "left")
-    return {"synergies": found, "curves": curves, "bands": bands, "trials": stats.drop("null"), "metrics": joined, "totals": coupling.metric_totals(joined, KEYS)}
+    both = cut(found.select(*KEYS, "syn", "trial", F.col("samples").alias("h")).join(e.select(*KEYS, "trial", F.col("ch").alias("roi"), F.col("samples").alias("e")), [*KEYS, "trial"]))
+    own, unit = [*KEYS, "syn"], [*KEYS, "syn", "trial", "roi"]
+    curves = cut(signals.coherence(both, unit, fs).where(F.col("n_segments") >= least_segments))
+    points = signals.curve_points(curves, unit)
+    bands = coupling.band_metrics(points, unit)
+    thirds = coupling.trial_statistics(both, unit, fs, 0, None)
+    mean = signals.mean_signal(both, [*own, "trial"], "roi", "e").join(both.groupBy(*own, "trial").agg(F.first("h").alias("h")), [*own, "trial"])
+    whole = cut(coupling.trial_statistics(mean, [*own, "trial"], fs, surrogates))
+    profile = tables.mean_curves(points, own).where(F.col("f").between(*coupling.BANDS["profile"]))
+    shapes = profile.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", fisher_z(F.col("c")).alias("z")))), lambda p: p["z"]).alias("z"))
+    clusters = coupling.profile_clusters(shapes, KEYS, "syn", "z").select(*own, "cluster")
+    per_trial = bands.groupBy(*own, "trial").agg(F.avg("beta_mean").alias("beta"))
+    table = cut(tables.synergy_table(curves, thirds, whole, own, clusters, coupling.bootstrap_mean(per_trial, own, "beta")))
+    metrics = table.select(*KEYS, F.col("synergy").alias("syn"), F.col("beta_mean_13_30_hz").alias("beta_mean"), F.col("beta_peak_coherence").alias("beta_peak"), F.col("beta_auc_13_30_hz").alias("beta_auc"), F.col("surrogate_p").alias("p"), F.col("surrogate_q").alias("q"), F.col("surrogate_sig").alias("significant"))
+    return {"synergies": found, "curves": curves, "bands": bands, "trials": thirds.drop("null", "null_z", "lag_ms", "lag_beta"), "whole": whole.drop("null", "null_z"), "table": table, "sides": tables.side_table(table, KEYS), "metrics": metrics, "totals": coupling.metric_totals(metrics, KEYS), "summary": tables.synergy_totals(table, KEYS)}
