@@ -47,6 +47,15 @@ def test_base_like_the_patterns():
         ("call plus one five five five one two three four five six seven ok", "phone", "plus one five five five one two three four five six seven"),
         ("card " + "four" + " one" * 15, "card", "four" + " one" * 15),
         ("a​@b.com", "email", "a​@b.com"),
+        ("write j.doe (at) site dot com today", "email", "j.doe (at) site dot com"),
+        ("john@example dot com", "email", "john@example dot com"),
+        ("ask john@mail dot example.org, ok", "email", "john@mail dot example.org"),
+        ("john at example.com.", "email", "john at example.com"),
+        ("jane.doe at mail.example [dot] org", "email", "jane.doe at mail.example [dot] org"),
+        ("host 192 dot 168 dot 1 dot 10 is up", "ip", "192 dot 168 dot 1 dot 10"),
+        ("10.0 dot 0.1", "ip", "10.0 dot 0.1"),
+        ("\U0001d423\U0001d428\U0001d421\U0001d427@example.com", "email", "\U0001d423\U0001d428\U0001d421\U0001d427@example.com"),
+        ("ⓙohn@examp\u2113e.com", "email", "ⓙohn@examp\u2113e.com"),
     ],
 )
 def test_disguises(text, kind, part):
@@ -54,7 +63,7 @@ def test_disguises(text, kind, part):
     assert (a, pii.KINDS.index(kind), a + len(part)) in pii.normalised_spans(text)
 
 
-@pytest.mark.parametrize("text", ["", "one two three", "meet at noon", "the point is (1) and at [.]", "seven eight", "un deux trois quatre cinq", "naïve café 12.5"])
+@pytest.mark.parametrize("text", ["", "one two three", "meet at noon", "the point is (1) and at [.]", "seven eight", "un deux trois quatre cinq", "naïve café 12.5", "look at example.com now", "see us at example.com/a", "john at noon.Then", "at 12.30pm", "he is at 5.pm", "300 dot 1 dot 1 dot 1", "the point is 1 dot 2 dot 3", "№ 5 at 20 ℃"])
 def test_clean(text):
     assert not pii.normalised_spans(text)
 
@@ -63,6 +72,20 @@ def test_long_texts_stay_linear():
     for t in ("a" * 300_000, "a@" * 100_000, "1" * 300_000, "1." * 100_000, "+1" + " " * 300_000, "one " * 60_000, "a at b " * 40_000, "[" * 200_000):
         pii.base_spans(t)
         pii.normalised_spans(t)
+    for t in ("a@b dot " * 40_000, "1 dot " * 60_000, "a at b.c" * 40_000, "a at " + "b." * 150_000, "x" * 300_000 + " at b.com", ". at a.b" * 40_000):
+        pii.normalised_spans(t)
+
+
+def test_addresses_that_stand_in_the_source_are_not_joined_to_others():
+    """An at word before an address is prose."""
+    assert not pii.normalised_spans("write john at john.doe@example.com")
+    assert pii.listed(pii.normalised_spans("john@example dot com")) == "email:0:20"
+
+
+def test_empty_table_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "john at example.com", 5), (1, "john at example.com", 5)], "doc_id long, text string, n_email int")
+    assert [r.spans for r in pii.find(docs).collect()] == ["email:0:19"] * 2
+    assert pii.find(docs.limit(0)).count() == 0
 
 
 def test_query(spark, tmp_path):

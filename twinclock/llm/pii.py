@@ -3,14 +3,17 @@
 A transducer rewrites disguises (look-alike signs, spelled digits, at and dot words, invisible signs) and keeps for each
 sign of the normalised text the source span it came from. The detectors run on the source and on the normalised text;
 what only the latter shows is mapped back to source characters and added. Spans found in the source always stay.
+Each sign of an address may be disguised by itself: signs first, then brackets and spelled digits, then words between blanks.
 
-Null texts count as empty; repeated rows are treated one by one; every pass is linear in the text but for sorting.
+Null texts count as empty; an empty table gives no rows; repeated rows are treated one by one; columns beside doc_id and text
+take no part, whatever their names; of equal starts the kinds come in the order listed. Every pass is linear in the text but for sorting.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 
 import pyarrow as pa
@@ -44,7 +47,7 @@ SPELLED = {
 }
 AT = r"(?:at|arroba|chez|ät)"
 DOT = r"(?:dot|punkt|punto|point|period)"
-SIGNS = "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "٠-٩۰-۹०-९＋-ｚ\U0001d7ce-\U0001d7ff"
+SIGNS = "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "٠-٩۰-۹०-९＋-ｚ\u2100-\u213a\u24b6-\u24e9\U0001d400-\U0001d7ff"
 SIGN = re.compile(f"[{SIGNS}]")
 NUMBER_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 #: A run of at least four digits of which one or more are spelled.
@@ -52,6 +55,14 @@ SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:{NUMBER_WORD}|[0-9]+)(?:[ ,.-]{{1,2}}(
 RUN_PART = re.compile(rf"({NUMBER_WORD})(?![^\W_])([ ,.-]{{1,2}}(?={NUMBER_WORD}(?![^\W_])|[0-9]))?|([0-9]+)([ ,.-]{{1,2}}(?={NUMBER_WORD}(?![^\W_])))", re.I)
 BRACKETED = re.compile(rf"[ ]{{0,2}}[\[({{<][ ]{{0,2}}(?:({AT}|@)|({DOT}|\.))[ ]{{0,2}}[\])}}>][ ]{{0,2}}", re.I)
 SPACED = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{{1,64}}+([ ]{{1,2}}{AT}[ ]{{1,2}})[A-Za-z0-9-]{{1,63}}+((?:(?:[ ]{{1,2}}{DOT}[ ]{{1,2}}|\.)[A-Za-z0-9-]{{1,63}}+)*?[ ]{{1,2}}{DOT}[ ]{{1,2}}[A-Za-z0-9-]{{1,63}}+(?:[ ]{{1,2}}{DOT}[ ]{{1,2}}[A-Za-z0-9-]{{1,63}}+)*+)", re.I)
+#: Of an address with a plain at sign, what follows its first label from the first dot word on.
+SIGN_HOST = re.compile(rf"(?<=[A-Za-z0-9._%+-])@[A-Za-z0-9-]{{1,63}}+([ ]{{1,2}}{DOT}[ ]{{1,2}}[A-Za-z0-9-]{{1,63}}+(?:(?:[ ]{{1,2}}{DOT}[ ]{{1,2}}|\.)[A-Za-z0-9-]{{1,63}}+)*+)", re.I)
+#: An at word before a host with plain dots that holds a letter and ends as domains do, and isn't the start of an address or of a path.
+AT_HOST = re.compile(rf"[ ]{AT}[ ]{{1,2}}((?=[0-9-]*[A-Za-z])[A-Za-z0-9-]{{1,63}}+(?:\.[A-Za-z0-9-]{{1,63}}+){{0,8}}\.(?-i:[a-z]{{2,24}}))(?![\w@%+/:-])(?!\.[A-Za-z0-9])", re.I)
+#: Four numbers with a dot word or a dot between them.
+DOTTED = re.compile(rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}+((?:(?:[ ]{{1,2}}{DOT}[ ]{{1,2}}|\.)[0-9]{{1,3}}+){{3}})(?![0-9])", re.I)
+#: Words after which `at` and a host tell of a place, not of an address.
+PROSE = frozenset("look looks looking see seen more us me you him her them it this that these those here there is are was were be been available found find read visit visited online site website page hosted live lives home now out up back only all and or not just shop work works working buy sold in on by start starts arrive arrived stay stayed meet met".split())
 WORD_DOT = re.compile(rf"[ ]{{1,2}}{DOT}[ ]{{1,2}}", re.I)
 
 
@@ -110,12 +121,11 @@ def plain_sign(sign: str) -> str:
         return ""
     if (own := LOOKALIKES.get(sign)) is not None:
         return own
-    import unicodedata
-
     if (digit := unicodedata.digit(sign, None)) is not None:
         return str(digit)
-    wide = ord(sign) - 0xFEE0
-    return chr(wide) if 0x21 <= wide <= 0x7E else sign
+    plain = unicodedata.normalize("NFKC", sign)
+    plain = LOOKALIKES.get(plain, plain)
+    return plain if len(plain) == 1 and plain.isascii() else sign
 
 
 def rewrite(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, list[int], list[tuple[int, int, int, int]]]:
@@ -157,16 +167,39 @@ def spelled_edits(text: str):
                 yield m.start(4), m.end(4), ""
 
 
-def address_edits(text: str):
-    for m in BRACKETED.finditer(text):
-        yield m.start(), m.end(), "@" if m[1] else "."
-    for m in SPACED.finditer(text):
-        yield m.start(1), m.end(1), "@"
-        for d in WORD_DOT.finditer(text, m.start(2), m.end(2)):
-            yield d.start(), d.end(), "."
+def bracket_edits(text: str):
+    if any(c in text for c in "[({<") and MAY_BRACKET.search(text):
+        for m in BRACKETED.finditer(text):
+            yield m.start(), m.end(), "@" if m[1] else "."
+
+
+def dot_edits(text: str, a: int, b: int):
+    for d in WORD_DOT.finditer(text, a, b):
+        yield d.start(), d.end(), "."
+
+
+def address_edits(text: str, low: str):
+    """At and dot words between blanks, where an address or four numbers stand around them."""
+    if may_address(text, low):
+        for m in SPACED.finditer(text):
+            yield m.start(1), m.end(1), "@"
+            yield from dot_edits(text, *m.span(2))
+    if any(w in low for w in DOT_WORDS):
+        for pattern in (SIGN_HOST, DOTTED):
+            for m in pattern.finditer(text):
+                yield from dot_edits(text, *m.span(1))
+    if any(w in low for w in AT_WORDS):
+        for m in AT_HOST.finditer(text):
+            b = m.start() - (text[m.start() - 1 : m.start()] == " ")
+            a = b
+            while a > 0 and b - a <= 64 and text[a - 1] in LOCAL:
+                a -= 1
+            if 0 < b - a <= 64 and folded(text[a:b]) not in PROSE:
+                yield b, m.start(1), "@"
 
 
 NUMBER_WORDS = frozenset(SPELLED)
+AT_WORDS = (" at ", " arroba ", " chez ", " ät ")
 DOT_WORDS = ("dot", "punkt", "punto", "point", "period")
 
 
@@ -191,33 +224,42 @@ MAY_AT, MAY_DOT = re.compile(rf"[ ]{AT}[ ]", re.I), re.compile(rf"[ ]{DOT}[ ]",
 
 
 def may_address(text: str, low: str) -> bool:
-    """Whether a sign stands in brackets, or a dot word somewhere behind an at word; a cheap look that loses nothing."""
-    if any(c in text for c in "[({<") and MAY_BRACKET.search(text):
-        return True
+    """Whether a dot word stands somewhere behind an at word; a cheap look that loses nothing."""
     return any(w in low for w in DOT_WORDS) and (at := MAY_AT.search(text)) is not None and MAY_DOT.search(text, at.end() - 1) is not None
 
 
+def sign_edits(text: str, low: str):
+    return [(m.start(), m.end(), plain_sign(m[0])) for m in SIGN.finditer(text)] if not text.isascii() else []
+
+
+def piece_edits(text: str, low: str):
+    """Signs in brackets, and digits that are spelled."""
+    return [*bracket_edits(text), *(spelled_edits(text) if may_spell(low) else ())]
+
+
 def normalised_spans(text: str) -> set[tuple[int, int, int]]:
     """(start, kind's number, end) in the source of what the normalised text shows where it was rewritten.
 
-    Signs are rewritten first, then words; a span is mapped back through both.
+    Each layer rewrites what the one before left; a span is mapped back through all of them.
     """
-    signs = [(m.start(), m.end(), plain_sign(m[0])) for m in SIGN.finditer(text)] if not text.isascii() else []
-    first, starts1, pieces1 = rewrite(text, signs)
-    words, low = [], folded(first)
-    if may_address(first, low):
-        words += address_edits(first)
-    if may_spell(low):
-        words += spelled_edits(first)
-    if not signs and not words:
+    layers, now = [], text
+    low = None
+    for edits in (sign_edits, piece_edits, address_edits):
+        low = folded(now) if low is None else low
+        if own := sorted(edits(now, low)):
+            now, *places = rewrite(now, own)
+            layers.append(places)
+            low = None
+    if not layers:
         return set()
-    second, starts2, pieces2 = rewrite(first, sorted(words))
     out = set()
-    for a, k, b in base_spans(second):
-        c, d, changed = back(starts2, pieces2, a, b)
-        e, f, changed_too = back(starts1, pieces1, c, d)
-        if changed or changed_too:
-            out.add((e, k, f))
+    for a, k, b in base_spans(now):
+        changed = False
+        for places in reversed(layers):
+            a, b, edited = back(*places, a, b)
+            changed |= edited
+        if changed:
+            out.add((a, k, b))
     return out
 
 
