@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from twinclock.functions import names as N
 from twinclock.functions import numbers as X
 from twinclock.operators import coupling, match, reports, signals, tables
 
@@ -135,3 +136,8 @@ def test_trial_means_from_what_is_there(spark, schema, rows, want):
 def test_two_curves_are_one_group(spark):
     two = spark.createDataFrame([("a", 1, [0.0, 1.0, 0.0]), ("a", 2, [1.0, 0.0, 1.0])], "run string, syn int, v array<double>")
     assert {(r.cluster, r.k, r.silhouette) for r in coupling.profile_clusters(two, ["run"], "syn", "v").collect()} == {(1, 1, None)}
+
+
+def test_words_of_a_pair_count_once(spark):
+    df = spark.createDataFrame([("reach_reach_dx", "post"), ("a_bids", None)], "pair string, phase string")
+    assert [r.w for r in df.select(N.pair_tokens(F.col("pair"), F.col("phase")).alias("w")).collect()] == [["reach", "dx", "post"], []]

@@ -121,9 +121,9 @@ SIDE_MARKS = {"dx": "dx|destra|right", "sx": "sx|sin|left"}
 
 
 def pair_tokens(pair: Column, phase_name: Column) -> Column:
-    """Words of two signs or more of a pair's name in order, without those of `PAIR_STOP`, and its phase if it is not among them."""
+    """Different words of two signs or more of a pair's name in order, without those of `PAIR_STOP`, and its phase if it is not among them."""
     words = F.split(F.regexp_replace(F.lower(pair), "[^a-z0-9]+", "_"), "_")
-    own = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*PAIR_STOP))
+    own = F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*PAIR_STOP)))
     low = F.lower(F.coalesce(phase_name, F.lit("")))
     return F.when((low == "") | F.array_contains(own, low), own).otherwise(F.array_append(own, low))
 
