@@ -122,6 +122,19 @@ def test_texts_of_missing_numbers(spark):
     assert [r.t for r in df.select(X.fixed(F.col("v"), 2).alias("t")).collect()] == ["NaN", "NaN", "NaN", "1.25"]
 
 
+def test_texts_round_the_exact_number(spark):
+    df = spark.createDataFrame([(0.25, 0.0125), (25.45, 1.005), (2.5, 0.01295), (-0.3, 2.0**70), (-0.0, -1e-9)], "v double, w double")
+    assert [r.t for r in df.select(X.fixed(F.col("v"), 1).alias("t")).collect()] == ["0.2", "25.4", "2.5", "-0.3", "-0.0"]
+    got = [r.t for r in df.select(X.number_range(F.col("v"), F.col("w"), 3).alias("t")).collect()]
+    assert got == ["0.250-0.013", "25.450-1.005", "2.500-0.013", "-0.300-1180591620717411303424.000", "-0.000--0.000"]
+    assert [r.t for r in df.select(X.fixed(F.col("w"), 4).alias("t")).collect()][2] == "0.0129"
+
+
+def test_trial_means_do_not_hang_on_the_order_of_the_sum(spark):
+    df = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, 0.3)], "run int, duration_s double").coalesce(1)
+    assert {reports.trial_means(df.orderBy(o), ["run"]).first().mean_s for o in (F.asc("duration_s"), F.desc("duration_s"))} == {0.2}
+
+
 @pytest.mark.parametrize("schema,rows,want", [
     ("run int, n_samples int, duration_s double", [(1, 100, 2.0), (1, -5, None), (1, 200, 4.0)], (150.0, 3.0)),
     ("run int, start_sample int, end_sample int, run_median_duration_sec double", [(1, 11, 20, 1.5), (1, 1, 30, 1.5)], (20.0, 1.5)),

@@ -68,14 +68,19 @@ def empirical_p(null: Column, observed: Column) -> Column:
     return (1 + F.count_if(null >= observed)) / (F.count(null) + 1)
 
 
+def printed(x: Column, digits: int) -> Column:
+    """The number with so many digits as C prints it: its exact value is rounded, ties to even. Java rounds its shortest text, ties up."""
+    return F.udf(lambda v: None if v is None else f"{v:.{digits}f}", "string", useArrow=True)(x)
+
+
 def fixed(x: Column, digits: int, missing: str = "NaN") -> Column:
     """The number with so many digits, or the text for a missing one."""
-    return F.when(finite(x).isNull(), missing).otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(finite(x).isNull(), missing).otherwise(printed(x, digits))
 
 
 def number_range(low: Column, high: Column, digits: int) -> Column:
     """`low-high`, or empty if one is missing."""
-    return F.when(finite(low).isNull() | finite(high).isNull(), "").otherwise(F.format_string(f"%.{digits}f-%.{digits}f", low, high))
+    return F.when(finite(low).isNull() | finite(high).isNull(), "").otherwise(F.concat_ws("-", printed(low, digits), printed(high, digits)))
 
 
 def number(text: Column) -> Column:

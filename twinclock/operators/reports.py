@@ -166,8 +166,8 @@ def split_by_state(df: DataFrame, keys: list[str], power: str, value: str, share
 
 
 def positive_mean(x: Column) -> Column:
-    """Mean of the values above zero; null without any."""
-    return F.avg(F.when(finite(x) > 0, x))
+    """Mean of the values above zero to nine digits, so that the order of the sum decides no later rounding; null without any."""
+    return F.round(F.avg(F.when(finite(x) > 0, x)), 9)
 
 
 def trial_means(cuts: DataFrame, keys: list[str]) -> DataFrame:

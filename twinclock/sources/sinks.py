@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import event_code_class
+from ..functions.numbers import printed
 from ..functions.times import iso_text
 from ..operators.edges import counters
 
@@ -19,7 +20,7 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", overwrite: bool =
 
 def event_columns() -> dict[str, Column]:
     """The columns of the event table, as texts, of rows with code and t."""
-    return {"Event_type": event_code_class(F.col("code")), "name": F.col("code"), "time": F.format_string("%.6f", "t"), "duration": F.lit("0.001"), "Offset": F.lit("0")}
+    return {"Event_type": event_code_class(F.col("code")), "name": F.col("code"), "time": printed(F.col("t"), 6), "duration": F.lit("0.001"), "Offset": F.lit("0")}
 
 
 def event_rows(events: DataFrame) -> DataFrame:
