@@ -130,6 +130,11 @@ def test_texts_round_the_exact_number(spark):
     assert [r.t for r in df.select(X.fixed(F.col("w"), 4).alias("t")).collect()][2] == "0.0129"
 
 
+def test_whole_numbers_keep_their_sign(spark):
+    df = spark.createDataFrame([(-0.3,), (0.3,), (-0.5,), (2.5,), (-2.5,), (None,), (float("nan"),)], "v double")
+    assert [r.t for r in df.select(X.fixed(X.whole(F.col("v")), 0, "").alias("t")).collect()] == ["-0", "0", "-1", "3", "-3", "", ""]
+
+
 def test_trial_means_do_not_hang_on_the_order_of_the_sum(spark):
     df = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, 0.3)], "run int, duration_s double").coalesce(1)
     assert {reports.trial_means(df.orderBy(o), ["run"]).first().mean_s for o in (F.asc("duration_s"), F.desc("duration_s"))} == {0.2}

@@ -78,6 +78,11 @@ def fixed(x: Column, digits: int, missing: str = "NaN") -> Column:
     return F.when(finite(x).isNull(), missing).otherwise(printed(x, digits))
 
 
+def whole(x: Column) -> Column:
+    """The nearest whole number, halves away from zero; what is below zero keeps its sign, as in -0."""
+    return F.signum(x) * F.round(F.abs(x))
+
+
 def number_range(low: Column, high: Column, digits: int) -> Column:
     """`low-high`, or empty if one is missing."""
     return F.when(finite(low).isNull() | finite(high).isNull(), "").otherwise(F.concat_ws("-", printed(low, digits), printed(high, digits)))

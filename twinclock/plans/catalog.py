@@ -433,7 +433,7 @@ def text_numbers(spark, d):
     key = F.col("s_suppkey")
     n = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("out/sub"), key.cast("string"), F.lit("/pre/report.json")).alias("path"), F.when(key % 3 == 0, F.col("s_acctbal").cast("string")).when(key % 3 == 1, "n/a").otherwise("").alias("text"))
     pair, phase = N.report_place(F.col("path"))
-    return rounded(n.select("s_suppkey", pair.alias("pair"), phase.alias("phase"), X.number(F.col("text")).alias("number"), X.flag(key % 2 == 0).alias("flag"), X.fixed(F.round(X.number(F.col("text"))), 0, "").alias("whole")), 4)
+    return rounded(n.select("s_suppkey", pair.alias("pair"), phase.alias("phase"), X.number(F.col("text")).alias("number"), X.flag(key % 2 == 0).alias("flag"), X.fixed(X.whole(X.number(F.col("text"))), 0, "").alias("whole")), 4)
 
 
 @query("select event_id, epoch_us(ts) as us, strftime(ts + interval 5 hour + interval 30 minute, '%Y-%m-%dT%H:%M:%S.%f') || '+05:30' as iso from events")
