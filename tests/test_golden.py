@@ -121,6 +121,17 @@ def test_sources_of_runs(spark):
     assert {r.status for r in recordings.source_of_runs(runs.where("given is null and local is null"), files.limit(0)).collect()} == {"not_found"}
 
 
+def test_sources_of_equal_names_are_sought_once(spark):
+    from twinclock.sources import recordings
+
+    files = frame(spark, [(0, "/a/SUB1_reach_left.mat"), (1, "/a/sub1_reach_right.mat"), (2, "/b/sub1_reach_dx.mat"), (2, "/b/sub1_reach_dx.mat")], "ord int, path string")
+    runs = frame(spark, [(k, ("sub1_reach_dx", "sub1_reach_sx", "sub1_reach", None)[k % 4], None if k % 8 < 4 else "", None, None) for k in range(16)], "k int, pair string, phase string, given string, local string")
+    out = recordings.source_of_runs(runs, files)
+    want = [("/b/sub1_reach_dx.mat", "indexed_match_3"), ("/a/SUB1_reach_left.mat", "indexed_match_2"), ("/a/SUB1_reach_left.mat", "indexed_match_2"), (None, "indexed_not_matched")]
+    assert [(r.source, r.status) for r in sorted(out.collect(), key=lambda r: r.k)] == want * 4
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()  # the files are no array that each run goes through
+
+
 def test_matching_metrics_and_blockers(spark):
     rows = lambda ts: frame(spark, [(1, "DIN4", t) for t in ts], "run int, code string, t double")
     keys = ["run", "code"]

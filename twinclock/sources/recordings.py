@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import pair_side, pair_tokens, phase, report_place, sanitized, side_compatible, similarity, token_score, tokens
+from ..functions.names import pair_side, pair_tokens, phase, report_place, sanitized, side_compatible, similarity, tokens
 from ..functions.times import iso_micros
 
 EVENT = r"<event>\s*<beginTime>([^<]*)</beginTime>\s*<duration>([^<]*)</duration>\s*<code>([^<]*)</code>"
@@ -211,14 +211,18 @@ def best_source(runs: DataFrame, files: DataFrame, least: int = 2) -> DataFrame:
 def source_of_runs(runs: DataFrame, files: DataFrame, least: int = 2) -> DataFrame:
     """runs (pair, phase, given, local) with source and status: from_report, local_match, indexed_match_n, indexed_not_matched or not_found.
 
-    files: path and ord, the few source files that an index of folders found; each run is held against these where neither the
-    report names a file nor one lies beside it. The file on the right side with the most words of the pair's name wins, at least `least`.
+    files: path and ord of the source files that an index of folders found. Where neither the report names a file nor one lies beside it,
+    the file on the right side with the most words of the pair's name wins, at least `least` (one or more), the first of equal ones.
+    Equal names are asked for once, and meet the files that hold a word of theirs.
     """
-    words, side = pair_tokens(F.col("pair"), F.col("phase")), pair_side(F.col("pair"))
-    listed = files.agg(F.sort_array(F.collect_list(F.struct("ord", "path"))).alias("files"))  # one row
-    scored = F.transform("files", lambda f: F.struct(F.when(side_compatible(side, f["path"]), token_score(words, f["path"])).otherwise(0).alias("score"), (-f["ord"]).alias("first"), f["path"].alias("path")))
-    out = runs.join(F.broadcast(listed)).withColumn("best", F.array_max(scored))
-    found = F.col("best.score") >= least
-    source = F.coalesce("given", "local", F.when(found, F.col("best.path")))
-    status = F.when(F.col("given").isNotNull(), "from_report").when(F.col("local").isNotNull(), "local_match").when(F.size("files") == 0, "not_found")
-    return out.select(*runs.columns, source.alias("source"), F.coalesce(status, F.when(found, F.concat(F.lit("indexed_match_"), F.col("best.score").cast("string"))), F.lit("indexed_not_matched")).alias("status"))
+    names = runs.where("given is null and local is null").select("pair", "phase").distinct()
+    worded = names.select("pair", "phase", pair_side(F.col("pair")).alias("side"), F.explode(pair_tokens(F.col("pair"), F.col("phase"))).alias("w"))
+    held = worded.select("w").distinct().join(files.select("ord", "path").distinct(), F.contains(F.lower("path"), F.col("w")))
+    scored = worded.join(held, "w").where(side_compatible(F.col("side"), F.col("path"))).groupBy("pair", "phase", "ord", "path").agg(F.count("*").alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy(F.col("pair").alias("pair_"), F.col("phase").alias("phase_")).agg(F.max("score").alias("score_"), F.max_by("path", F.struct("score", -F.col("ord"), "path")).alias("path_"))
+    empty = files.limit(1).agg((F.count("*") == 0).alias("empty_"))  # one row
+    out = runs.join(best, F.col("pair").eqNullSafe(F.col("pair_")) & F.col("phase").eqNullSafe(F.col("phase_")), "left").join(F.broadcast(empty))
+    found = F.col("path_").isNotNull()
+    source = F.coalesce("given", "local", "path_")
+    status = F.when(F.col("given").isNotNull(), "from_report").when(F.col("local").isNotNull(), "local_match").when(F.col("empty_"), "not_found")
+    return out.select(*runs.columns, source.alias("source"), F.coalesce(status, F.when(found, F.concat(F.lit("indexed_match_"), F.col("score_").cast("string"))), F.lit("indexed_not_matched")).alias("status"))
