@@ -34,6 +34,20 @@ def test_base(spark, tmp_path, monkeypatch, head):
         assert abs(r.base_score - base) < 1e-6 and r.score < 0 and math.isfinite(r.score)
 
 
+@pytest.mark.parametrize("head", [1 << 17, 3])
+def test_base_needs_no_model(spark, tmp_path, monkeypatch, head):
+    monkeypatch.setattr(mixing, "HEAD", head)
+    for name in ("fit_tables", "fit_weights", "fit_share", "text_chances"):
+        monkeypatch.setattr(mixing, name, None)
+    rows = [*enumerate(TEXTS), (None, "the cat"), (3, ""), (7, TEXTS[7])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["unigram_base"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        *want, base = plain(rows, r.doc_id, dict(rows)[r.doc_id])
+        assert [r.held_out, r.n_tokens, r.n_known, r.train_tokens] == want and abs(r.base_score - base) < 1e-4
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["op1_mixing"](spark, str(tmp_path)).count() == 0

@@ -456,10 +456,10 @@ def cases_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarr
     return np.where(capitals == 0, LOWER, np.where(title, TITLE, np.where(smalls == 0, UPPER, OTHER)))
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, signs: bool = True) -> DataFrame:
     """word (binary) and n over all texts of docs. Words that begin with a space, which none does, stand for other counts.
 
-    These are ` texts`, ` bytes`, ` case k` and ` pair k`.
+    These are ` texts`, ` bytes`, and with `signs` ` case k` and ` pair k`.
     """
 
     def run(batches):
@@ -472,8 +472,9 @@ def counted(docs: DataFrame) -> DataFrame:
 
         for batch in by_bytes(batches, limit=SLICE):
             texts = byte_rows(batch.column("text"))
-            pairs += pair_counts(texts)
-            cases += np.bincount(cases_of(*word_places(texts)), minlength=4)
+            if signs:
+                pairs += pair_counts(texts)
+                cases += np.bincount(cases_of(*word_places(texts)), minlength=4)
             other[b" texts"] += len(texts)
             other[b" bytes"] += sum(map(len, texts))
             for t in texts:
@@ -514,14 +515,20 @@ class WordModel:
         chances = (cases + 1.0) / (cases.sum() + 4)
         self.case = np.log(chances)
         self.case[OTHER] = -np.inf  # how such a word is written is not told by its count
-        self.share = 0.0
+        self.share = SHARES[0]
 
-    def held(self, texts: list[bytes], chances: np.ndarray):
-        """For all words one after the other: word, count, log-chance under the model and by count; words a text; what the model gives all else."""
+    def held(self, texts: list[bytes], chances: np.ndarray | None):
+        """For all words one after the other: word, count, log-chance under the model and by count; words a text; what the model gives all else.
+
+        Without chances all that comes from the model is zero.
+        """
         listed = [words_of(t) for t in texts]
         words = [w for own in listed for w in own]
         get = self.head.get
         n = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        if chances is None:
+            sizes, none = np.array([len(own) for own in listed]), np.zeros(len(words))
+            return words, n, none, none, sizes, np.repeat(np.arange(len(texts)), sizes), np.zeros(len(texts))
         data, begins, ends = word_places(texts)
         total = np.concatenate([[0.0], np.cumsum(chances)])
         model = total[ends + 1] - total[begins]
@@ -561,11 +568,11 @@ def fit_share(texts: DataFrame, code: Code, tables: np.ndarray, weights: np.ndar
 RARE = pa.list_(pa.struct([("word", pa.binary()), ("model", pa.float64()), ("count", pa.float64())]))
 
 
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Every row of docs (as `keyed` gives them, and held_out) under the models of the rows of train."""
+def score(docs: DataFrame, train: DataFrame, fit: bool = True) -> DataFrame:
+    """Every row of docs (as `keyed` gives them, and held_out) under the models of the rows of train; without `fit` under word counts only."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    counts = stored(counted(train))
+    counts = stored(counted(train, fit))
     special = F.ascii(F.substring(F.col("word"), 1, 1).cast("string")) == 32
     pairs, cases, n_texts, n_bytes = np.zeros(PAIRS, np.int64), np.zeros(4, np.int64), 0, 0
     for r in counts.where(special).collect():  # at most `PAIRS` and a few rows
@@ -582,21 +589,25 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = n_words + n_texts, distinct + (n_texts > 0)
     words = WordModel(head_words(counts, distinct), n_words, n_texts, cases, pairs)
-    code = Code(pairs)
-    bits = min(MOST_BITS, max(LEAST_BITS, int(n_bytes).bit_length()))
-    tuned = F.pmod(F.xxhash64("doc", "mark"), F.lit(TUNE)) == 0
-    tables = fit_tables(train.where(~tuned), code, bits)
-    tune = stored(train.where(tuned).select("text"))
-    weights = fit_weights(tune, code, tables)
-    words.share = fit_share(tune, code, tables, weights, words)
-    free(tune)
-    shared = sc.broadcast((code, tables, weights, words))
+    fitted = None
+    if fit:
+        code = Code(pairs)
+        bits = min(MOST_BITS, max(LEAST_BITS, int(n_bytes).bit_length()))
+        tuned = F.pmod(F.xxhash64("doc", "mark"), F.lit(TUNE)) == 0
+        tables = fit_tables(train.where(~tuned), code, bits)
+        tune = stored(train.where(tuned).select("text"))
+        weights = fit_weights(tune, code, tables)
+        words.share = fit_share(tune, code, tables, weights, words)
+        free(tune)
+        fitted = code, tables, weights
+    shared = sc.broadcast((fitted, words))
 
     def run(batches):
-        own_code, own_tables, own_weights, own = shared.value
+        own_fitted, own = shared.value
         for batch in by_bytes(batches, limit=SLICE):
             texts = byte_rows(batch.column("text"))
-            listed, n, model, count, sizes, of, rest = own.held(texts, text_chances(own_code, own_tables, own_weights, texts))
+            chances = text_chances(*own_fitted, texts) if own_fitted else None
+            listed, n, model, count, sizes, of, rest = own.held(texts, chances)
             known = n > 0
             mixed_ = averaged(model[known], count[known], n[known], own.share)
             lm = rest + np.bincount(of[known], weights=mixed_, minlength=len(texts))
@@ -618,6 +629,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     out = found.withColumn("own", F.size("rare")).drop("rare").join(rare, ["doc", "mark"], "left")
     part = lambda c: F.when(F.col("own") > 0, F.col(c) * F.col("own") / F.col("listed")).otherwise(F.lit(0.0))
     score_ = (F.col("lm") + part("more_lm")) / math.log(10)
+    by_fit = [score_.alias("score"), F.when(F.col("n_bytes") > 0, -score_ * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte")]
     return out.select(
         "doc_id",
         "held_out",
@@ -625,20 +637,23 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
         (F.col("known") + F.round(part("more_known"))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + part("more") - F.col("n_tokens") * math.log10(total + kinds + 1)).alias("base_score"),
-        score_.alias("score"),
-        F.when(F.col("n_bytes") > 0, -score_ * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        *(by_fit if fit else []),
     )
 
 
-def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, fit: bool = True) -> DataFrame:
     docs = keyed(table(spark, sf_dir, "documents"))
     docs = docs.withColumn("held_out", crc_rest(F.col("doc_id"), 7) == 2)
-    return score(docs, docs.where("not held_out"))
+    return score(docs, docs.where("not held_out"), fit)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir)
 
 
 def unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of `op1_mixing` that SQL can express, base scores to four digits."""
-    return op1_mixing(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 4) + 0.0).alias("base_score"))
+    """The columns of `op1_mixing` that SQL can express, base scores to four digits; the model, on which they don't hang, is not fitted."""
+    return scored(spark, sf_dir, fit=False).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 4) + 0.0).alias("base_score"))
 
 
 #: The same in plain SQL. The remainder of crc32 comes from the bits of the id's digits.
