@@ -86,3 +86,29 @@ def test_near_dedup_of_a_crowd(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == plain_near_dedup(rows)
+
+
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """Without the exact join, near copies within two bits are still found, and what is that near without being similar is not."""
+    from twinclock.llm import copies, simhash
+
+    none = lambda *_: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(copies, "first_meetings", none)
+    monkeypatch.setattr(copies, "all_meetings", none)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(3000)]
+    rows, sets = [], []
+    for i in range(40):
+        w = base[: 3000 - 2 * (i % 20)] if i < 20 else [rng.choice(base) for _ in range(50)]
+        rows.append((i, " ".join(w)))
+        sets.append(copies.shingles(rows[-1][1].encode(), 5))
+    fps = [simhash.majority(s) for s in sets]
+    group = [*range(40)]
+    for i in range(40):
+        for j in range(40):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and 9 * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 4 * (len(sets[i]) + len(sets[j])):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    want = [i for i in range(40) if group[i] == i]
+    assert len(want) < 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want

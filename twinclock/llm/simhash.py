@@ -41,7 +41,12 @@ def fingerprint(text: bytes, words: int) -> int:
         hashes = [h(joined, 42)]
     else:
         hashes = [h(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of these hashes (of 64 bits, one at least), as a signed integer."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view("<i8")[0])
 
 
