@@ -58,6 +58,38 @@ def test_crowd_of_near_copies(spark, monkeypatch, crowd):
     check(spark, rows)
 
 
+def near_copies(n, rng):
+    """n lines of thirty words that differ in one word each."""
+    out = []
+    for d in range(n):
+        line = [f"w{k}" for k in range(30)]
+        line[rng.randrange(30)] = f"own{d}"
+        out.append((d, " ".join(line)))
+    return out
+
+
+@pytest.mark.parametrize("n", [100, 300])
+def test_near_copies_are_not_paired(spark, monkeypatch, n):
+    """What is held word by word grows with a group of near copies, not with its square."""
+    held, whole = [], lines.verified
+
+    def counting(pairs, *more):
+        held.append(pairs.count())
+        return whole(pairs, *more)
+
+    monkeypatch.setattr(lines, "verified", counting)
+    check(spark, near_copies(n, random.Random(5)))
+    assert sum(held) <= 4 * n
+
+
+def test_first_words_of_the_smaller_set(spark):
+    """Sets that share all but words of the larger one, the larger first and last, at both sides of the least similarity."""
+    word = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(word[:50])), (2, " ".join(word[10:50])), (3, " ".join(word[11:50])), (4, " ".join(word[:60])), (5, " ".join(word[1:50:2]))]
+    check(spark, rows)
+    check(spark, [(9 - d, t) for d, t in rows])
+
+
 def test_nulls_blanks_and_case(spark):
     check(spark, [(1, None), (2, ""), (3, "a b c\n\n \na  b\tc"), (4, "c b a d"), (5, "\n\n"), (6, "a b c d e"), (7, "x " * 3000 + "\nx")])
 

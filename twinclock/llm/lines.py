@@ -6,9 +6,11 @@ Words are ordered by rarity: the counts of all words, in a fixed number of hash
 share one of their first n - ceil(0.8 n) + 1 words, the prefix. Lines meet at a prefix word; their lengths, the word's place
 in both, and the parity bitmaps of both sets bound the overlap from above, and what passes is verified on the whole sets of words.
 
-First all lines with the same words become one class. Classes that share a prefix word meet. At a word that more than `CROWD`
-classes have in their prefix, they meet only the first of these, which settles crowds of near-copies without pairing
-them; what this leaves open meets all others of the word afterwards.
+First all lines with the same words become one class. A class meets the first one that shares with it one of its least `KEYS` pairs
+of neighbouring prefix words; that settles most near copies, however many they are, without pairing them. What is still open then
+meets all others at prefix words: a similar set of the same or a smaller size has the word among its first n - ceil(8/9 n) + 1. At a word
+that more than `CROWD` classes have in their prefix, they meet only the first of these; what this leaves open meets all others of
+the word afterwards.
 
 Null texts count as empty. Lines without words always stay. Rows with equal id and text are repeats of each other
 and get equal results; rows without an id are known by their text. Lines end at a line feed. Extra columns stay out. An empty
@@ -29,6 +31,7 @@ from .suffixes import keyed
 NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS = 1 << 17
 CROWD = 1000  # classes at a prefix word that meet each other at once
+KEYS = 3  # pairs of neighbouring prefix words by which a class meets a first one
 LONG = 64  # words beyond which a line's bitmap has two halves
 FILTER_BITS = 22  # the bitmap of wanted lines
 WHERE = ("doc", "mark", "line")
@@ -54,8 +57,8 @@ def rarity(docs: DataFrame) -> Column:
 
     The table has a fixed size at any size of the corpus; it comes to the driver as one text and goes out as a literal.
     """
-    lines = docs.select(F.explode(F.split(spaced(F.col("text")), "\n")).alias("body"))
-    words = lines.select(F.explode(words_of(F.col("body"))).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b"))
+    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    words = words.where("w <> ''").select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b"))
     counts = words.groupBy("b").agg(F.count("*").alias("n"))
     every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(1).cast("long").alias("n")))
     ranks = every.groupBy("b").agg(F.sum("n").alias("n")).select("b", F.least(F.lit(127), 1 + F.floor(F.log2("n") * 4)).cast("int").alias("r"))
@@ -84,51 +87,75 @@ def prefix_size(n: Column) -> Column:
     return (n - F.ceil(n * F.lit(NUMERATOR) / DENOMINATOR) + 1).cast("int")
 
 
+def short_size(n: Column) -> Column:
+    """How many of its rarest words a set needs to share one with the prefix of a similar set of at least its size."""
+    return (n - F.ceil(n * F.lit(2 * NUMERATOR) / (NUMERATOR + DENOMINATOR)) + 1).cast("int")
+
+
 def classes_of(lines: DataFrame) -> DataFrame:
     """One row for each different set: c (a number, in the order of first lines), id, bits, bits2, n, doc, mark, line of its first line, prefix."""
     first = lines.groupBy("id", "bits", "bits2", "n").agg(F.min(F.struct(*WHERE)).alias("at"), F.any_value("prefix").alias("prefix"))
     return first.orderBy("at").select(F.monotonically_increasing_id().alias("c"), "id", "bits", "bits2", "n", "at.doc", "at.mark", "at.line", "prefix")
 
 
-def may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """Length, bitmap and place filters: sets of these n, bits and bits2 that share a word, the pos-th of each, may be similar enough."""
+def near_enough(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Length and bitmap filters: sets of these n, bits and bits2 may be similar enough."""
     n, m = a("n"), b("n")
     whole, half = (a(c).bitwiseXOR(b(c)) for c in ("bits", "bits2"))
     apart = F.when((n > LONG) & (m > LONG), F.bit_count(half) + F.bit_count(half.bitwiseXOR(whole))).otherwise(F.bit_count(whole))
+    return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR) & (apart * (NUMERATOR + DENOMINATOR) <= n + m)
+
+
+def may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Length, bitmap and place filters: sets that share a word, the pos-th of each, may be similar enough."""
+    n, m = a("n"), b("n")
     # with this word, at most so many words can be shared from here on, and so many before
     shared = 1 + F.least(n - 1 - a("pos"), m - 1 - b("pos")) + F.least(a("pos"), b("pos"))
     place = shared * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (n + m)
-    return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR) & (apart * (NUMERATOR + DENOMINATOR) <= n + m) & place
+    return near_enough(a, b) & place
+
+
+def first_meetings(classes: DataFrame) -> DataFrame:
+    """Pairs (c, d) of classes, c the first that has one of d's keys, that pass the filters; a key stands for two neighbouring prefix words."""
+    keys = F.transform(F.sequence(F.lit(1), F.size("prefix") - 1), lambda i: F.xxhash64(F.get("prefix", i - 1), F.get("prefix", i)))
+    rows = classes.where("n > 4").select("c", "n", "bits", "bits2", F.explode(F.slice(F.sort_array(keys), 1, KEYS)).alias("key"))
+    first = rows.withColumn("first", F.first(F.struct("c", "n", "bits", "bits2")).over(Window.partitionBy("key").orderBy("c")))
+    met = first.where((F.col("first.c") < F.col("c")) & near_enough(lambda x: F.col(f"first.{x}"), F.col))
+    return met.select(F.col("first.c").alias("c"), F.col("c").alias("d")).distinct()
 
 
-def prefix_rows(classes: DataFrame) -> DataFrame:
+def prefix_rows(classes: DataFrame, *more: str) -> DataFrame:
     """tok, c, n, bits, bits2, pos of every prefix word of the classes; smaller sets are only similar to equal ones."""
-    return classes.where("n > 3").select("c", "n", "bits", "bits2", F.posexplode("prefix").alias("pos", "tok"))
+    return classes.where("n > 3").select("c", "n", "bits", "bits2", *more, F.posexplode("prefix").alias("pos", "tok"))
 
 
 def at_words(classes: DataFrame) -> DataFrame:
     """The rows of words that several classes share; times: how many; least: the first of them."""
     own = Window.partitionBy("tok")
-    return prefix_rows(classes).withColumns({"times": F.count("*").over(own), "least": F.min("c").over(own)}).where("times > 1")
+    return prefix_rows(classes, "open").withColumns({"times": F.count("*").over(own), "least": F.min("c").over(own)}).where("times > 1")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Pairs (c, d) of classes, d the later, that share a prefix word and pass the filters, their sizes n and m, and at how many words they met.
+    """Pairs (c, d) of classes, d the later and open, that share a prefix word and pass the filters, their sizes (n the smaller, m) and at how many words they met.
 
-    Both sides of the join read one exchange. At a crowded word one row, the first class, stands on the left; it meets itself
-    too, in a row that names the word.
+    Both sides of the join read one exchange. The smaller set stands on the left, of equal ones the earlier, with the words that
+    `short_size` gives it. At a crowded word one row, the first class, stands on the left; it meets itself too, in a row that
+    names the word.
     """
     col = lambda side: lambda name: F.col(f"{side}.{name}")
-    a, b = rows.where((F.col("times") <= CROWD) | (F.col("c") == F.col("least"))).alias("a"), rows.alias("b")
-    wanted = (F.col("a.c") < F.col("b.c")) | (F.col("a.times") > CROWD) & (F.col("a.c") == F.col("b.c"))
-    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & wanted & may_match(col("a"), col("b")))
-    crowded = F.when(F.col("a.c") == F.col("b.c"), F.col("a.tok"))
-    return pairs.groupBy(F.col("a.c").alias("c"), F.col("b.c").alias("d"), crowded.alias("crowded")).agg(F.any_value("a.n").alias("n"), F.any_value("b.n").alias("m"), F.count("*").alias("s"))
+    crowded = F.col("times") > CROWD
+    a, b = rows.where(F.when(crowded, F.col("c") == F.col("least")).otherwise(F.col("pos") < short_size(F.col("n")))).alias("a"), rows.alias("b")
+    earlier, same = F.col("a.c") < F.col("b.c"), F.col("a.c") == F.col("b.c")
+    smaller = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & earlier
+    wanted = F.when(F.col("a.times") > CROWD, same | earlier & F.col("b.open")).otherwise(smaller & F.when(earlier, F.col("b.open")).otherwise(F.col("a.open")))
+    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & may_match(col("a"), col("b")) & wanted)
+    both = [f(F.col(f"a.{x}"), F.col(f"b.{x}")).alias(y) for x, f, y in (("c", F.least, "c"), ("c", F.greatest, "d"), ("n", F.least, "n"), ("n", F.greatest, "m"))]
+    return pairs.select(*both, F.when(same, F.col("a.tok")).alias("crowded")).groupBy("c", "d", "crowded").agg(F.any_value("n").alias("n"), F.any_value("m").alias("m"), F.count("*").alias("s"))
 
 
 def enough_shared() -> Column:
-    """Of a pair (n, m, s) that met at all s words that its prefixes share: those and all words behind the longer prefix are enough."""
-    behind = F.greatest(F.col("n") - prefix_size(F.col("n")), F.col("m") - prefix_size(F.col("m")))
+    """Of a pair (n, m, s) that met at all s words that the smaller set's first words and the other's prefix share: those and all words behind are enough."""
+    behind = F.greatest(F.col("n") - short_size(F.col("n")), F.col("m") - prefix_size(F.col("m")))
     return (F.col("s") + behind) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("n") + F.col("m"))
 
 
@@ -181,21 +208,25 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     split = docs.select("doc", "mark", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "body"))
     lines = stored(sets_of(split, ranks))  # the condition comes after: before, Spark would work the sets out for it as well
     classes = stored(classes_of(lines.where("n > 0")))
-    met = stored(meetings(at_words(classes)))
+    near = verified(first_meetings(classes), classes, docs)
+    met = stored(meetings(at_words(classes.join(near.withColumn("near", F.lit(True)), "c", "left").withColumn("open", F.col("near").isNull()))))
     some = met.where("c <> d")
     crowded = met.where("crowded is not null").select(F.col("crowded").alias("tok"))
     if crowded.isEmpty():
-        matched = verified(some.where(enough_shared()), classes, docs)
+        late = verified(some.where(enough_shared()), classes, docs)
+        matched = stored(near.unionByName(late))
+        free(late)
     else:
         crowd = stored(prefix_rows(classes).where(among(crowded, "tok")).join(crowded, "tok", "left_semi"))
         # classes with crowded words may share more than they met at
         more = some.where(~enough_shared()).join(crowd.select("c").distinct(), "c", "left_semi")
         early = verified(some.where(enough_shared()).unionByName(more), classes, docs)
-        late = stored(crowded_meetings(crowd, early))
-        matched = stored(early.unionByName(verified(late, classes, docs)).distinct())
+        late = stored(crowded_meetings(crowd, near.unionByName(early)))
+        matched = stored(near.unionByName(early).unionByName(verified(late, classes, docs)).distinct())
         for used in (crowd, early, late):
             free(used)
     free(met)
+    free(near)
     verdict = classes.join(matched.withColumn("hit", F.lit(True)), "c", "left").select("id", "bits", "bits2", "n", F.struct(*WHERE).alias("first"), F.coalesce("hit", F.lit(False)).alias("hit"))
     gone = lines.where("n > 0").select(*WHERE, "id", "bits", "bits2", "n").join(verdict, ["id", "bits", "bits2", "n"]).where(F.col("hit") | (F.struct(*WHERE) != F.col("first")))
     out = stored(gone.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone")))
