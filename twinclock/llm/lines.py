@@ -6,8 +6,8 @@ Words are ordered by rarity: the counts of all words, in a fixed number of hash
 share one of their first n - ceil(0.8 n) + 1 words, the prefix. Lines meet at a prefix word; their lengths, the word's place
 in both, and the parity bitmaps of both sets bound the overlap from above, and what passes is verified on the whole sets of words.
 
-First all lines with the same words become one class. A class meets the first one that shares with it one of its least `KEYS` pairs
-of neighbouring prefix words; that settles most near copies, however many they are, without pairing them. What is still open then
+First all lines with the same words become one class. A class meets the first one, and the last before it, that shares with it
+one of its least `KEYS` pairs of neighbouring prefix words; that settles most near copies, however many they are, without pairing them. What is still open then
 meets all others at prefix words: a similar set of the same or a smaller size has the word among its first n - ceil(8/9 n) + 1. At a word
 that more than `CROWD` classes have in their prefix, they meet only the first of these; what this leaves open meets all others of
 the word afterwards.
@@ -31,7 +31,7 @@ from .suffixes import keyed
 NUMERATOR, DENOMINATOR = 4, 5
 BUCKETS = 1 << 17
 CROWD = 1000  # classes at a prefix word that meet each other at once
-KEYS = 3  # pairs of neighbouring prefix words by which a class meets a first one
+KEYS = 6  # pairs of neighbouring prefix words by which a class meets two others
 LONG = 64  # words beyond which a line's bitmap has two halves
 FILTER_BITS = 22  # the bitmap of wanted lines
 WHERE = ("doc", "mark", "line")
@@ -116,12 +116,13 @@ def may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
 
 
 def first_meetings(classes: DataFrame) -> DataFrame:
-    """Pairs (c, d) of classes, c the first that has one of d's keys, that pass the filters; a key stands for two neighbouring prefix words."""
+    """Pairs (c, d) of classes, c the first or the last before d that has one of d's keys, that pass the filters; a key stands for two neighbouring prefix words."""
     keys = F.transform(F.sequence(F.lit(1), F.size("prefix") - 1), lambda i: F.xxhash64(F.get("prefix", i - 1), F.get("prefix", i)))
     rows = classes.where("n > 4").select("c", "n", "bits", "bits2", F.explode(F.slice(F.sort_array(keys), 1, KEYS)).alias("key"))
-    first = rows.withColumn("first", F.first(F.struct("c", "n", "bits", "bits2")).over(Window.partitionBy("key").orderBy("c")))
-    met = first.where((F.col("first.c") < F.col("c")) & near_enough(lambda x: F.col(f"first.{x}"), F.col))
-    return met.select(F.col("first.c").alias("c"), F.col("c").alias("d")).distinct()
+    own, what = Window.partitionBy("key").orderBy("c"), F.struct("c", "n", "bits", "bits2")
+    two = rows.withColumn("two", F.array(F.first(what).over(own), F.lag(what).over(own)))
+    met = two.withColumn("other", F.explode("two")).where((F.col("other.c") < F.col("c")) & near_enough(lambda x: F.col(f"other.{x}"), F.col))
+    return met.select(F.col("other.c").alias("c"), F.col("c").alias("d")).distinct()
 
 
 def prefix_rows(classes: DataFrame, *more: str) -> DataFrame:
