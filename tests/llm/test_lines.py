@@ -82,6 +82,19 @@ def test_near_copies_are_not_paired(spark, monkeypatch, n):
     assert sum(held) <= 4 * n
 
 
+def test_pairs_are_made_once(spark, monkeypatch):
+    """What is verified is a stored table, so that its steps, which read it again and again, do not make the pairs anew."""
+    plans, whole = [], lines.verified
+
+    def looking(pairs, *more):
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return whole(pairs, *more)
+
+    monkeypatch.setattr(lines, "verified", looking)
+    check(spark, near_copies(40, random.Random(6)))
+    assert plans and not any("Window" in p or "Generate" in p or "Join" in p for p in plans)
+
+
 def test_first_words_of_the_smaller_set(spark):
     """Sets that share all but words of the larger one, the larger first and last, at both sides of the least similarity."""
     word = [f"w{k}" for k in range(60)]

@@ -121,6 +121,7 @@ def first_meetings(classes: DataFrame) -> DataFrame:
     rows = classes.where("n > 4").select("c", "n", "bits", "bits2", F.explode(F.slice(F.sort_array(keys), 1, KEYS)).alias("key"))
     own, what = Window.partitionBy("key").orderBy("c"), F.struct("c", "n", "bits", "bits2")
     two = rows.withColumn("two", F.array(F.first(what).over(own), F.lag(what).over(own)))
+    two = two.where(F.col("two")[0]["c"] < F.col("c"))  # most keys have one class only
     met = two.withColumn("other", F.explode("two")).where((F.col("other.c") < F.col("c")) & near_enough(lambda x: F.col(f"other.{x}"), F.col))
     return met.select(F.col("other.c").alias("c"), F.col("c").alias("d")).distinct()
 
@@ -136,16 +137,17 @@ def at_words(classes: DataFrame) -> DataFrame:
     return prefix_rows(classes, "open").withColumns({"times": F.count("*").over(own), "least": F.min("c").over(own)}).where("times > 1")
 
 
-def meetings(rows: DataFrame) -> DataFrame:
+def meetings(classes: DataFrame) -> DataFrame:
     """Pairs (c, d) of classes, d the later and open, that share a prefix word and pass the filters, their sizes (n the smaller, m) and at how many words they met.
 
-    Both sides of the join read one exchange. The smaller set stands on the left, of equal ones the earlier, with the words that
+    Both sides of the join read one exchange; only the left one is counted by word. The smaller set stands on the left, of equal ones the earlier, with the words that
     `short_size` gives it. At a crowded word one row, the first class, stands on the left; it meets itself too, in a row that
     names the word.
     """
     col = lambda side: lambda name: F.col(f"{side}.{name}")
     crowded = F.col("times") > CROWD
-    a, b = rows.where(F.when(crowded, F.col("c") == F.col("least")).otherwise(F.col("pos") < short_size(F.col("n")))).alias("a"), rows.alias("b")
+    a = at_words(classes).where(F.when(crowded, F.col("c") == F.col("least")).otherwise(F.col("pos") < short_size(F.col("n")))).alias("a")
+    b = prefix_rows(classes, "open").alias("b")
     earlier, same = F.col("a.c") < F.col("b.c"), F.col("a.c") == F.col("b.c")
     smaller = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & earlier
     wanted = F.when(F.col("a.times") > CROWD, same | earlier & F.col("b.open")).otherwise(smaller & F.when(earlier, F.col("b.open")).otherwise(F.col("a.open")))
@@ -209,8 +211,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     split = docs.select("doc", "mark", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "body"))
     lines = stored(sets_of(split, ranks))  # the condition comes after: before, Spark would work the sets out for it as well
     classes = stored(classes_of(lines.where("n > 0")))
-    near = verified(first_meetings(classes), classes, docs)
-    met = stored(meetings(at_words(classes.join(near.withColumn("near", F.lit(True)), "c", "left").withColumn("open", F.col("near").isNull()))))
+    first = stored(first_meetings(classes))  # `verified` reads its pairs again and again
+    near = verified(first, classes, docs)
+    free(first)
+    met = stored(meetings(classes.join(near.withColumn("near", F.lit(True)), "c", "left").withColumn("open", F.col("near").isNull())))
     some = met.where("c <> d")
     crowded = met.where("crowded is not null").select(F.col("crowded").alias("tok"))
     if crowded.isEmpty():
